@@ -1,9 +1,10 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import token_files
+from . import packing, token_files
 
 QUERIES = {
     "op7_token_files": token_files.op7_token_files,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
