@@ -1,8 +1,9 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import packing, token_files
+from . import packing, token_files, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }

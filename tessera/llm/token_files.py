@@ -51,7 +51,8 @@ def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     head = np.zeros(1, dtype=_HEAD)
     head["minimum"], head["count"], head["width"], head["exceptions"] = low, len(ids), width, len(out)
     if width:
-        planes = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+        low_bytes = rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-width // 8)]
+        planes = np.unpackbits(low_bytes, axis=1, bitorder="little")[:, :width]
         packed = np.packbits(planes.ravel(), bitorder="little").tobytes()
     else:
         packed = b""
@@ -68,9 +69,10 @@ def decode_block(data: bytes, at: int = 0) -> np.ndarray:
     if width:
         size = -(-count * width // 8)
         planes = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=size, offset=at), bitorder="little", count=count * width)
-        full = np.zeros((count, 32), dtype=np.uint8)
-        full[:, :width] = planes.reshape(count, width)
-        ids = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint64)
+        few = np.packbits(planes.reshape(count, width), axis=1, bitorder="little")
+        full = np.zeros((count, 4), dtype=np.uint8)
+        full[:, : few.shape[1]] = few
+        ids = full.view("<u4").ravel().astype(np.uint64)
         at += size
     positions = np.frombuffer(data, dtype="<u2", count=outliers, offset=at)
     high = np.frombuffer(data, dtype="<u4", count=outliers, offset=at + 2 * outliers)
