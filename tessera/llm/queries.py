@@ -1,9 +1,10 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import packing, token_files, toxicity
+from . import language, packing, token_files, toxicity
 
 QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_language_id": language.op6_language_id,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
