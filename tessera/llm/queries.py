@@ -1,8 +1,9 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import language, packing, token_files, toxicity
+from . import jaccard, language, packing, token_files, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_language_id": language.op6_language_id,
     "op7_token_files": token_files.op7_token_files,
