@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import jaccard, language, packing, token_files, toxicity
+from . import jaccard, language, mixing, packing, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_language_id": language.op6_language_id,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
