@@ -1,14 +1,16 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import embeddings, jaccard, language, mixing, packing, token_files, toxicity
+from . import embeddings, jaccard, language, mixing, packing, quality, token_files, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_embedding_neardup": embeddings.op5_embedding_neardup,
     "op6_language_id": language.op6_language_id,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_url_filters": urls.op9_url_filters,
     "op10_mixing": mixing.op10_mixing,
 }
 

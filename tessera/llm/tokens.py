@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 
@@ -22,10 +23,11 @@ class Encoder:
     The byte-level pre-tokenizer always begins a new pre-token at a space that stands before a non-space, and no merge
     crosses pre-tokens. So a text is cut at those spaces, and each distinct piece is encoded once by the library.
     Keys leave out the space that each piece but a text's first begins with. Pieces often end in punctuation after an ASCII
-    letter, where a pre-token always ends too, so both parts are looked up. The memory takes at most max_pieces pieces, so it doesn't grow with the corpus; pieces beyond that are encoded anew.
+    letter, where a pre-token always ends too, so both parts are looked up. The memory takes at most max_pieces pieces that came again and half as many new ones, so
+    it doesn't grow with the corpus; other pieces are encoded anew.
     """
 
-    def __init__(self, path: str, max_pieces: int = 700_000):
+    def __init__(self, path: str, max_pieces: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,16 +37,24 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True
         self._max_pieces = max_pieces
         self._known: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that aren't known, kept while there is room."""
-        found = {}
-        if pieces:
-            for p, e in zip(pieces, self._tokenizer.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False), strict=True):
-                found[p] = array("I", e.ids).tobytes()
-            if len(self._known) < self._max_pieces:
-                self._known.update(found)
+        """Ids of pieces that aren't known. A piece that comes again soon becomes known, so that rare ones don't take its room."""
+        young, known, found, new = self._young, self._known, {}, []
+        for p in pieces:
+            if (x := young.pop(p, None)) is None:
+                new.append(p)
+            else:
+                found[p] = x
+        if len(known) < self._max_pieces:
+            known.update(found)
+        if len(young) > self._max_pieces // 2:
+            young.clear()
+        if new:
+            for p, e in zip(new, self._tokenizer.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False), strict=True):
+                found[p] = young[p] = array("I", e.ids).tobytes()
         return found
 
     def _tail(self, tail: str) -> bytes:
@@ -58,6 +68,15 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, without an end id; none for a null or empty text."""
+        collecting = gc.isenabled()
+        gc.disable()  # many lists are made here, but no cycles
+        try:
+            return self._many(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _many(self, texts: list[str | None]) -> list[bytes]:
         get, rows, cut = self._known.get, [], {}
         for text in texts:
             if not text:
