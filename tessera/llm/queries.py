@@ -1,9 +1,10 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import embeddings, jaccard, language, mixing, packing, quality, token_files, toxicity, urls
+from . import chat, embeddings, jaccard, language, mixing, packing, quality, token_files, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_embedding_neardup": embeddings.op5_embedding_neardup,
