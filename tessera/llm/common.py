@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space as the contracts define it: space and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -70,6 +71,27 @@ def text_chunks(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[in
         yield start, len(sizes)
 
 
+def map_text(df: DataFrame, new: str, make: Callable[[], Callable[[list[str | None]], list[Sequence]]], keep: Sequence[str] = ("doc_id",), chunk: int = 1 << 20) -> DataFrame:
+    """Columns `keep`, unchanged, and the new ones (a schema string) that are computed from column text.
+
+    make() is called once in each task; what it returns gets texts of at most chunk bytes together (or one longer text) and gives
+    the values of each new column. Kept columns pass as Arrow data, whatever their types and nulls.
+    """
+    schema = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(new).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            texts, kept = batch.column(len(keep)), batch.columns[: len(keep)]
+            for a, b in text_chunks(byte_lengths(texts), chunk):
+                values = compute(texts[a:b].to_pylist())
+                arrays = [c[a:b] for c in kept] + [pa.array(list(v), f.type) for v, f in zip(values, list(arrow)[len(keep) :], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+
+    return df.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
 def prefix_sums(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), into: str = "start") -> DataFrame:
     """Add column `into`: the exclusive running sum of `value` in the given order, per keys (or over all rows).
 
@@ -123,12 +145,6 @@ def components(spark: SparkSession, links: DataFrame, left: str = "a", right: st
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(nodes)
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
 def count_words(text: str | None) -> int:
     """Number of words [^\\x20\\x09-\\x0D]+ of a text; a null text has none. UTF-8 bytes split at the same places."""
     return len(text.encode("utf-8", "surrogatepass").split()) if text else 0

@@ -218,24 +218,24 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> li
     return out
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """Label every whole text: doc_id, lang_pred, score, spans (places in characters, end excluded, and language).
+def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Label every whole text: columns keep, then lang_pred, score, spans (places in characters, end excluded, and language).
 
     A null text, or one without letters, is `und` with score 0 and no spans, as is every text if nothing was learned. Equal rows get equal
     results, ties between languages go to the first in code-point order, an empty table gives no rows, other columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].tolist()
-            found: list[tuple[str, float, list[tuple[int, int, str]]]] = []
-            for a, b in common.text_chunks([len(t) if t else 0 for t in texts], 1 << 18):
-                found += label(texts[a:b], shared.value, penalty)
-            spans = [[{"first": x, "end": y, "lang": name} for x, y, name in s] for _, _, s in found]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": spans})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
+    def make():
+        model = shared.value
+
+        def compute(texts: list[str | None]) -> list[list]:
+            found = label(texts, model, penalty)
+            return [[x[0] for x in found], [x[1] for x in found], [[{"first": x, "end": y, "lang": name} for x, y, name in s] for _, _, s in found]]
+
+        return compute
+
+    return common.map_text(docs, "lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>", make, keep, 1 << 18)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

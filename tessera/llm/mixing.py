@@ -11,13 +11,15 @@ All draws are functions of the seed, so reruns agree, whichever tasks run them.
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
@@ -28,16 +30,14 @@ SEED = 20_240_501
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
+_WORD = re.compile(common.WORD_PATTERN.encode())
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: words of each whole text (null: 0)."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "size": [common.count_words(t) for t in frame["text"]]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInPandas(count, "doc_id long, source string, size long")
+    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "source", "text")
+    return common.map_text(ids, "size long", lambda: lambda texts: [[common.count_words(t) for t in texts]], ("doc_id", "source"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -152,6 +152,40 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
     return rows.drop("source_no", "begin"), spans
 
 
+def mixed_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The mix as rows of docs' columns: for each span, its document's row with text cut to the span's words and, if there is one, n_chars set.
+
+    Words keep the white space between them. Documents are found by doc_id; of rows that repeat an id, any one gives the text.
+    """
+    names = docs.columns
+    rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+    if not whole.groupBy("doc_id").count().where("count > 1").isEmpty():
+        whole = whole.dropDuplicates(["doc_id"])
+    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "first_word", "n_words"))).alias("cuts"))
+    rows = whole.alias("d").join(cuts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.doc_id", "_rest", "cuts", "text")
+    schema = StructType([*rows.select("doc_id", "_rest").schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts = [], []
+            for i, (cuts, text) in enumerate(zip(batch.column("cuts").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                data = text.encode("utf-8")
+                words = [m.span() for m in _WORD.finditer(data)]
+                for c in cuts:
+                    taken = words[c["first_word"] : c["first_word"] + c["n_words"]]
+                    if taken:
+                        at.append(i)
+                        texts.append(data[taken[0][0] : taken[-1][1]].decode("utf-8"))
+                if len(texts) >= 2000:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("_rest").take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
+                    at, texts = [], []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("_rest").take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
+
+    taken = rows.mapInArrow(run, schema)
+    return taken.select(*(F.col(c) if c in ("doc_id", "text", "n_chars") else F.col(f"_rest.`{c}`").alias(c) for c in names))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     rows, spans = mix(common.documents(spark, sf_dir))

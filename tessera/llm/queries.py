@@ -1,5 +1,7 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
+import corpus_pipeline
+
 from . import chat, embeddings, jaccard, language, mixing, packing, quality, token_files, toxicity, urls
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}

@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             terms[term] = value
         elif any(p in terms for p in parents):
             terms[term] = -DRIFT  # its own counts deny what its beginning suggests
-    scanned = common.stored(scan(rows, terms, "label int"), "scanned")
+    scanned = common.stored(scan(rows, terms, ("doc_id", "label")), "scanned")
     # Clean words' scores: how many of them come from positive terms is counted on the words of segments.
     sums = scanned.where("label = 0").agg(F.sum("n_words").alias("m"), F.sum(F.size("segments")).alias("k"), F.sum(F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["score"])).alias("s")).first()
     m, k = max(sums["m"] or 0, 1), (sums["k"] or 0) + 1
@@ -233,31 +233,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
     return float(a), float(b)
 
 
-def scan(rows: DataFrame, terms: dict[str, float], more: str = "") -> DataFrame:
-    """doc_id, n_words, segments of every row; more: another column (with its type) to keep."""
-    terms_b = rows.sparkSession.sparkContext.broadcast(terms)
-    kept = more.split()[:1]
+def scan(rows: DataFrame, terms: dict[str, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns keep, n_words and segments of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(terms_b.value)
-        for frame in frames:
-            found = [scanner.scan(t) for t in frame["text"]]
-            out = {c: frame[c] for c in ["doc_id", *kept]}
-            yield pd.DataFrame(out | {"n_words": [n for n, _ in found], "segments": [[{"first": a, "last": b, "score": s} for a, b, s in x] for _, x in found]})
+    def make():
+        scanner = Scanner(shared.value)
+
+        def compute(texts: list[str | None]) -> list[list]:
+            found = [scanner.scan(t) for t in texts]
+            return [[n for n, _ in found], [[{"first": a, "last": b, "score": s} for a, b, s in x] for _, x in found]]
 
-    return rows.select("doc_id", "text", *kept).mapInPandas(run, ", ".join(x for x in ("doc_id long", more, "n_words long", f"segments {SEGMENTS}") if x))
+        return compute
 
+    return common.map_text(rows, f"n_words long, segments {SEGMENTS}", make, keep)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Score every whole text: doc_id, score, predicted, n_words, segments (each significant passage by places of its words).
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Score every whole text: columns keep, then score, predicted, n_words, segments (each significant passage by places of its words).
 
     Null and empty texts have no segments and get the curve's lowest score. Equal rows get equal results, one row each; an
-    empty table gives none; columns other than doc_id and text are not read.
+    empty table gives none; other columns than text and keep are not read.
     """
-    a, b = model.curve
-    x = _evidence_of(model.rate, model.scale)("n_words", F.transform("segments", lambda s: s["score"]))
-    scanned = scan(docs, model.terms).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(x, F.lit(50.0))))))
-    return scanned.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "segments")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = shared.value
+        scanner, (a, b) = Scanner(model.terms), model.curve
+
+        def compute(texts: list[str | None]) -> list[list]:
+            found = [scanner.scan(t) for t in texts]
+            proof = [evidence([s for _, _, s in x], n, model.rate, model.scale) for n, x in found]
+            scores = [1 / (1 + math.exp(-(a + b * min(x, 50.0)))) for x in proof]
+            return [scores, [int(s >= THRESHOLD) for s in scores], [n for n, _ in found], [[{"first": a, "last": b, "score": s} for a, b, s in x] for _, x in found]]
+
+        return compute
+
+    return common.map_text(docs, f"score double, predicted int, n_words long, segments {SEGMENTS}", make, keep)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
