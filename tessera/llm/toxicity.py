@@ -34,6 +34,8 @@ PRIOR = (2.0, 2.0, 4.0)
 LEAST_COUNT = 3
 #: Standard deviations by which its log-odds must exceed 0.
 LEAST_Z = 3.0
+#: Ratio of a term's toxic to its clean rate from which it counts: less is a matter of topic or language.
+LEAST_RATIO = 10.0
 #: Labelled rows that the model is fitted on at most: a sample by a hash of doc_id, which bounds the broadcast labels and terms.
 MAX_LABELLED = 200_000
 THRESHOLD = 0.7
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     with_toxic = {r["term"]: float(r["n"]) for r in document_counts(rows.where("label = 1")).where(f"n >= {LEAST_COUNT}").collect()}
     with_clean = {r["term"]: float(r["n"]) for r in document_counts(rows.where("label = 0"), with_toxic).collect()}
 
-    odds: dict[str, tuple[float, float]] = {}
+    odds: dict[str, float] = {}
 
     def level(term: str) -> int:
         return 2 if term.startswith("4 ") else 1 if term.startswith("5 ") else 0
@@ -176,16 +178,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     for term in sorted(with_toxic, key=lambda x: (-level(x), x)):
         at = level(term)
         parents = [] if at == 2 else keys(term[2:])[2:] if at == 1 else keys(term)[1:]
-        prior = next((odds[p][0] for p in parents if p in odds), 0.0)
+        prior = next((odds[p] for p in parents if p in odds), 0.0)
         # Expected documents by the prior, split so that their ratio of rates is the parent's.
         half = PRIOR[at] / 2
         a = with_toxic[term] + half * math.exp(prior / 2)
         b = with_clean.get(term, 0.0) + half * math.exp(-prior / 2) * clean / toxic
-        value, deviation = math.log(a / toxic) - math.log(b / clean), math.sqrt(1 / a + 1 / b)
-        odds[term] = (value, deviation)
-        if value > 0 and value / deviation >= LEAST_Z and with_toxic[term] / toxic > 2 * with_clean.get(term, 0.0) / clean:
+        value = math.log(a / toxic) - math.log(b / clean)
+        # Evidence of its own is measured against a neutral prior.
+        a, b = with_toxic[term] + 0.5, with_clean.get(term, 0.0) + 0.5 * clean / toxic
+        own, deviation = math.log(a / toxic) - math.log(b / clean), math.sqrt(1 / a + 1 / b)
+        odds[term] = value
+        ratio = with_toxic[term] / toxic / max(with_clean.get(term, 0.0) / clean, 1e-12)
+        if own / deviation >= LEAST_Z and ratio >= LEAST_RATIO:
             terms[term] = value
-        elif any(p in terms for p in parents):
+        elif ratio <= 1 and any(p in terms for p in parents):
             terms[term] = -DRIFT  # its own counts deny what its beginning suggests
     scanned = common.stored(scan(rows, terms, ("doc_id", "label")), "scanned")
     # Clean words' scores: how many of them come from positive terms is counted on the words of segments.
