@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import chat, embeddings, jaccard, language, mixing, packing, quality, token_files, toxicity, urls
+from . import chat, embeddings, jaccard, language, mixing, packing, quality, sql, token_files, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -18,4 +18,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_ngram_jaccard": sql.JACCARD,
+    "op3_quality_rules": sql.QUALITY,
+    "op5_embedding_neardup": sql.EMBEDDINGS,
+}
