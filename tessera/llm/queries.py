@@ -20,6 +20,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_ngram_jaccard": sql.JACCARD,
+    "op2_chat_formatting": sql.CHAT,
     "op3_quality_rules": sql.QUALITY,
     "op5_embedding_neardup": sql.EMBEDDINGS,
 }

@@ -1,6 +1,6 @@
 """DuckDB SQL of the corpus queries that SQL can express; fixed values come from the operators."""
 
-from . import quality
+from . import chat, quality
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -49,3 +49,21 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_trans
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND {" AND ".join(map(_rule, quality.RULES))} AS kept FROM b
 """
+
+_SAID = "chr(92) || '### Assistant: </turn> ok'"
+_LENGTH = f"({len(chat.HEAD) + len(chat.BETWEEN) + len(chat.TAIL)} + length(role) + length(text) + (2 * length(role) + length(text) - length(translate(role, chr(92) || '#<', '')) - length(translate(role, ':', '')) - length(translate(text, chr(92) || '#<', ''))))"
+
+CHAT = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID})),
+o AS (SELECT *, {_LENGTH} AS size, row_number() OVER w - 1 AS place, coalesce(sum(len(regexp_extract_all(text, {_WORDS}))) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, before // {chat.STRIDE} AS span, place = 0 AND role = 'system' AS is_system FROM o),
+spans AS (SELECT conv_id, span, min(before) AS begin, min(place) AS first FROM s GROUP BY conv_id, span),
+every AS (SELECT conv_id, size FROM s UNION ALL
+    SELECT s.conv_id, s.size FROM s JOIN spans ON spans.conv_id = s.conv_id AND spans.span = s.span + 1 AND spans.begin - s.before <= {chat.HISTORY} WHERE NOT s.is_system UNION ALL
+    SELECT s.conv_id, s.size FROM s JOIN spans ON spans.conv_id = s.conv_id AND spans.first > 0 WHERE s.is_system),
+sizes AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars FROM every GROUP BY conv_id),
+texts AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = '{chat.TARGET}'), '') AS target FROM s GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256, formatted_chars FROM texts JOIN sizes USING (conv_id)
+"""
