@@ -125,20 +125,19 @@ def components(spark: SparkSession, links: DataFrame, left: str = "a", right: st
     """
     edges = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null and u <> v")
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    known = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.col("v").alias("x"), "m", "u")
-        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = stored(small.where("u <> v").distinct(), "edges")
-        # Done when the links are stars: every node that has a smaller neighbour has one only, and that one has none.
-        roots = after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        if roots.isEmpty() and after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            edges = after
+        small = large.join(lows, "u").select(F.col("u").alias("x"), "m", F.col("v").alias("y"))
+        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("y").alias("u"), F.col("m").alias("v")))
+        edges = stored(small.where("u <> v").distinct(), "edges")
+        # Links that a round leaves as they were are stars around the least node of each component.
+        before, known = known, edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+        if known == before:
             break
-        edges = after
     else:
         raise RuntimeError(f"component labels didn't settle in {rounds} rounds")
     nodes = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -11,7 +11,7 @@ group of near sets elects the same pivot nearly everywhere, and the distances to
 - a member y beyond eps and a member x within it can only be near if d(y, p) - d(x, p) <= eps (triangle inequality), so only members x in
   that window are carried over, with all members beyond eps, into the cell's next region, which elects a pivot of its own;
 - a cell whose members have become one component is done. Small cells, and what is left after ROUNDS pivots, are joined pair by pair
-  across components.
+  across components, inside those windows.
 
 Lower bounds from set sizes and parity signatures spare most exact distances; every link is confirmed on the full sets.
 """
@@ -30,14 +30,16 @@ from . import common, shingles
 #: Classes of the fixed-size table that orders shingles by frequency.
 ORDER_CLASSES = 1 << 20
 #: Occurrences within one flush of one task from which a shingle counts as frequent.
-FREQUENT = 3
+FREQUENT = 2
 FLUSH = 3_000_000
-#: Members up to which a cell is joined pair by pair once its first pivot is done.
-LEAF = 48
-ROUNDS = 6
+#: Members up to which a cell is joined pair by pair once its first pivot is done. The join compares signatures before it gives a row.
+LEAF = 256
+ROUNDS = 4
 #: Rows of the table of needed ids up to which it is broadcast to filter texts, instead of a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
-_ROWS = "doc_id long, n long, fp1 long, fp2 long, signature array<long>, shingle long, times long"
+#: Sets of more shingles have a wide signature too, as 1024 bits say little about them.
+WIDE_FROM = 2000
+_ROWS = "doc_id long, n long, fp1 long, fp2 long, signature array<long>, wide array<long>, shingle long, times long"
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
@@ -56,21 +58,21 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
 
         def batch_of(rows: list[tuple], values: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
             n, m = len(rows), len(values)
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
             arrays = [pa.array([*c, *[None] * m], t) for c, t in zip(columns, kinds, strict=True)]
             arrays += [pa.array([*[None] * n, *x.tolist()], pa.int64()) for x in (values, times)]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fp1", "fp2", "signature", "shingle", "times"])
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fp1", "fp2", "signature", "wide", "shingle", "times"])
 
         none = np.zeros(0, np.int64)
         for batch in batches:
             rows = []
             for doc_id, own in shingles.of_batch(batch, k):
                 if not len(own):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None))
                     continue
                 fp = shingles.fingerprint(own)
-                rows.append((doc_id, len(own), *fp, shingles.signature(own)))
+                rows.append((doc_id, len(own), *fp, shingles.signature(own), shingles.signature(own, shingles.WIDE_BITS) if len(own) > WIDE_FROM else None))
                 if fp[0] not in seen:  # copies in one task count once
                     seen.add(fp[0])
                     gathered.append(own)
@@ -86,9 +88,9 @@ def order_table(surveyed: DataFrame) -> np.ndarray:
     """For each class of shingle hashes the order of magnitude of its most frequent shingle: ORDER_CLASSES bytes, whatever the corpus."""
     totals = surveyed.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     levels = totals.groupBy((F.col("shingle").bitwiseAND(ORDER_CLASSES - 1)).cast("int").alias("class")).agg(F.max(F.floor(F.log2("times"))).cast("int").alias("level"))
-    rows = levels.toPandas()  # at most ORDER_CLASSES rows
+    rows = levels.toArrow()  # at most ORDER_CLASSES rows, as columns
     table = np.zeros(ORDER_CLASSES, dtype=np.uint8)
-    table[rows["class"].to_numpy(dtype=np.int64)] = rows["level"].to_numpy(dtype=np.int64)
+    table[rows["class"].to_numpy()] = rows["level"].to_numpy()
     return table
 
 
@@ -131,27 +133,43 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "x long, shingles array<long>")
 
 
-def _size_bound(similarity: int) -> Column:
+def _sizes_allow(nx: str, ny: str, similarity: int) -> Column:
     """Sets of these sizes can be near at all."""
-    return F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * similarity
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """(bounded, near): all pairs x, y with a lower bound of their distance, and those that are near with their exact distance."""
-    left = nodes.select(F.col("x"), F.col("n").alias("nx"), F.col("signature").alias("sx"))
-    right = nodes.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("signature").alias("sy"))
-    differ = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-    differ = F.greatest(differ, F.abs(F.col("nx") - F.col("ny")))
-    bounded = pairs.join(left, "x").join(right, "y").withColumn("differ", differ)
-    # |A xor B| = u - i and |A| + |B| = u + i, so the distance (u - i) / u is 2 differ / (nx + ny + differ).
-    bounded = bounded.select("x", "y", "nx", "ny", "differ", (2 * F.col("differ") / (F.col("nx") + F.col("ny") + F.col("differ"))).alias("bound"))
-    bounded = common.stored(bounded, "bounded")
-    maybe = bounded.where(_size_bound(similarity) & ((F.col("nx") + F.col("ny") - F.col("differ")) * 100 >= (F.col("nx") + F.col("ny") + F.col("differ")) * similarity))
+    return F.least(nx, ny) * 100 >= F.greatest(nx, ny) * similarity
+
+
+def _difference_allows(differ: Column, nx: str, ny: str, similarity: int) -> Column:
+    """|A xor B| = u - i and |A| + |B| = u + i; so a lower bound of the former bounds i / u from above."""
+    total = F.col(nx) + F.col(ny)
+    return (total - differ) * 100 >= (total + differ) * similarity
+
+
+def _with_signature(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds a node's signature as columns s0, s1, ... so that comparing two compiles to a few instructions."""
+    return rows.join(nodes.select("x", *(F.get("signature", F.lit(i)).alias(f"s{i}") for i in range(shingles.SIGNATURE_BITS // 64))), "x")
+
+
+def _differing_bits(a: str, b: str) -> Column:
+    total = F.lit(0).cast("long")
+    for i in range(shingles.SIGNATURE_BITS // 64):
+        total = total + F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")))
+    return total
+
+
+def confirmed(maybe: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """x, y, d (exact distance) of the pairs x, y, nx, ny that are near: first by wide signatures of long sets, then on the full sets."""
+    maybe = common.stored(maybe, "maybe")
+    long = (F.col("nx") > WIDE_FROM) & (F.col("ny") > WIDE_FROM)
+    wide = nodes.where(F.col("wide").isNotNull()).select("x", "wide")
+    pairs = maybe.where(long).join(wide.withColumnRenamed("wide", "a"), "x").join(wide.select(F.col("x").alias("y"), F.col("wide").alias("b")), "y")
+    differ = F.aggregate(F.zip_with("a", "b", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    pairs = pairs.where(_difference_allows(differ, "nx", "ny", similarity)).select("x", "y", "nx", "ny")
+    maybe = common.stored(pairs.unionByName(maybe.where(~long).select("x", "y", "nx", "ny")), "candidates")
     needed = common.stored(shingle_sets(docs, maybe.select("x").unionByName(maybe.select(F.col("y").alias("x"))), k), "sets").dropDuplicates(["x"])
-    both = maybe.select("x", "y", "nx", "ny").join(needed.withColumnRenamed("shingles", "a"), "x").join(needed.select(F.col("x").alias("y"), F.col("shingles").alias("b")), "y")
+    both = maybe.join(needed.withColumnRenamed("shingles", "a"), "x").join(needed.select(F.col("x").alias("y"), F.col("shingles").alias("b")), "y")
     both = both.withColumn("i", F.size(F.array_intersect("a", "b")).cast("long")).withColumn("u", F.col("nx") + F.col("ny") - F.col("i"))
     near = both.where(F.col("i") * 100 >= F.col("u") * similarity).select("x", "y", (1 - F.col("i") / F.col("u")).alias("d"))
-    return bounded, common.stored(near, "near")
+    return common.stored(near, "near")
 
 
 def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
@@ -166,52 +184,53 @@ def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     eps = 1 - similarity / 100
     surveyed = common.stored(survey(docs, k), "survey")
     rows = surveyed.where("shingle is null")
-    equal = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("x"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    equal = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("x"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
     nodes = common.stored(equal, "nodes")
     everywhere = Window.partitionBy("cell")
     entries = prefixes(docs.where("doc_id is not null"), k, similarity, order_table(surveyed))
     entries = entries.withColumn("least", F.min("fp1").over(everywhere)).withColumn("most", F.max("fp1").over(everywhere)).where("least <> most")
     entries = common.stored(entries.select("cell", "fp1"), "entries").distinct()
     # near: exact distance to the last pivot if it is within eps; beyond: a lower bound of it if not.
-    cells = common.stored(
-        entries.join(nodes.select("fp1", "x"), "fp1").select("cell", "x", F.lit(None).cast("double").alias("near"), F.lit(None).cast("double").alias("beyond")), "cells"
-    )
+    none = F.lit(None).cast("double")
+    cells = common.stored(entries.join(nodes.select("fp1", "x", "n"), "fp1").select("cell", "x", "n", none.alias("near"), none.alias("beyond")), "cells")
     links, labels = None, nodes.select("x", F.col("x").alias("component"))
     priority = F.struct(F.xxhash64("x"), F.col("x"))
     for turn in range(ROUNDS):
-        if cells.isEmpty():
-            break
-        sizes = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min_by("x", priority).alias("pivot"))
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min_by(F.struct("x", "n"), priority).alias("pivot"))
         if turn:
-            sizes = sizes.where(F.col("members") > LEAF)
-        regions = cells.join(sizes, "cell")
-        starred = regions.where("x <> pivot").select("x", F.col("pivot").alias("y")).distinct()
-        bounded, near = confirmed(starred, nodes, docs, k, similarity)
+            sizes = common.stored(sizes.where(F.col("members") > LEAF), "sizes")
+        if turn and sizes.isEmpty():
+            break
+        regions = cells.join(sizes, "cell").select("cell", "x", "n", F.col("pivot.x").alias("pivot"), F.col("pivot.n").alias("pivot_n")).where("x <> pivot")
+        starred = regions.where(_sizes_allow("n", "pivot_n", similarity)).select("x", F.col("n").alias("nx"), F.col("pivot").alias("y"), F.col("pivot_n").alias("ny")).distinct()
+        a = _with_signature(starred, nodes).alias("a")
+        b = _with_signature(nodes.select("x"), nodes).alias("b")
+        bits = F.greatest(_differing_bits("a", "b"), F.abs(F.col("nx") - F.col("ny")))
+        bounded = a.join(b, F.col("a.y") == F.col("b.x")).select("a.x", "a.y", "nx", "ny", bits.alias("differ"))
+        bounded = common.stored(bounded.withColumn("bound", 2 * F.col("differ") / (F.col("nx") + F.col("ny") + F.col("differ"))), "bounded")
+        near = confirmed(bounded.where(_difference_allows(F.col("differ"), "nx", "ny", similarity)).select("x", "y", "nx", "ny"), nodes, docs, k, similarity)
         found = near.select("x", "y")
         links = found if links is None else common.stored(links.unionByName(found), "links")
         labels = _labels(spark, nodes, links)
-        # The pivots' next regions, and the small cells that wait for the last step.
+        # The cells' next regions: members beyond eps of the pivot, and those within it whose window reaches one of them.
         known = bounded.select("x", F.col("y").alias("pivot"), "bound").join(near.select("x", F.col("y").alias("pivot"), "d"), ["x", "pivot"], "left")
-        after = regions.where("x <> pivot").select("cell", "x", "pivot").join(known, ["x", "pivot"])
-        after = after.select("cell", "x", F.col("d").alias("near"), F.when(F.col("d").isNull(), F.greatest("bound", F.lit(eps))).alias("beyond"))
-        within = Window.partitionBy("cell")
-        after = after.withColumn("least", F.min("beyond").over(within)).where("beyond is not null or least - near <= %r + 1e-9" % eps)
+        after = regions.join(known, ["x", "pivot"], "left")
+        by_size = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
+        after = after.select("cell", "x", "n", F.col("d").alias("near"), F.when(F.col("d").isNull(), F.greatest(F.coalesce("bound", by_size), F.lit(eps))).alias("beyond"))
+        after = after.withColumn("least", F.min("beyond").over(Window.partitionBy("cell"))).where(F.col("beyond").isNotNull() | (F.col("least") - F.col("near") <= eps + 1e-9)).drop("least")
         if turn:
-            after = after.drop("least").unionByName(cells.join(sizes.select("cell"), "cell", "left_anti"))
-        after = after.select("cell", "x", "near", "beyond").join(labels, "x")
-        several = after.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b")
-        cells = common.stored(after.join(several.select("cell", "members"), "cell").select("cell", "x", "near", "beyond", "members"), "cells")
-        if cells.where(F.col("members") > LEAF).isEmpty():
-            break
-        cells = cells.drop("members")
-    cells = cells.select("cell", "x", "near", "beyond").join(labels, "x")
+            after = after.unionByName(cells.join(sizes.select("cell"), "cell", "left_anti"))
+        after = after.join(labels, "x")
+        several = after.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        cells = common.stored(after.join(several.select("cell"), "cell").select("cell", "x", "n", "near", "beyond"), "cells")
+    cells = common.stored(_with_signature(cells.join(labels, "x"), nodes), "leaves")
     a, b = cells.alias("a"), cells.alias("b")
     window = ~F.coalesce(F.col("b.beyond") - F.col("a.near") > eps + 1e-9, F.lit(False)) & ~F.coalesce(F.col("a.beyond") - F.col("b.near") > eps + 1e-9, F.lit(False))
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.component") != F.col("b.component")) & window)
-    pairs = pairs.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
-    _, near = confirmed(pairs, nodes, docs, k, similarity)
-    found = near.select("x", "y")
-    labels = _labels(spark, nodes, found if links is None else links.unionByName(found))
+    meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.component") != F.col("b.component")) & window
+    meet &= _sizes_allow("a.n", "b.n", similarity) & _difference_allows(_differing_bits("a", "b"), "a.n", "b.n", similarity)
+    pairs = a.join(b, meet).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
+    found = confirmed(pairs, nodes, docs, k, similarity).select("x", "y")
+    labels = _labels(spark, nodes, links.unionByName(found))
     classes = nodes.select("fp1", "fp2", F.col("x").alias("class_id")).join(labels.select(F.col("x").alias("class_id"), "component"), "class_id")
     linked = rows.where("n > 0 and doc_id is not null").join(classes, ["fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))

@@ -16,6 +16,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
 SIGNATURE_BITS = 1024
+WIDE_BITS = 16_384
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,12 +75,12 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 1024 hash classes, as 16 signed 64-bit integers.
+def signature(shingles: np.ndarray, bits: int = SIGNATURE_BITS) -> np.ndarray:
+    """Parity of the shingles in each of `bits` (a power of two) hash classes, as signed 64-bit integers.
 
     Each shingle that two sets don't share flips one bit, so two signatures differ in no more bits than the sets differ in shingles.
     """
-    parity = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    parity = np.bincount((shingles >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
 

@@ -67,6 +67,7 @@ def corpus(seed=4):
 
 def test_join_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", 5)  # so that regions of regions are met
+    monkeypatch.setattr(jaccard, "WIDE_FROM", 60)
     monkeypatch.setattr(jaccard, "FLUSH", 1000)
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, n int, cell string, x long").repartition(4)
