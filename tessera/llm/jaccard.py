@@ -34,7 +34,7 @@ FREQUENT = 2
 FLUSH = 3_000_000
 #: Members up to which a cell is joined pair by pair once its first pivot is done. The join compares signatures before it gives a row.
 LEAF = 256
-ROUNDS = 4
+ROUNDS = 3
 #: Rows of the table of needed ids up to which it is broadcast to filter texts, instead of a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
 #: Sets of more shingles have a wide signature too, as 1024 bits say little about them.
@@ -193,7 +193,7 @@ def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     # near: exact distance to the last pivot if it is within eps; beyond: a lower bound of it if not.
     none = F.lit(None).cast("double")
     cells = common.stored(entries.join(nodes.select("fp1", "x", "n"), "fp1").select("cell", "x", "n", none.alias("near"), none.alias("beyond")), "cells")
-    links, labels = None, nodes.select("x", F.col("x").alias("component"))
+    links, labels = None, None
     priority = F.struct(F.xxhash64("x"), F.col("x"))
     for turn in range(ROUNDS):
         sizes = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min_by(F.struct("x", "n"), priority).alias("pivot"))
@@ -211,7 +211,7 @@ def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
         near = confirmed(bounded.where(_difference_allows(F.col("differ"), "nx", "ny", similarity)).select("x", "y", "nx", "ny"), nodes, docs, k, similarity)
         found = near.select("x", "y")
         links = found if links is None else common.stored(links.unionByName(found), "links")
-        labels = _labels(spark, nodes, links)
+        labels = common.components(spark, links, "x", "y").withColumnRenamed("node", "x")
         # The cells' next regions: members beyond eps of the pivot, and those within it whose window reaches one of them.
         known = bounded.select("x", F.col("y").alias("pivot"), "bound").join(near.select("x", F.col("y").alias("pivot"), "d"), ["x", "pivot"], "left")
         after = regions.join(known, ["x", "pivot"], "left")
@@ -220,27 +220,26 @@ def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
         after = after.withColumn("least", F.min("beyond").over(Window.partitionBy("cell"))).where(F.col("beyond").isNotNull() | (F.col("least") - F.col("near") <= eps + 1e-9)).drop("least")
         if turn:
             after = after.unionByName(cells.join(sizes.select("cell"), "cell", "left_anti"))
-        after = after.join(labels, "x")
+        after = _labelled(after, labels)
         several = after.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         cells = common.stored(after.join(several.select("cell"), "cell").select("cell", "x", "n", "near", "beyond"), "cells")
-    cells = common.stored(_with_signature(cells.join(labels, "x"), nodes), "leaves")
+    cells = common.stored(_with_signature(_labelled(cells, labels), nodes), "leaves")
     a, b = cells.alias("a"), cells.alias("b")
     window = ~F.coalesce(F.col("b.beyond") - F.col("a.near") > eps + 1e-9, F.lit(False)) & ~F.coalesce(F.col("a.beyond") - F.col("b.near") > eps + 1e-9, F.lit(False))
     meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.component") != F.col("b.component")) & window
     meet &= _sizes_allow("a.n", "b.n", similarity) & _difference_allows(_differing_bits("a", "b"), "a.n", "b.n", similarity)
     pairs = a.join(b, meet).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
     found = confirmed(pairs, nodes, docs, k, similarity).select("x", "y")
-    labels = _labels(spark, nodes, links.unionByName(found))
+    labels = _labelled(nodes.select("x"), common.components(spark, links.unionByName(found), "x", "y").withColumnRenamed("node", "x"))
     classes = nodes.select("fp1", "fp2", F.col("x").alias("class_id")).join(labels.select(F.col("x").alias("class_id"), "component"), "class_id")
     linked = rows.where("n > 0 and doc_id is not null").join(classes, ["fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
-def _labels(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """x, component of every node."""
-    found = common.components(spark, links, "x", "y")
-    return common.stored(nodes.select("x").join(found.withColumnRenamed("node", "x"), "x", "left").select("x", F.coalesce("component", "x").alias("component")), "labels")
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the component of x; nodes without links, which labels don't hold, are their own."""
+    return rows.join(labels, "x", "left").withColumn("component", F.coalesce("component", "x"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
