@@ -52,7 +52,7 @@ def sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Each text's distinct k-word shingles as ascending 64-bit hashes; with fewer words, the whole sequence as one shingle."""
     words, bounds = word_hashes(texts)
     run = words.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, len(words))):  # a chunk of fewer words has no k-word shingles
         run[: len(words) - j] = mix(run[: len(words) - j] * np.uint64(_BASE) + words[j:])
     shingles = mix(run + np.uint64(k))
     out = []

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import common, jaccard, shingles
 
@@ -105,6 +106,21 @@ def test_shingles_see_words_alone():
     assert [len(s) for s in shingles.sets([b"", b" ", b"x"], 4)] == [0, 0, 1]
 
 
+def test_chunks_of_few_words():
+    for k in (4, 5):
+        for n in range(1, k):
+            few = " ".join("abcd"[:n]).encode()
+            long = b" ".join(b"w%d" % i for i in range(200_000))
+            alone = shingles.sets([few], k)
+            assert [len(s) for s in alone] == [1]
+            assert shingles.sets([b"", few, b""], k)[1].tolist() == shingles.sets([few, long], k)[0].tolist() == alone[0].tolist()
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([few.decode(), long.decode(), few.decode()])], ["doc_id", "text"])
+            assert len(long) > 1 << 20
+            got = list(shingles.of_batch(batch, k))
+            assert [(i, len(s)) for i, s in got] == [(1, 1), (2, 200_000 - k + 1), (3, 1)]
+            assert got[0][1].tolist() == got[2][1].tolist() == alone[0].tolist()
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 260)] + [(7, 7)]
