@@ -1,8 +1,9 @@
 """Mixing sources to target weights, in fixed-length blocks of words.
 
 Each source's words, in ascending doc_id order, are cut into blocks of `block` words. Output shards have `slots` slots each.
-A shard's slots are dealt to sources by a stratified multinomial draw: each source gets the whole part of its expected count, and the
-rest of the slots are drawn multinomially by the fractional parts, so that a source's total stays close to its target at any size.
+A source's slots in all are its target over the mean words of its blocks, so that the partial last block of a small source costs it nothing;
+the fractional rests of all sources are drawn once, systematically. Slots are then dealt to shards in proportion, a source's rest of
+one shard counting in the next, so that a source's total is within one slot of its target at any size.
 A source's slots are numbered through all shards, and slot j takes block P(j mod n) of its n blocks, where P is a
 pseudorandom permutation of the block numbers, another for each pass over the source. Blocks then join by source and number.
 
@@ -80,37 +81,56 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def dealt(counts: np.ndarray, phase: np.ndarray, n: int) -> np.ndarray:
+    """How many of the first n slots of the mix are each source's.
+
+    Slot j of a source that has c in all lies at (j + phase) / c of the way, and slots follow each other by place, so that wherever a shard
+    ends each source has had its share of the way within one slot, and its rest of one shard counts in the next. The place where
+    n slots have passed is found by bisection; sources at one place come in their order.
+    """
+
+    def passed(place: float) -> np.ndarray:
+        return np.clip(np.ceil(place * counts - phase), 0, counts).astype(np.int64)
+
+    low, high = 0.0, 1.0
+    for _ in range(52):
+        middle = (low + high) / 2
+        low, high = (middle, high) if passed(middle).sum() <= n else (low, middle)
+    before = passed(low)
+    tied = passed(high) - before
+    return before + np.clip(n - before.sum() - (np.cumsum(tied) - tied), 0, tied)
+
+
 def draws(plan: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """shard, source_no, first, n: how many slots each shard gives to each source, and their first number within the source.
 
-    plan: source_no, source_size, target. A shard's draw needs the targets of all sources: one row for each source is collected
-    and broadcast, no more than sources exist. A source never gets more than REPEATS slots for each of its blocks.
+    plan: source_no, source_size, target. A source's slots in all are its target over the mean words of its blocks (the last one is partial),
+    rounded up or down by one systematic draw for all sources. A shard's deal needs the slots of all sources: one row for
+    each source is collected and broadcast, no more than sources exist. A source never gets more than REPEATS slots for each of its blocks.
     """
     rows = plan.orderBy("source_no").select("source_no", "source_size", "target").collect()
     numbers = np.array([r["source_no"] for r in rows], dtype=np.int64)
-    want = np.array([r["target"] for r in rows], dtype=float) / block
-    blocks = np.array([-(-r["source_size"] // block) for r in rows], dtype=np.int64)
-    total = int(round(want.sum())) if len(rows) else 0
-    shards = -(-total // slots) if total else 0
+    sizes = np.array([r["source_size"] for r in rows], dtype=np.int64)
+    blocks = -(-sizes // block)
+    want = np.minimum(np.array([r["target"] for r in rows], dtype=float) * blocks / np.maximum(sizes, 1), REPEATS * blocks)
+    counts = np.floor(want + 1e-9).astype(np.int64)
+    rng = np.random.default_rng(seed)
+    rests = np.concatenate([[0.0], np.cumsum(np.maximum(want - counts, 0.0))])
+    counts += np.diff(np.floor(rests + rng.random())).astype(np.int64)
+    total = int(counts.sum())
     spark = plan.sparkSession
-    shared = spark.sparkContext.broadcast((numbers, want / want.sum() if total else want))
+    phase = (rng.random() + 0.6180339887498949 * np.arange(len(counts))) % 1  # spread evenly, so that places are too
+    shared = spark.sparkContext.broadcast((numbers, counts, phase))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, share = shared.value
+        numbers, counts, phase = shared.value
         for frame in frames:
             for shard in frame["id"]:
-                size = min(slots, total - int(shard) * slots)
-                whole = np.floor(size * share).astype(np.int64)
-                rest = size * share - whole
-                if (left := size - int(whole.sum())) > 0:
-                    whole = whole + np.random.default_rng([seed, int(shard)]).multinomial(left, rest / rest.sum())
-                yield pd.DataFrame({"shard": int(shard), "source_no": numbers, "n": whole})
-
-    counts = common.stored(spark.range(shards).mapInPandas(deal, "shard long, source_no long, n long"), "draws")
-    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    cap = spark.createDataFrame([(int(a), int(REPEATS * b)) for a, b in zip(numbers, blocks, strict=True)], "source_no long, most long")
-    numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(cap), "source_no")
-    return numbered.withColumn("n", F.greatest(F.lit(0), F.least("n", F.col("most") - F.col("first")))).where("n > 0").drop("most")
+                first = dealt(counts, phase, int(shard) * slots)
+                n = dealt(counts, phase, min(total, (int(shard) + 1) * slots)) - first
+                yield pd.DataFrame({"shard": int(shard), "source_no": numbers, "first": first, "n": n})[n > 0]
+
+    return spark.range(-(-total // slots)).mapInPandas(deal, "shard long, source_no long, first long, n long")
 
 
 def slots_of(drawn: DataFrame, plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:

@@ -150,6 +150,40 @@ def test_mixing(spark):
     assert all(r["text"] in whole[r["doc_id"]] for r in texts)
 
 
+def test_small_sources_get_their_targets(spark):
+    sizes = {"hot": 40_000} | {f"s{i:02}": n for i, n in enumerate([130, 30, 1, 127, 128, 129, 257, 383, 2, 31] * 4)}
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    for block in (128, 256):
+        kept, spans = mixing.mix(df, block=block, slots=32)
+        taken = Counter()
+        for s in spans.collect():
+            taken[s["source"]] += s["n_words"]
+        want = {r["source"]: r["target"] for r in kept.collect()}
+        assert all(want[s] == 2 * n for s, n in sizes.items() if s != "hot")
+        assert {s: taken[s] for s in sizes if s != "hot"} == {s: 2 * n for s, n in sizes.items() if s != "hot"}
+        assert abs(taken["hot"] - want["hot"]) <= 2 * block
+
+
+def test_draws_carry_rests_from_shard_to_shard(spark):
+    sizes = [100_000, 130, 30, 5000, 700, 0, *[900 + 7 * i for i in range(40)]]
+    targets = [90_000.0, 195.0, 60.0, 4000.5, 1399.0, 0.0, *[1.3 * n for n in sizes[6:]]]
+    plan = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(zip(sizes, targets, strict=True))], "source_no long, source_size long, target double")
+    got = sorted(mixing.draws(plan, block=128, slots=16).collect(), key=lambda r: (r["shard"], r["source_no"]))
+    shards, totals = Counter(), Counter()
+    for r in got:
+        assert r["first"] == totals[r["source_no"]] and r["n"] > 0
+        shards[r["shard"]] += r["n"]
+        totals[r["source_no"]] += r["n"]
+    assert all(shards[i] == 16 for i in range(len(shards) - 1)) and 0 < shards[len(shards) - 1] <= 16
+    for i, (n, t) in enumerate(zip(sizes, targets, strict=True)):
+        want = t * -(-n // 128) / max(n, 1)
+        assert abs(totals[i] - want) < 1
+    every = sum(totals.values())
+    for r in got:  # what came before, in proportion
+        share = totals[r["source_no"]] / every
+        assert abs(r["first"] - share * 16 * r["shard"]) < 1 + share * len(sizes)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutation(n):
     import numpy as np
