@@ -40,19 +40,23 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more): that of least doc_id."""
-    classes = jaccard.join(docs, k=5, similarity=80)
-    copies = common.stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more): that of least doc_id.
+
+    Rows are told apart by a number of their own, so those with null ids have copies too, and those that share an id but not a text stay.
+    """
+    rows = common.numbered(docs, "rows")
+    classes = jaccard.join(rows.select(F.col(common.ROW).alias("doc_id"), "text"), k=5, similarity=80)
+    members = classes.select(F.col("doc_id").alias(common.ROW), "component_id").join(rows.select(common.ROW, "doc_id"), common.ROW)
+    least = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", common.ROW)).alias("least"))
+    kept = common.stored(least.select(f"least.{common.ROW}"), "kept")
+    return rows.join(kept, common.ROW, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix sources to their target weights; a row for each part of a document that a slot of the mix takes."""
-    _, spans = mixing.mix(docs, block=BLOCK)
-    return mixing.mixed_texts(docs, spans)
+    rows = common.numbered(docs, "rows")
+    _, spans = mixing.mix(rows, block=BLOCK)
+    return mixing.mixed_texts(rows, spans)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A stored number of each row, for stages that must tell rows apart whose ids are null or repeated.
+ROW = "_row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a unique long in column _row, stored, so that everything that reads it sees the same numbers."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

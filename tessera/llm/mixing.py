@@ -35,10 +35,10 @@ _WORD = re.compile(common.WORD_PATTERN.encode())
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of each whole text (null: 0)."""
-
-    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "source", "text")
-    return common.map_text(ids, "size long", lambda: lambda texts: [[common.count_words(t) for t in texts]], ("doc_id", "source"))
+    """doc_id, source, size: words of each whole text (null: 0); and _row, if docs are numbered."""
+    keep = ("doc_id", "source", *(c for c in docs.columns if c == common.ROW))
+    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*keep, "text")
+    return common.map_text(ids, "size long", lambda: lambda texts: [[common.count_words(t) for t in texts]], keep)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -156,10 +156,13 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
     shard, slot, source, block_no, doc_id, row, first_word, n_words, in which a document is repeated as often as its blocks are.
 
     Null texts, and texts without words, have size 0 and are never taken; null sources are one source, the last. Equal rows count as rows
-    of their own (row tells them apart). An empty table gives no rows; columns other than doc_id, text and source aren't read.
+    of their own (row tells them apart: it is _row of numbered docs, else a number that only this result has). An empty table gives no rows;
+    columns other than doc_id, text, source and _row aren't read.
     """
-    sizes = common.prefix_sums(sized(docs), "size", ["doc_id"], ["source"], into="begin")
-    sizes = common.stored(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    keyed = common.ROW in docs.columns
+    sizes = common.prefix_sums(sized(docs), "size", ["doc_id", common.ROW] if keyed else ["doc_id"], ["source"], into="begin")
+    sizes = sizes.withColumnRenamed(common.ROW, "row") if keyed else sizes.withColumn("row", F.monotonically_increasing_id())
+    sizes = common.stored(sizes, "sizes")
     plan = targets(sizes)
     plan = common.stored(plan.withColumn("source_no", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long")), "targets")
     rows = sizes.alias("d").join(F.broadcast(plan).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.source_no")
@@ -175,15 +178,20 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
 def mixed_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The mix as rows of docs' columns: for each span, its document's row with text cut to the span's words and, if there is one, n_chars set.
 
-    Words keep the white space between them. Documents are found by doc_id; of rows that repeat an id, any one gives the text.
+    Words keep the white space between them. Documents are found by _row, if docs were numbered (common.numbered) before mix(); else by
+    doc_id, and docs with null or repeated ids are refused. _row isn't among the columns of the result.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c != common.ROW]
     rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
-    if not whole.groupBy("doc_id").count().where("count > 1").isEmpty():
-        whole = whole.dropDuplicates(["doc_id"])
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "first_word", "n_words"))).alias("cuts"))
-    rows = whole.alias("d").join(cuts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.doc_id", "_rest", "cuts", "text")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"), *(c for c in docs.columns if c == common.ROW))
+    if common.ROW in docs.columns:
+        key, cuts = common.ROW, spans.withColumnRenamed("row", common.ROW)
+    else:
+        key, cuts = "doc_id", spans
+        if not whole.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+            raise ValueError("documents with null or repeated ids: number them with common.numbered before mix")
+    cuts = cuts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "first_word", "n_words"))).alias("cuts"))
+    rows = whole.join(cuts, key).select("doc_id", "_rest", "cuts", "text")
     schema = StructType([*rows.select("doc_id", "_rest").schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.llm import chat, mixing, urls
+from tessera.llm import chat, common, mixing, urls
 
 SAID = "\\### Assistant: </turn> ok"
 PIECES = ["a", "b c", "\\", "\\\\", "#", "###", "<", "</turn>\n", "\\h", "\\l", ":", "\n", "é", "\U0001f600", " ", SAID]
@@ -200,6 +200,35 @@ def test_mixing_empty(spark):
     assert kept.count() == 0 and spans.count() == 0 and mixing.mixed_texts(none, spans).count() == 0
 
 
+def test_pipeline_keeps_rows_with_null_or_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c", 700)), (None, text("a")), (7, text("d")), (7, text("e", 600)), (7, text("d")), (9, text("f")), (3, text("f")), (None, text("f")), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row int").repartition(3)
+    kept = p.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], (r["text"] or "")[:1], len(r["text"] or "")) for r in kept.collect()), key=str)
+    want = [(None, text("a")), (None, text("b")), (None, text("c", 700)), (7, text("d")), (7, text("e", 600)), (3, text("f")), (5, "")]
+    assert got == sorted(((i, t[:1], len(t)) for i, t in want), key=str)
+    kept = common.stored(kept, "kept")
+    mixed = p.mix_sources(spark, kept, "")
+    assert mixed.columns == df.columns
+    whole = {r["row"]: r for r in kept.collect()}
+    words = Counter()
+    for r in mixed.collect():
+        own = whole[r["row"]]
+        assert r["text"] in own["text"] and (r["doc_id"], r["source"], r["n_chars"]) == (own["doc_id"], own["source"], len(r["text"]))
+        words[r["row"]] += len(r["text"].split())
+    rows = common.numbered(kept, "rows")
+    sizes, spans = mixing.mix(rows, block=p.BLOCK)
+    assert sum(words.values()) == spans.agg({"n_words": "sum"}).first()[0]
+    full = {r["source"] for r in sizes.collect() if r["target"] == 2 * r["source_size"]}
+    assert all(words[k] == 2 * len(r["text"].split()) for k, r in whole.items() if r["text"] and r["source"] in full)
+    with pytest.raises(ValueError, match="null or repeated"):
+        mixing.mixed_texts(kept, spans)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
