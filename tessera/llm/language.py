@@ -172,14 +172,19 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarr
 def _one_language(scores: np.ndarray, penalty: float) -> int | None:
     """The text's language if one language throughout is provably Viterbi's best path, else None.
 
-    Any stretch in other languages costs a penalty for each change; if no stretch in any of them gains more
-    than the penalty over the best single language, no path with changes is better.
+    A path that uses this language pays a change for each stretch in another, so it is worse if no stretch gains the penalty. One that never
+    uses it pays a change less than it has stretches; it gains no more than the best other language of each word does, so it is
+    worse if these gains together are below one penalty.
     """
     whole = scores.sum(axis=0)
     top = int(whole.argmax())
-    gain = np.cumsum(scores - scores[:, top : top + 1], axis=0)
+    over = scores - scores[:, top : top + 1]
+    gain = np.cumsum(over, axis=0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, scores.shape[1])), gain[:-1]]), axis=0)
-    return top if (gain - low).max() <= penalty else None
+    if (gain - low).max() >= penalty:
+        return None
+    over[:, top] = -np.inf
+    return top if over.max(axis=1).sum() < penalty else None
 
 
 def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:

@@ -105,6 +105,23 @@ def test_viterbi_and_its_shortcut(seed):
                 assert abs(scores[:, one].sum() - top) < 1e-9
 
 
+def test_shortcut_sees_paths_without_the_top_language():
+    scores = np.array([[0.0, 10.0, -100.0], [0.0, -100.0, 10.0]])
+    assert language._one_language(scores, 12.0) is None
+    assert language.viterbi([scores], 12.0)[0].tolist() == [1, 2]
+    assert language._one_language(scores[:, :1], 12.0) == 0
+    assert language._one_language(np.array([[5.0, 0.0, -1.0]] * 4), 12.0) == 0
+    rng = np.random.default_rng(3)
+    taken = 0
+    for _ in range(2000):
+        scores = rng.normal(size=(rng.integers(1, 6), 3)) * 12
+        scores[:, 0] += 6
+        if (one := language._one_language(scores, 12.0)) is not None:
+            taken += 1
+            assert language.viterbi([scores], 12.0)[0].tolist() == [one] * len(scores)
+    assert taken > 100
+
+
 def test_languages_and_mixed_spans(spark):
     rng = random.Random(2)
     syllables = {"aa": ["tha", "ing", "ou", "wer"], "bb": ["keit", "sch", "ung", "ei"], "cc": ["иж", "ова", "ны", "ст"]}
