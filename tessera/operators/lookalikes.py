@@ -17,7 +17,9 @@ THRESHOLD = 0.55
 
 
 def most_differing_bits(threshold: float = THRESHOLD) -> int:
-    """Largest hash distance at which the score can still reach the threshold (colours give 0.45 at most)."""
+    """Largest hash distance at which the score can still reach the threshold (colours give 0.45 at most; beyond 32 bits shape gives 0)."""
+    if threshold <= 0.45 + 1e-9:  # colours alone can reach it
+        return 64
     return math.floor(32 * (1 - max(0.0, (threshold - 0.45) / 0.55)) + 1e-9)
 
 

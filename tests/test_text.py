@@ -73,3 +73,13 @@ def test_perceptual_hash_matches_a_direct_transform(spark):
     basis = np.cos((2 * k[None] + 1) * k[:, None] * np.pi / (2 * side)) * np.where(k[:, None] == 0, np.sqrt(1 / side), np.sqrt(2 / side))
     low = (basis @ image @ basis.T)[:size, :size].ravel()
     assert got == "".join("1" if v > np.median(low[1:]) else "0" for v in low)
+
+
+def test_colours_alone_can_match(spark):
+    """Equal histograms and opposite hashes score 0.45."""
+    assert [lookalikes.most_differing_bits(t) for t in (0.4, 0.45, 1.0)] == [64, 64, 0]
+    rows = [(1, 0, 0, [0.5, 0.5]), (2, 2**32 - 1, 2**32 - 1, [0.5, 0.5]), (3, 2**32 - 1, 2**32 - 1, [1.0, 0.0])]
+    prints = spark.createDataFrame(rows, "id long, hi long, lo long, histogram array<double>")
+    got = [tuple(r) for r in lookalikes.best_matches(prints.where("id = 1"), prints, threshold=0.4).collect()]
+    assert got == [(1, 2, 1, 0.45)]
+    assert {(r["id_a"], r["id_b"]) for r in lookalikes.similar_pairs(prints, threshold=0.4).collect()} == {(1, 2), (2, 3)}
