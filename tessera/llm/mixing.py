@@ -130,7 +130,8 @@ def draws(plan: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = S
                 n = dealt(counts, phase, min(total, (int(shard) + 1) * slots)) - first
                 yield pd.DataFrame({"shard": int(shard), "source_no": numbers, "first": first, "n": n})[n > 0]
 
-    return spark.range(-(-total // slots)).mapInPandas(deal, "shard long, source_no long, first long, n long")
+    # Stored, as else the stage that takes blocks would run two Python workers for each task.
+    return common.stored(spark.range(-(-total // slots)).mapInPandas(deal, "shard long, source_no long, first long, n long"), "draws")
 
 
 def slots_of(drawn: DataFrame, plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
