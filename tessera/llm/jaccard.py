@@ -1,19 +1,21 @@
 """N-gram Jaccard join: an exact similarity self-join in the metric space of shingle sets under Jaccard distance.
 
-Two sets within distance eps = 1 - t share a shingle among the first n - ceil(t n) + 1 of either, in any common order of
-shingles. So shingles of these prefixes are coarse cells that every near pair meets in; sets that meet in none are at too great a distance
-and are never compared. The common order puts shingles that are frequent in some part of the corpus last, by a fixed-size table.
-
-In each cell the member of least priority (a hash of its id) is the pivot of a Voronoi region. Because priorities are the same in all cells, a
-group of near sets elects the same pivot nearly everywhere, and the distances to pivots number no more than the cells' entries:
-
-- members within eps of their pivot are linked to it; two of them need no comparison, as both are in its component;
-- a member y beyond eps and a member x within it can only be near if d(y, p) - d(x, p) <= eps (triangle inequality), so only members x in
-  that window are carried over, with all members beyond eps, into the cell's next region, which elects a pivot of its own;
-- a cell whose members have become one component is done. Small cells, and what is left after ROUNDS pivots, are joined pair by pair
-  across components, inside those windows.
-
-Lower bounds from set sizes and parity signatures spare most exact distances; every link is confirmed on the full sets.
+Cells. Two sets within distance eps = 1 - t share a shingle among the first n - ceil(t n) + 1 of either, in any common order of shingles. So
+shingles of these prefixes are coarse cells in which every near pair meets; sets that meet in none are too far apart and are never
+compared. The common order puts shingles that are frequent in some part of the corpus last, by a fixed-size table. Cells of equal members count once.
+
+Regions. Each cell elects its most central member as pivot: the one that shares most of its prefix with others, so that a group of near sets elects
+the same pivot nearly everywhere. Cells of one pivot form its region, and a pair is compared once in a region however many cells it shares.
+
+Recursion. A region of bounded size is joined in one task: pivot after pivot, most central first, where the triangle inequality
+|d(x, p) - d(y, p)| <= d(x, y) and common components rule members out. A larger region elects many pivots, which are compared with all its members in
+blocks of bounded size. Its members go to the Voronoi region of their nearest pivot (pivots closer than 4 eps share one; members beyond 3 eps
+of all go to an outer region), and those whose distance to another region's pivot is within the window min(d(nearest) + 2 eps, 4 eps) are
+replicated to it. Pivots are done by then and leave; regions that links have made one component are done as well. Regions join
+recursively until they are bounded. New pivots come from members outside a region's largest component only, so that a large group of
+near copies costs a few rounds and not a comparison of all its pairs.
+
+Every link is confirmed on the full sets of shingles, as 64-bit hashes: two different shingles are taken for one with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -32,56 +34,49 @@ ORDER_CLASSES = 1 << 20
 #: Occurrences within one flush of one task from which a shingle counts as frequent.
 FREQUENT = 2
 FLUSH = 3_000_000
-#: Members up to which a cell is joined pair by pair once its first pivot is done. The join compares signatures before it gives a row.
-LEAF = 256
-ROUNDS = 3
-#: Rows of the table of needed ids up to which it is broadcast to filter texts, instead of a shuffle of the texts.
+#: Bounds of a region, or a block of one, that a task joins: members, and shingles of all its sets together.
+MEMBERS = 2048
+SHINGLES = 2_000_000
+#: Pivots of a larger region in its first round; each further round elects twice as many, up to MEMBERS.
+PIVOTS = 64
+#: Rows of a table of ids or cells up to which it is broadcast to filter others, instead of a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Sets of more shingles have a wide signature too, as 1024 bits say little about them.
-WIDE_FROM = 2000
-_ROWS = "doc_id long, n long, fp1 long, fp2 long, signature array<long>, wide array<long>, shingle long, times long"
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass over the texts: a row for each document (size, digest and signature of its set), and rows of frequent shingles."""
+    """One pass over the texts: a row for each document (size and digest of its set), and rows of frequent shingles."""
+    names = ["doc_id", "n", "fp1", "fp2", "shingle", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
         seen: set[int] = set()
+        total = 0
 
         def frequent() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(gathered or [np.zeros(0, np.uint64)]), return_counts=True)
             some = times >= FREQUENT
             gathered.clear()
             seen.clear()
-            return batch_of([], values[some].view(np.int64), times[some])
-
-        def batch_of(rows: list[tuple], values: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-            n, m = len(rows), len(values)
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-            arrays = [pa.array([*c, *[None] * m], t) for c, t in zip(columns, kinds, strict=True)]
-            arrays += [pa.array([*[None] * n, *x.tolist()], pa.int64()) for x in (values, times)]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fp1", "fp2", "signature", "wide", "shingle", "times"])
+            none = pa.nulls(int(some.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(values[some].view(np.int64)), pa.array(times[some])], names)
 
-        none = np.zeros(0, np.int64)
         for batch in batches:
             rows = []
             for doc_id, own in shingles.of_batch(batch, k):
-                if not len(own):
-                    rows.append((doc_id, 0, None, None, None, None))
-                    continue
-                fp = shingles.fingerprint(own)
-                rows.append((doc_id, len(own), *fp, shingles.signature(own), shingles.signature(own, shingles.WIDE_BITS) if len(own) > WIDE_FROM else None))
-                if fp[0] not in seen:  # copies in one task count once
+                fp = shingles.fingerprint(own) if len(own) else (None, None)
+                rows.append((doc_id, len(own), *fp))
+                if len(own) and fp[0] not in seen:  # copies in one task count once
                     seen.add(fp[0])
                     gathered.append(own)
-                    if sum(map(len, gathered[-1:])) and len(seen) % 256 == 0 and sum(map(len, gathered)) > FLUSH:
+                    total += len(own)
+                    if total > FLUSH:
                         yield frequent()
-            yield batch_of(rows, none, none)
+                        total = 0
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.nulls(0, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.int64())] * 2], names)
         yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def order_table(surveyed: DataFrame) -> np.ndarray:
@@ -94,6 +89,10 @@ def order_table(surveyed: DataFrame) -> np.ndarray:
     return table
 
 
+def _prefix_length(n: int, similarity: int) -> int:
+    return n - -(-similarity * n // 100) + 1
+
+
 def prefixes(docs: DataFrame, k: int, similarity: int, table: np.ndarray) -> DataFrame:
     """Cell entries: shingle, fp1 of each set's prefix. Sets that a task has met before are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -108,10 +107,9 @@ def prefixes(docs: DataFrame, k: int, similarity: int, table: np.ndarray) -> Dat
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(fp)
-                n = len(own)
                 level = table[(own & np.uint64(ORDER_CLASSES - 1)).astype(np.int64)]
                 order = np.argsort((level.astype(np.uint64) << np.uint64(58)) | (own >> np.uint64(6)), kind="stable")
-                cells.append(own[order[: n - -(-similarity * n // 100) + 1]])
+                cells.append(own[order[: _prefix_length(len(own), similarity)]])
                 owners.append(np.full(len(cells[-1]), fp, dtype=np.int64))
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(owners))], ["cell", "fp1"])
@@ -119,57 +117,252 @@ def prefixes(docs: DataFrame, k: int, similarity: int, table: np.ndarray) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "cell long, fp1 long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """x, shingles of the documents whose ids are given (one row each)."""
-    ids = common.stored(ids.select("x").distinct(), "needed")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("x"), "text").join(F.broadcast(ids) if few else ids, "x", "left_semi")
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked to be broadcast if a count proves it small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(shingles.of_batch(batch, k))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["x", "shingles"])
 
-    return texts.mapInArrow(run, "x long, shingles array<long>")
+def coarse_regions(entries: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """region (its pivot), x, apart of all members: regions in which every near pair meets.
 
+    entries: cell, fp1; nodes: fp1, x, n. apart orders members, the most central ones (those with the largest share of their prefix in cells of
+    others) first. Only counts, extremes and xor digests are gathered by cell, which tasks reduce before the shuffle.
+    """
+    entries = common.stored(entries, "entries")
+    several = entries.groupBy("cell").agg(F.min("fp1").alias("low"), F.max("fp1").alias("high")).where("low <> high").select("cell")
+    met = common.stored(entries.join(_small(common.stored(several, "several")), "cell").distinct(), "met")
+    length = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
+    # Ten bits of the share that isn't met elsewhere, then a hash.
+    share = F.least(F.floor(1000 * (1 - F.col("cells") / length)), F.lit(1000)).cast("long")
+    apart = F.shiftleft(F.greatest(share, F.lit(0)), 52).bitwiseOR(F.xxhash64("x").bitwiseAND((1 << 52) - 1))
+    central = met.groupBy("fp1").agg(F.count("*").alias("cells")).join(nodes, "fp1").select("fp1", "x", apart.alias("apart"))
+    members = common.stored(met.join(central, "fp1").select("cell", "x", "apart"), "members")
+    cells = members.groupBy("cell").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("a"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"), F.min_by("x", "apart").alias("region")
+    )
+    kept = common.stored(cells.groupBy("n", "a", "b").agg(F.min("cell").alias("cell"), F.min("region").alias("region")).select("cell", "region"), "cells")
+    return common.stored(members.join(_small(kept), "cell").select("region", "x", "apart").distinct(), "regions")
+
+
+def node_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """x, n, shingles (ascending 64-bit hashes as bytes) of the documents whose ids x are given; equal sets of one id once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("x"), "text").join(_small(common.stored(ids, "needed")), "x", "left_semi")
 
-def _sizes_allow(nx: str, ny: str, similarity: int) -> Column:
-    """Sets of these sizes can be near at all."""
-    return F.least(nx, ny) * 100 >= F.greatest(nx, ny) * similarity
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(x, len(s), shingles.fingerprint(s)[0], s.tobytes()) for x, s in shingles.of_batch(batch, k) if len(s)]
+            if found:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["x", "n", "fp1", "shingles"])
+
+    sets = common.stored(texts.mapInArrow(run, "x long, n long, fp1 long, shingles binary"), "sets")
+    if not sets.groupBy("x", "fp1").count().where("count > 1").isEmpty():
+        sets = common.stored(sets.dropDuplicates(["x", "fp1"]), "sets")
+    return sets.drop("fp1")
+
+
+class Family:
+    """Some sets and their exact Jaccard distances."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        values, self.places = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mask = np.zeros(len(values), dtype=bool)
+        times = np.bincount(self.places)
+        #: Mean number of the family's sets that hold a shingle of the set: the most central sets have the most.
+        self.central = np.add.reduceat(times[self.places], self.starts) / self.sizes
+
+    def compare(self, i: int, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of all sets to set i, and which of them are near it."""
+        own = self.places[self.starts[i] : self.ends[i]]
+        self.mask[own] = True
+        shared = np.add.reduceat(self.mask[self.places], self.starts, dtype=np.int64)
+        self.mask[own] = False
+        union = self.sizes + self.sizes[i] - shared
+        return 1 - shared / union, 100 * shared >= similarity * union
+
+
+def _join_labels(labels: np.ndarray, near: np.ndarray) -> None:
+    """Give all sets of the components that `near` touches one label."""
+    some = np.unique(labels[near])
+    if len(some) > 1:
+        labels[np.isin(labels, some)] = some[0]
+
+
+def _stars(ids: np.ndarray, labels: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links of every id to the least one of its component."""
+    least = np.full(len(labels), np.iinfo(np.int64).max)
+    np.minimum.at(least, labels, ids)
+    to = least[labels]
+    return ids[ids != to].tolist(), to[ids != to].tolist()
+
+
+def join_region(ids: np.ndarray, sets: list[np.ndarray], similarity: int) -> tuple[list[int], list[int]]:
+    """Links that connect whatever sets of a bounded region near pairs connect: pivot after pivot, the most central first.
+
+    A pivot is compared only if some set of another component is inside the windows of all pivots before it.
+    """
+    eps, n = 1 - similarity / 100, len(ids)
+    labels = np.arange(n)
+    if n == 2:
+        _join_labels(labels, Family(sets).compare(0, similarity)[1])
+        return _stars(ids, labels)
+    family = Family(sets)
+    lower = np.zeros((n, n)) if n <= 64 else None  # the best bound of each pair's distance, or (of many sets) some pivots' distances
+    known: list[np.ndarray] = []
+    for i in np.argsort(-family.central, kind="stable"):
+        other = labels != labels[i]
+        if not other.any():
+            if (labels == labels[0]).all():
+                break
+            continue
+        other &= 100 * np.minimum(family.sizes, family.sizes[i]) >= similarity * np.maximum(family.sizes, family.sizes[i])
+        if lower is not None:
+            other &= lower[i] <= eps + 1e-9
+        else:
+            for d in known:
+                other &= np.abs(d - d[i]) <= eps + 1e-9
+        if not other.any():
+            continue
+        distances, near = family.compare(i, similarity)
+        _join_labels(labels, near)
+        if lower is not None:
+            np.maximum(lower, np.abs(distances[:, None] - distances), out=lower)
+        elif len(known) < 32:
+            known.append(distances)
+    return _stars(ids, labels)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """Runs of rows that are equal in the first `keys` columns, as (key, values of the other columns)."""
+    key, rows = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads = np.stack([batch.column(c).to_numpy() for c in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1).tolist(), len(heads)]
+        columns = [batch.column(c).to_pylist() for c in range(keys, batch.num_columns)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(heads[a].tolist())
+            if now != key:
+                if rows is not None:
+                    yield key, rows
+                key, rows = now, [[] for _ in columns]
+            for kept, column in zip(rows, columns, strict=True):
+                kept += column[a:b]
+    if rows is not None:
+        yield key, rows
+
+
+def _arrays(values: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(v, dtype=np.uint64) for v in values]
+
+
+def bounded_links(regions: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """x, y: links within regions (region, x) of bounded size, each in one task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (ids, values) in _groups(batches, 1):
+            if len(ids) > 1:
+                links = join_region(np.array(ids, dtype=np.int64), _arrays(values), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links], ["x", "y"])
 
-def _difference_allows(differ: Column, nx: str, ny: str, similarity: int) -> Column:
-    """|A xor B| = u - i and |A| + |B| = u + i; so a lower bound of the former bounds i / u from above."""
-    total = F.col(nx) + F.col(ny)
-    return (total - differ) * 100 >= (total + differ) * similarity
+    rows = regions.join(sets, "x").select("region", "x", "shingles").repartition("region").sortWithinPartitions("region")
+    return rows.mapInArrow(run, "x long, y long")
 
 
-def _with_signature(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds a node's signature as columns s0, s1, ... so that comparing two compiles to a few instructions."""
-    return rows.join(nodes.select("x", *(F.get("signature", F.lit(i)).alias(f"s{i}") for i in range(shingles.SIGNATURE_BITS // 64))), "x")
+def divided(rows: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: int, turn: int) -> DataFrame:
+    """One round over large regions: links (x, y; region null) and members (region, x, apart, n; y null) of their Voronoi regions.
 
+    rows: region, x, apart, n, outside (may be a pivot); sizes: region, members, shingles, outsiders. Pivots are the first by apart of as many hash
+    buckets, and are sent to all blocks of their region; together their sets are no larger than a block on average. If all outsiders are pivots
+    the region is done and gives links only.
+    """
+    eps = 1 - similarity / 100
+    pivots = F.greatest(F.least(F.lit(min(PIVOTS << min(turn, 20), MEMBERS)), F.floor(SHINGLES * F.col("members") / F.col("shingles"))), F.lit(1)).cast("long")
+    sizes = sizes.withColumn("pivots", pivots).withColumn("last", F.col("outsiders") <= F.col("pivots"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("shingles") / SHINGLES)).cast("long"))
+    rows = rows.join(sizes.select("region", "pivots", "last", "blocks"), "region")
+    bucket = F.when(F.col("last"), F.col("x")).otherwise(F.pmod(F.xxhash64("x", F.lit(turn)), F.col("pivots")))
+    chosen = rows.where("outside").groupBy("region", bucket.alias("bucket"), "last", "blocks").agg(F.min_by("x", "apart").alias("x"), F.min("apart").alias("apart"))
+    chosen = chosen.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "last", "x", "apart")
+    members = rows.select("region", F.pmod(F.xxhash64("x", F.lit("block")), F.col("blocks")).alias("block"), F.lit(1).alias("role"), "last", "x", "apart")
+    both = chosen.unionByName(members).join(sets.select("x", "shingles"), "x").select("region", "block", "role", "last", "x", "apart", "shingles")
 
-def _differing_bits(a: str, b: str) -> Column:
-    total = F.lit(0).cast("long")
-    for i in range(shingles.SIGNATURE_BITS // 64):
-        total = total + F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")))
-    return total
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (region, _), (role, last, x, apart, values) in _groups(batches, 2):
+            ids, family, p = np.array(x, dtype=np.int64), Family(_arrays(values)), role.count(0)  # pivots are sorted before members
+            labels, far = np.arange(len(ids)), np.ones((p, len(ids)))
+            for i in range(p):
+                far[i], near = family.compare(i, similarity)
+                _join_labels(labels, near)
+            links = [pa.array(c, pa.int64()) for c in _stars(ids, labels)]
+            none = pa.nulls(len(links[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, links[0], none, none, links[1]], ["region", "x", "apart", "n", "y"])
+            if last[0]:
+                continue
+            centre = np.array([int(np.flatnonzero(far[: i + 1, i] <= 4 * eps)[0]) for i in range(p)])  # the first pivot this close, at the latest itself
+            nearest = far.min(axis=0)
+            stays = ~np.isin(ids, ids[:p])
+            stays[:p] = False
+            for c in [*np.unique(centre).tolist(), -1]:
+                if c < 0:
+                    here = nearest > 3 * eps
+                else:
+                    here = (distance := far[centre == c].min(axis=0)) <= np.minimum(nearest + 2 * eps, 4 * eps) + 1e-9
+                at = np.flatnonzero(here & stays)
+                if len(at):
+                    name = (region * 0x9E3779B97F4A7C15 + (c + 2) * 0xBF58476D1CE4E5B9 + turn + 1) % 2**63
+                    columns = [[name] * len(at), ids[at], [apart[j] for j in at], family.sizes[at], [None] * len(at)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["region", "x", "apart", "n", "y"])
+
+    both = both.repartition("region", "block").sortWithinPartitions("region", "block", "role")
+    return both.mapInArrow(run, "region long, x long, apart long, n long, y long")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.count_if("outside").alias("outsiders"))
+
+
+def near_links(regions: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """x, y: links that connect whatever near pairs connect, of regions of any size."""
+    rows = regions.join(sets.select("x", "n"), "x").withColumn("outside", F.lit(True))
+    links: list[DataFrame] = []
+    turn = 0
+    while True:
+        sizes = common.stored(_sizes(rows), "sizes")
+        bounded = f"members <= {MEMBERS} and shingles <= {SHINGLES}"
+        large = sizes.where(f"not ({bounded})")
+        some = not large.isEmpty()
+        small = rows.join(sizes.where(bounded).select("region"), "region") if some else rows
+        links.append(common.stored(bounded_links(small.select("region", "x"), sets, similarity), "links"))
+        if not some:
+            return _union(links)
+        rows = rows.join(large.select("region"), "region")
+        found = common.stored(divided(rows, large, sets, similarity, turn), "divided")
+        links.append(found.where("y is not null").select("x", "y"))
+        rows = found.where("y is null").select("region", "x", "apart", "n")
+        # What links have joined needs no comparison any more: new pivots come from outside a region's largest component.
+        labels = common.components(rows.sparkSession, _union(links), "x", "y").withColumnRenamed("node", "x")
+        rows = common.stored(_labelled(rows, labels), "labelled")
+        parts = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("region").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("largest")).where("parts > 1")
+        rows = common.stored(rows.join(largest, "region").select("region", "x", "apart", "n", (F.col("component") != F.col("largest")).alias("outside")), "rows")
+        turn += 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def confirmed(maybe: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """x, y, d (exact distance) of the pairs x, y, nx, ny that are near: first by wide signatures of long sets, then on the full sets."""
-    maybe = common.stored(maybe, "maybe")
-    long = (F.col("nx") > WIDE_FROM) & (F.col("ny") > WIDE_FROM)
-    wide = nodes.where(F.col("wide").isNotNull()).select("x", "wide")
-    pairs = maybe.where(long).join(wide.withColumnRenamed("wide", "a"), "x").join(wide.select(F.col("x").alias("y"), F.col("wide").alias("b")), "y")
-    differ = F.aggregate(F.zip_with("a", "b", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-    pairs = pairs.where(_difference_allows(differ, "nx", "ny", similarity)).select("x", "y", "nx", "ny")
-    maybe = common.stored(pairs.unionByName(maybe.where(~long).select("x", "y", "nx", "ny")), "candidates")
-    needed = common.stored(shingle_sets(docs, maybe.select("x").unionByName(maybe.select(F.col("y").alias("x"))), k), "sets").dropDuplicates(["x"])
-    both = maybe.join(needed.withColumnRenamed("shingles", "a"), "x").join(needed.select(F.col("x").alias("y"), F.col("shingles").alias("b")), "y")
-    both = both.withColumn("i", F.size(F.array_intersect("a", "b")).cast("long")).withColumn("u", F.col("nx") + F.col("ny") - F.col("i"))
-    near = both.where(F.col("i") * 100 >= F.col("u") * similarity).select("x", "y", (1 - F.col("i") / F.col("u")).alias("d"))
-    return common.stored(near, "near")
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the component of x; nodes without links, which labels don't hold, are their own."""
+    return rows.join(labels, "x", "left").withColumn("component", F.coalesce("component", "x"))
 
 
 def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
@@ -178,70 +371,24 @@ def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     Words are runs of non-white-space with A-Z as a-z; a text of fewer than k words has one shingle. class_id is the least doc_id of equal sets,
     component_id the least that links reach. Null and empty texts, and texts of white space, have no shingles and are
     their own component; so are rows with a null doc_id, whose ids stay null. Equal rows stay rows of their own; an empty table gives none.
-    Columns other than doc_id and text are not read. Texts are read whole, three times or more.
+    Columns other than doc_id and text are not read. Texts are read whole, three times; a long one is hashed in slices.
     """
-    spark = docs.sparkSession
-    eps = 1 - similarity / 100
     surveyed = common.stored(survey(docs, k), "survey")
-    rows = surveyed.where("shingle is null")
-    equal = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("x"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
-    nodes = common.stored(equal, "nodes")
-    everywhere = Window.partitionBy("cell")
-    entries = prefixes(docs.where("doc_id is not null"), k, similarity, order_table(surveyed))
-    entries = entries.withColumn("least", F.min("fp1").over(everywhere)).withColumn("most", F.max("fp1").over(everywhere)).where("least <> most")
-    entries = common.stored(entries.select("cell", "fp1"), "entries").distinct()
-    # near: exact distance to the last pivot if it is within eps; beyond: a lower bound of it if not.
-    none = F.lit(None).cast("double")
-    cells = common.stored(entries.join(nodes.select("fp1", "x", "n"), "fp1").select("cell", "x", "n", none.alias("near"), none.alias("beyond")), "cells")
-    links, labels = None, None
-    priority = F.struct(F.xxhash64("x"), F.col("x"))
-    for turn in range(ROUNDS):
-        sizes = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min_by(F.struct("x", "n"), priority).alias("pivot"))
-        if turn:
-            sizes = common.stored(sizes.where(F.col("members") > LEAF), "sizes")
-        if turn and sizes.isEmpty():
-            break
-        regions = cells.join(sizes, "cell").select("cell", "x", "n", F.col("pivot.x").alias("pivot"), F.col("pivot.n").alias("pivot_n")).where("x <> pivot")
-        starred = regions.where(_sizes_allow("n", "pivot_n", similarity)).select("x", F.col("n").alias("nx"), F.col("pivot").alias("y"), F.col("pivot_n").alias("ny")).distinct()
-        a = _with_signature(starred, nodes).alias("a")
-        b = _with_signature(nodes.select("x"), nodes).alias("b")
-        bits = F.greatest(_differing_bits("a", "b"), F.abs(F.col("nx") - F.col("ny")))
-        bounded = a.join(b, F.col("a.y") == F.col("b.x")).select("a.x", "a.y", "nx", "ny", bits.alias("differ"))
-        bounded = common.stored(bounded.withColumn("bound", 2 * F.col("differ") / (F.col("nx") + F.col("ny") + F.col("differ"))), "bounded")
-        near = confirmed(bounded.where(_difference_allows(F.col("differ"), "nx", "ny", similarity)).select("x", "y", "nx", "ny"), nodes, docs, k, similarity)
-        found = near.select("x", "y")
-        links = found if links is None else common.stored(links.unionByName(found), "links")
-        labels = common.components(spark, links, "x", "y").withColumnRenamed("node", "x")
-        # The cells' next regions: members beyond eps of the pivot, and those within it whose window reaches one of them.
-        known = bounded.select("x", F.col("y").alias("pivot"), "bound").join(near.select("x", F.col("y").alias("pivot"), "d"), ["x", "pivot"], "left")
-        after = regions.join(known, ["x", "pivot"], "left")
-        by_size = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        after = after.select("cell", "x", "n", F.col("d").alias("near"), F.when(F.col("d").isNull(), F.greatest(F.coalesce("bound", by_size), F.lit(eps))).alias("beyond"))
-        after = after.withColumn("least", F.min("beyond").over(Window.partitionBy("cell"))).where(F.col("beyond").isNotNull() | (F.col("least") - F.col("near") <= eps + 1e-9)).drop("least")
-        if turn:
-            after = after.unionByName(cells.join(sizes.select("cell"), "cell", "left_anti"))
-        after = _labelled(after, labels)
-        several = after.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        cells = common.stored(after.join(several.select("cell"), "cell").select("cell", "x", "n", "near", "beyond"), "cells")
-    cells = common.stored(_with_signature(_labelled(cells, labels), nodes), "leaves")
-    a, b = cells.alias("a"), cells.alias("b")
-    window = ~F.coalesce(F.col("b.beyond") - F.col("a.near") > eps + 1e-9, F.lit(False)) & ~F.coalesce(F.col("a.beyond") - F.col("b.near") > eps + 1e-9, F.lit(False))
-    meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.component") != F.col("b.component")) & window
-    meet &= _sizes_allow("a.n", "b.n", similarity) & _difference_allows(_differing_bits("a", "b"), "a.n", "b.n", similarity)
-    pairs = a.join(b, meet).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
-    found = confirmed(pairs, nodes, docs, k, similarity).select("x", "y")
-    labels = _labelled(nodes.select("x"), common.components(spark, links.unionByName(found), "x", "y").withColumnRenamed("node", "x"))
-    classes = nodes.select("fp1", "fp2", F.col("x").alias("class_id")).join(labels.select(F.col("x").alias("class_id"), "component"), "class_id")
-    linked = rows.where("n > 0 and doc_id is not null").join(classes, ["fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    rows = surveyed.where("shingle is null").select("doc_id", "n", "fp1", "fp2")
+    usable: Column = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    nodes = common.stored(rows.where(usable).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("x"), F.first("n").alias("n")), "nodes")
+    known = docs.where("doc_id is not null")
+    # A node is found by half of its digest; should halves agree, both nodes take part.
+    regions = coarse_regions(prefixes(known, k, similarity, order_table(surveyed)), nodes.select("fp1", "x", "n"), similarity)
+    sets = node_sets(known, regions.select("x").distinct(), k)
+    links = near_links(regions, sets, similarity)
+    labels = common.components(docs.sparkSession, links, "x", "y").withColumnRenamed("node", "x")
+    classes = _labelled(nodes.select("fp1", "fp2", "x"), labels)
+    linked = rows.where(usable).join(classes, ["fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("x").alias("class_id"), F.col("component").alias("component_id"))
+    alone = rows.where(~usable).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with the component of x; nodes without links, which labels don't hold, are their own."""
-    return rows.join(labels, "x", "left").withColumn("component", F.coalesce("component", "x"))
-
-
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 4-word shingle sets with similarity of 85 percent or more."""
     return join(common.documents(spark, sf_dir), k=4, similarity=85).select("doc_id", "n_shingles", "component_id", "class_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,11 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
-SIGNATURE_BITS = 1024
-WIDE_BITS = 16_384
+#: A word of so many bytes or more is hashed by a digest, so that no text needs arrays of its whole length.
+LONG_WORD = 1 << 16
+#: Bytes of a long text that are hashed at once.
+SLICE = 1 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,12 +49,40 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _power_tables(len(data))
     total = np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)])
     total = np.concatenate([np.zeros(1, np.uint64), total])
-    return mix((total[last] - total[first]) * down[first]), np.searchsorted(first, begins)
+    hashes = mix((total[last] - total[first]) * down[first])
+    for i in np.flatnonzero(last - first >= LONG_WORD):
+        hashes[i] = _long_word(data[first[i] : last[i]].tobytes())
+    return hashes, np.searchsorted(first, begins)
+
+
+def _long_word(word: bytes) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(word.lower(), digest_size=8).digest(), "little"))
+
+
+def _sliced_hashes(text: bytes) -> np.ndarray:
+    """Hashes of all words of one long text, SLICE bytes or a little more at a time."""
+    parts, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > SLICE:
+            white = _WHITE.search(text, at + SLICE)
+            end = white.start() if white else len(text)
+        if end - at > SLICE + LONG_WORD:  # the slice ends in a long word, which stands alone
+            begin = max(text.rfind(bytes([c]), at, at + SLICE) for c in b" \t\n\x0b\x0c\r") + 1 or at
+            parts += [word_hashes([text[at:begin]])[0], np.array([_long_word(text[begin:end])])]
+        else:
+            parts.append(word_hashes([text[at:end]])[0])
+        at = end
+    return np.concatenate(parts)
 
 
 def sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Each text's distinct k-word shingles as ascending 64-bit hashes; with fewer words, the whole sequence as one shingle."""
-    words, bounds = word_hashes(texts)
+    if len(texts) == 1 and len(texts[0]) > SLICE:
+        words = _sliced_hashes(texts[0])
+        bounds = np.array([0, len(words)])
+    else:
+        words, bounds = word_hashes(texts)
     run = words.copy()
     for j in range(1, min(k, len(words))):  # a chunk of fewer words has no k-word shingles
         run[: len(words) - j] = mix(run[: len(words) - j] * np.uint64(_BASE) + words[j:])
@@ -75,15 +107,6 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def signature(shingles: np.ndarray, bits: int = SIGNATURE_BITS) -> np.ndarray:
-    """Parity of the shingles in each of `bits` (a power of two) hash classes, as signed 64-bit integers.
-
-    Each shingle that two sets don't share flips one bit, so two signatures differ in no more bits than the sets differ in shingles.
-    """
-    parity = np.bincount((shingles >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
-
-
 def of_batch(batch: pa.RecordBatch, k: int, limit: int = 1 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, set) of each row of a batch with columns doc_id, text; a null text has the empty set."""
     from .common import byte_lengths, text_chunks
