@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -15,14 +16,19 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space as the contracts define it: space and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Rows of a narrow table up to which small() broadcasts it.
+BROADCAST_ROWS = 1_000_000
 
 _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one temporary folder per process."""
+    """The folder of spark.checkpoint.dir. Where that is unset, one temporary folder per process, but only if all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="tessera-"))
         base = _own_folder[0]
@@ -101,6 +107,36 @@ def map_text(df: DataFrame, new: str, make: Callable[[], Callable[[list[str | No
     return df.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def column(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, apart: Sequence[str]) -> DataFrame:
+    """Columns `apart` of df as they are, and all others in one struct _rest by their place, so that no name clashes with an operator's own."""
+    rest = [column(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in apart]
+    return df.select(*map(column, apart), F.struct(F.lit(0).alias("none"), *rest).alias("_rest"))
+
+
+def unpacked(columns: Sequence[str], apart: Sequence[str]) -> list[Column]:
+    """The columns that packed() was given, in their order, to select from rows with columns `apart` and _rest."""
+    return [column(c) if c in apart else F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of `limit` characters or a little more, cut before ASCII white space, so that no word is split."""
+    at = 0
+    while len(text) - at > limit and (cut := _SPACE.search(text, at + limit)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked to be broadcast if a count proves that it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def prefix_sums(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), into: str = "start") -> DataFrame:
     """Add column `into`: the exclusive running sum of `value` in the given order, per keys (or over all rows).
 
@@ -155,4 +191,4 @@ def components(spark: SparkSession, links: DataFrame, left: str = "a", right: st
 
 def count_words(text: str | None) -> int:
     """Number of words [^\\x20\\x09-\\x0D]+ of a text; a null text has none. UTF-8 bytes split at the same places."""
-    return len(text.encode("utf-8", "surrogatepass").split()) if text else 0
+    return sum(len(p.encode("utf-8", "surrogatepass").split()) for p in pieces(text)) if text else 0

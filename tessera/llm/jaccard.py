@@ -39,8 +39,6 @@ MEMBERS = 2048
 SHINGLES = 2_000_000
 #: Pivots of a larger region in its first round; each further round elects twice as many, up to MEMBERS.
 PIVOTS = 64
-#: Rows of a table of ids or cells up to which it is broadcast to filter others, instead of a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
@@ -117,11 +115,6 @@ def prefixes(docs: DataFrame, k: int, similarity: int, table: np.ndarray) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "cell long, fp1 long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked to be broadcast if a count proves it small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def coarse_regions(entries: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     """region (its pivot), x, apart of all members: regions in which every near pair meets.
 
@@ -130,7 +123,7 @@ def coarse_regions(entries: DataFrame, nodes: DataFrame, similarity: int) -> Dat
     """
     entries = common.stored(entries, "entries")
     several = entries.groupBy("cell").agg(F.min("fp1").alias("low"), F.max("fp1").alias("high")).where("low <> high").select("cell")
-    met = common.stored(entries.join(_small(common.stored(several, "several")), "cell").distinct(), "met")
+    met = common.stored(entries.join(common.small(common.stored(several, "several")), "cell").distinct(), "met")
     length = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
     # Ten bits of the share that isn't met elsewhere, then a hash.
     share = F.least(F.floor(1000 * (1 - F.col("cells") / length)), F.lit(1000)).cast("long")
@@ -141,12 +134,12 @@ def coarse_regions(entries: DataFrame, nodes: DataFrame, similarity: int) -> Dat
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("a"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"), F.min_by("x", "apart").alias("region")
     )
     kept = common.stored(cells.groupBy("n", "a", "b").agg(F.min("cell").alias("cell"), F.min("region").alias("region")).select("cell", "region"), "cells")
-    return common.stored(members.join(_small(kept), "cell").select("region", "x", "apart").distinct(), "regions")
+    return common.stored(members.join(common.small(kept), "cell").select("region", "x", "apart").distinct(), "regions")
 
 
 def node_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """x, n, shingles (ascending 64-bit hashes as bytes) of the documents whose ids x are given; equal sets of one id once."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("x"), "text").join(_small(common.stored(ids, "needed")), "x", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("x"), "text").join(common.small(common.stored(ids, "needed")), "x", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -70,16 +70,16 @@ def repeated_words(hashes: str, window: int = WINDOW) -> list[dict[str, Column]]
 
 
 def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs (which must not begin with an underscore) and the metrics: n_words, word_chars, n_symbols, n_dup_lines,
+    """All columns of docs, whatever their names, and the metrics: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lines, n_stop_words, n_capitals, n_exclamations, all long. Equal names in docs are replaced. A null text counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_capitals", "n_exclamations")
-    kept = [c for c in docs.columns if c not in names]
+    kept = ("_rest", "_given")
 
     def without(characters: str) -> Column:
         return F.length("_text") - F.length(F.translate("_text", characters, ""))
 
-    rows = docs.select(*kept, text.alias("_text")).withColumn("_words", F.filter(F.split("_text", _SPACES), lambda w: w != ""))
+    rows = common.packed(docs, [text_col]).select("_rest", common.column(text_col).alias("_given")).withColumn("_text", F.coalesce("_given", F.lit("")))
+    rows = rows.withColumn("_words", F.filter(F.split("_text", _SPACES), lambda w: w != ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(common.WORD_PATTERN)))
     rows = rows.select(
         *kept,
@@ -95,7 +95,8 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     for step in repeated_words("_hashes"):
         rows = rows.withColumns(step)
-    return rows.select(*kept, *names)
+    whole = rows.withColumnRenamed("_given", text_col) if text_col not in names else rows
+    return whole.select(*(c for c, name in zip(common.unpacked(docs.columns, [text_col]), docs.columns, strict=True) if name not in names), *names)
 
 
 def judge(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -39,6 +39,8 @@ LEAST_RATIO = 10.0
 #: Labelled rows that the model is fitted on at most: a sample by a hash of doc_id, which bounds the broadcast labels and terms.
 MAX_LABELLED = 200_000
 THRESHOLD = 0.7
+#: Probability of a segment as good somewhere in clean text of the same length, below which score() reports it as a toxic passage.
+SIGNIFICANCE = 0.05
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 SEGMENTS = "array<struct<first:int,last:int,score:double>>"
 
@@ -62,31 +64,32 @@ def words(text: str | None) -> list[str]:
 def maximal_segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, last, score) of a sequence of positive runs.
 
-    items: (first, last, score) of words that score above 0, in order; every word between them scores -DRIFT. Each item
-    enters the list of candidates once and is merged once, so the time is linear apart from the search to the left.
+    items: (first, last, score) of words that score above 0, in order; every word between them scores -DRIFT. Each candidate keeps a link
+    to the last one before it whose sum to the left is smaller. A search follows links and its result is the next link, so no
+    candidate is passed twice and the time is linear.
     """
-    stack: list[list[float]] = []  # first, last, total before it, total to its end
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, total before it, total to its end, link
     total, at = 0.0, -1
     for first, last, score in items:
-        total -= DRIFT * (first - at - 1)
-        new = [first, last, total, total + score]
-        total, at = new[3], last
+        left = total - DRIFT * (first - at - 1)
+        total, at = left + score, last
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
+            while j >= 0 and stack[j][2] >= left:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= total:
+                stack.append((first, last, left, total, j))
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            first, _, left, _, link = stack[j]
             del stack[j:]
-    return [(int(a), int(b), r - le) for a, b, le, r in stack]
+            j = link
+    return [(a, b, r - le) for a, b, le, r, _ in stack]
 
 
 class Scanner:
     """Finds the segments of texts; remembers the score of up to max_words distinct words."""
 
-    def __init__(self, terms: dict[str, float], max_words: int = 300_000):
+    def __init__(self, terms: dict[str, float], max_words: int = 200_000):
         self._terms, self._max, self._memory = terms, max_words, {}
 
     def score(self, word: str) -> float:
@@ -97,16 +100,19 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and maximal-scoring segments by places of words."""
-        found = words(text)
-        memory = self._memory
-        scores = list(map(memory.get, found))
-        if None in scores:
-            for i, s in enumerate(scores):
-                if s is None:
-                    scores[i] = s = self.score(found[i])
-                    if len(memory) < self._max:
-                        memory[found[i]] = s
-        return len(found), maximal_segments([(i, i, s) for i, s in enumerate(scores) if s > 0])
+        memory, n, items = self._memory, 0, []
+        for piece in common.pieces(text or ""):
+            found = words(piece)
+            scores = list(map(memory.get, found))
+            if None in scores:
+                for i, s in enumerate(scores):
+                    if s is None:
+                        scores[i] = s = self.score(found[i])
+                        if len(memory) < self._max:
+                            memory[found[i]] = s
+            items += [(n + i, n + i, s) for i, s in enumerate(scores) if s > 0]
+            n += len(found)
+        return n, maximal_segments(items)
 
 
 def evidence(segments: list[float], n_words: int, rate: float, scale: float) -> float:
@@ -128,6 +134,11 @@ def evidence(segments: list[float], n_words: int, rate: float, scale: float) ->
     return min(best, 700.0)
 
 
+def least_score(n_words: int, rate: float, scale: float, p: float) -> float:
+    """Score from which a segment is significant: clean text of n_words has one as good with probability p or less."""
+    return (math.log(max(scale * n_words, 1e-300)) - math.log(-math.log1p(-p))) / rate
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, text, label (0 or 1) of documents that may be learned from; at most about MAX_LABELLED by a hash of doc_id.
 
@@ -148,12 +159,14 @@ def document_counts(rows: DataFrame, vocabulary: dict[str, float] | None = None)
         seen: Counter[str] = Counter()
         for frame in frames:
             for text in frame["text"]:
-                own = {k for w in set(words(text)) for k in keys(w.strip(_EDGE)) if w}
+                distinct = set().union(*map(words, common.pieces(text or "")))
+                own = {k for w in distinct for k in keys(w.strip(_EDGE)) if w}
                 seen.update(own if vocabulary is None else own & vocabulary.keys())
                 if len(seen) > 500_000:
                     yield pd.DataFrame({"term": list(seen.keys()), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"term": list(seen.keys()), "n": list(seen.values())})
+        if seen:  # a task may have no rows, and an empty column no type
+            yield pd.DataFrame({"term": list(seen.keys()), "n": list(seen.values())})
 
     return rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -255,10 +268,10 @@ def scan(rows: DataFrame, terms: dict[str, float], keep: tuple[str, ...] = ("doc
     return common.map_text(rows, f"n_words long, segments {SEGMENTS}", make, keep)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), significance: float = SIGNIFICANCE) -> DataFrame:
     """Score every whole text: columns keep, then score, predicted, n_words, segments (each significant passage by places of its words).
 
-    Null and empty texts have no segments and get the curve's lowest score. Equal rows get equal results, one row each; an
+    All maximal segments count as evidence, also those that are not significant alone. Null and empty texts have no segments and get the curve's lowest score. Equal rows get equal results, one row each; an
     empty table gives none; other columns than text and keep are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -271,7 +284,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             found = [scanner.scan(t) for t in texts]
             proof = [evidence([s for _, _, s in x], n, model.rate, model.scale) for n, x in found]
             scores = [1 / (1 + math.exp(-(a + b * min(x, 50.0)))) for x in proof]
-            return [scores, [int(s >= THRESHOLD) for s in scores], [n for n, _ in found], [[{"first": a, "last": b, "score": s} for a, b, s in x] for _, x in found]]
+            least = [least_score(n, model.rate, model.scale, significance) for n, _ in found]
+            passages = [[{"first": a, "last": b, "score": s} for a, b, s in x if s >= t] for (_, x), t in zip(found, least, strict=True)]
+            return [scores, [int(s >= THRESHOLD) for s in scores], [n for n, _ in found], passages]
 
         return compute
 

@@ -3,11 +3,13 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import common, language, quality, toxicity
 
@@ -52,6 +54,39 @@ def test_maximal_segments(seed):
     assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_take_linear_time():
+    """Hits at wide gaps in a long clean text never merge, which makes a search through all candidates quadratic."""
+    began = time.process_time()
+    got = toxicity.maximal_segments([(30 * i, 30 * i, 0.5) for i in range(100_000)])
+    assert len(got) == 100_000 and time.process_time() - began < 5
+
+
+def test_significant_passages_only():
+    model = toxicity.Model({"vile": 2.0, "nasty": 9.0}, 1.0, 0.1, (-4.0, 1.0))
+    for n in (10, 1000, 100_000):
+        least = toxicity.least_score(n, model.rate, model.scale, 0.05)
+        assert abs(1 - np.exp(-model.scale * n * np.exp(-model.rate * least)) - 0.05) < 1e-9
+
+
+def test_toxicity_with_empty_tasks(spark):
+    """Tasks without toxic, clean or any rows count nothing and must not end the query."""
+    rows, labels = corpus(240)
+    docs = spark.createDataFrame(sorted(rows, key=lambda r: labels[r[0]][1]), "doc_id long, text string, lang string, source string, score double, predicted int")
+    docs = docs.repartitionByRange(12, "doc_id").unionByName(docs.limit(0)).withColumn("text", F.when(F.col("doc_id") < 200, F.col("text")))
+    known = spark.createDataFrame([(i, y) for i, y, _ in labels], "doc_id long, toxic int").repartition(1)
+    got = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    assert len(got) == 240 and all(r["predicted"] == 0 for r in got if r["doc_id"] >= 200)
+
+
+def test_pieces_and_long_texts():
+    text = " ".join(f"w{i}" for i in range(3000)) + "\u00a0x  \n" + "y" * 5000 + " end"
+    for limit in (1, 7, 100, 10**6):
+        parts = list(common.pieces(text, limit))
+        assert "".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
+    scanner = toxicity.Scanner({"w17": 3.0, "w2999": 2.0})
+    assert scanner.scan(text) == (len(text.split()), [(17, 17, 3.0), (2999, 2999, 2.0)])
+
+
 def corpus(n=900):
     rng = random.Random(1)
     clean, bad = [f"plain{i}" for i in range(200)], ["vilex", "nastyo", "grossu", "horrida"]
@@ -147,8 +182,10 @@ def test_quality_metrics(spark):
     for _ in range(60):
         w = [rng.choice("abcdefgh") if rng.random() < 0.3 else rng.choice("ab") for _ in range(rng.randint(0, 60))]
         texts.append(rng.choice([" ", "\n", "  "]).join(w))
-    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words string, kept_too int").repartition(3)
+    clashing = "doc_id long, text string, n_words string, kept_too int, _text string, _equal int, _rest int, `a.b` int"
+    df = spark.createDataFrame([(i, t, "clash", 1, "x", 7, 8, 9) for i, t in enumerate(texts)], clashing).repartition(3)
     got = {r["doc_id"]: r for r in quality.apply(df).collect()}
+    assert all((r["kept_too"], r["_text"], r["_equal"], r["_rest"], r["a.b"], r["text"]) == (1, "x", 7, 8, 9, texts[i]) for i, r in got.items())
     for i, text in enumerate(texts):
         t = text or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
