@@ -2,8 +2,9 @@
 
 Each source's words, in ascending doc_id order, are cut into blocks of `block` words. Output shards have `slots` slots each.
 A source's slots in all are its target over the mean words of its blocks, so that the partial last block of a small source costs it nothing;
-the fractional rests of all sources are drawn once, systematically. Slots are then dealt to shards in proportion, a source's rest of
-one shard counting in the next, so that a source's total is within one slot of its target at any size.
+the fractional rests of all sources are drawn once, systematically. A shard's counts of slots by source are a multinomial draw given these totals,
+that is, slots drawn without replacement (a multivariate hypergeometric law): so shards vary as independent draws do, but totals are exact.
+Shards are halved recursively and each half's counts are drawn given its parent's, so that any task finds any shard's counts in log2(shards) draws.
 A source's slots are numbered through all shards, and slot j takes block P(j mod n) of its n blocks, where P is a
 pseudorandom permutation of the block numbers, another for each pass over the source. Blocks then join by source and number.
 
@@ -27,6 +28,10 @@ from . import common
 BLOCK = 128
 SLOTS = 4096
 SEED = 20_240_501
+#: Slots up to which counts are drawn (numpy's bound is 10**9).
+LARGE = 500_000_000
+#: Slots that a task works out.
+TASK_SLOTS = 100_000
 #: Fixed by the contract: weights of sources in code-point order, repeating; share of all words; bound on repeats.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -35,9 +40,10 @@ _WORD = re.compile(common.WORD_PATTERN.encode())
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of each whole text (null: 0); and _row, if docs are numbered."""
-    keep = ("doc_id", "source", *(c for c in docs.columns if c == common.ROW))
-    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*keep, "text")
+    """doc_id, source, _hash (of the text), size: words of each whole text (null: 0); and _row, if docs are numbered."""
+    rows = [c for c in docs.columns if c == common.ROW]
+    keep = ("doc_id", "source", "_hash", *rows)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("_hash"), *rows, "text")
     return common.map_text(ids, "size long", lambda: lambda texts: [[common.count_words(t) for t in texts]], keep)
 
 
@@ -81,62 +87,68 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def dealt(counts: np.ndarray, phase: np.ndarray, n: int) -> np.ndarray:
-    """How many of the first n slots of the mix are each source's.
+def drawn(counts: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
+    """How many of n slots, drawn without replacement from counts by source, each source gets.
 
-    Slot j of a source that has c in all lies at (j + phase) / c of the way, and slots follow each other by place, so that wherever a shard
-    ends each source has had its share of the way within one slot, and its rest of one shard counts in the next. The place where
-    n slots have passed is found by bisection; sources at one place come in their order.
+    Beyond LARGE slots a draw differs from proportion by less than one in ten thousand, and gives way to it.
     """
+    total = int(counts.sum())
+    if total <= LARGE:
+        return np.random.default_rng(seed).multivariate_hypergeometric(counts, n, method="marginals")
+    share = counts * (n / total)
+    out = np.floor(share).astype(np.int64)
+    out[np.argsort(out - share, kind="stable")[: n - int(out.sum())]] += 1
+    return out
 
-    def passed(place: float) -> np.ndarray:
-        return np.clip(np.ceil(place * counts - phase), 0, counts).astype(np.int64)
 
-    low, high = 0.0, 1.0
-    for _ in range(52):
-        middle = (low + high) / 2
-        low, high = (middle, high) if passed(middle).sum() <= n else (low, middle)
-    before = passed(low)
-    tied = passed(high) - before
-    return before + np.clip(n - before.sum() - (np.cumsum(tied) - tied), 0, tied)
+def shard_counts(counts: np.ndarray, shard: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """First slot number and number of slots of each source in a shard."""
+    total = int(counts.sum())
+    low, high, first = 0, -(-total // slots), np.zeros(len(counts), dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = drawn(counts, (middle - low) * slots, [seed, low, high])
+        if shard < middle:
+            high, counts = middle, left
+        else:
+            low, first, counts = middle, first + left, counts - left
+    return first, counts
 
 
 def draws(plan: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """shard, source_no, first, n: how many slots each shard gives to each source, and their first number within the source.
 
     plan: source_no, source_size, target. A source's slots in all are its target over the mean words of its blocks (the last one is partial),
-    rounded up or down by one systematic draw for all sources. A shard's deal needs the slots of all sources: one row for
-    each source is collected and broadcast, no more than sources exist. A source never gets more than REPEATS slots for each of its blocks.
+    rounded up or down by one systematic draw for all sources. A shard's counts depend on the slots of all sources: two numbers for
+    each source are collected and broadcast, so ten million sources are 160 MB. A source never gets more than REPEATS slots for each of its blocks.
     """
-    rows = plan.orderBy("source_no").select("source_no", "source_size", "target").collect()
-    numbers = np.array([r["source_no"] for r in rows], dtype=np.int64)
-    sizes = np.array([r["source_size"] for r in rows], dtype=np.int64)
+    rows = plan.orderBy("source_no").select("source_no", "source_size", "target").toArrow()
+    numbers, sizes, target = (rows[c].to_numpy() for c in ("source_no", "source_size", "target"))
     blocks = -(-sizes // block)
-    want = np.minimum(np.array([r["target"] for r in rows], dtype=float) * blocks / np.maximum(sizes, 1), REPEATS * blocks)
+    want = np.minimum(target * blocks / np.maximum(sizes, 1), REPEATS * blocks)
     counts = np.floor(want + 1e-9).astype(np.int64)
-    rng = np.random.default_rng(seed)
     rests = np.concatenate([[0.0], np.cumsum(np.maximum(want - counts, 0.0))])
-    counts += np.diff(np.floor(rests + rng.random())).astype(np.int64)
-    total = int(counts.sum())
+    counts += np.diff(np.floor(rests + np.random.default_rng(seed).random())).astype(np.int64)
     spark = plan.sparkSession
-    phase = (rng.random() + 0.6180339887498949 * np.arange(len(counts))) % 1  # spread evenly, so that places are too
-    shared = spark.sparkContext.broadcast((numbers, counts, phase))
+    shared = spark.sparkContext.broadcast((numbers, counts))
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, counts, phase = shared.value
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, counts = shared.value
         for frame in frames:
             for shard in frame["id"]:
-                first = dealt(counts, phase, int(shard) * slots)
-                n = dealt(counts, phase, min(total, (int(shard) + 1) * slots)) - first
+                first, n = shard_counts(counts, int(shard), slots, seed)
                 yield pd.DataFrame({"shard": int(shard), "source_no": numbers, "first": first, "n": n})[n > 0]
 
     # Stored, as else the stage that takes blocks would run two Python workers for each task.
-    return common.stored(spark.range(-(-total // slots)).mapInPandas(deal, "shard long, source_no long, first long, n long"), "draws")
+    shards = -(-int(counts.sum()) // slots)
+    return common.stored(spark.range(shards).mapInPandas(draw, "shard long, source_no long, first long, n long"), "draws")
 
 
 def slots_of(drawn: DataFrame, plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """shard, slot, source_no, block_no: the block that each slot takes."""
-    with_size = drawn.join(F.broadcast(plan.select("source_no", "source_size")), "source_no")
+    total = drawn.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(drawn.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
+    with_size = drawn.join(common.small(plan.select("source_no", "source_size")), "source_no").repartition(parts, "shard", "source_no")
 
     def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -161,12 +173,13 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
     columns other than doc_id, text, source and _row aren't read.
     """
     keyed = common.ROW in docs.columns
-    sizes = common.prefix_sums(sized(docs), "size", ["doc_id", common.ROW] if keyed else ["doc_id"], ["source"], into="begin")
+    # Rows that share an id go by their texts' hashes, so that reruns agree; rows that share both are alike.
+    sizes = common.prefix_sums(sized(docs), "size", ["doc_id", "_hash", common.ROW] if keyed else ["doc_id", "_hash"], ["source"], into="begin").drop("_hash")
     sizes = sizes.withColumnRenamed(common.ROW, "row") if keyed else sizes.withColumn("row", F.monotonically_increasing_id())
     sizes = common.stored(sizes, "sizes")
     plan = targets(sizes)
     plan = common.stored(plan.withColumn("source_no", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long")), "targets")
-    rows = sizes.alias("d").join(F.broadcast(plan).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.source_no")
+    rows = sizes.alias("d").join(common.small(plan).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.source_no")
     taken = slots_of(draws(plan, block, slots, seed), plan, block, seed)
     # Each document's part of each block it reaches into; a long text reaches into many.
     parts = rows.where("size > 0").select("doc_id", "row", "source", "source_no", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block_no"))
@@ -182,9 +195,8 @@ def mixed_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Words keep the white space between them. Documents are found by _row, if docs were numbered (common.numbered) before mix(); else by
     doc_id, and docs with null or repeated ids are refused. _row isn't among the columns of the result.
     """
-    names = [c for c in docs.columns if c != common.ROW]
-    rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"), *(c for c in docs.columns if c == common.ROW))
+    apart = [c for c in ("doc_id", "text", "n_chars", common.ROW) if c in docs.columns]
+    whole = common.packed(docs, apart).withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_chars")
     if common.ROW in docs.columns:
         key, cuts = common.ROW, spans.withColumnRenamed("row", common.ROW)
     else:
@@ -212,7 +224,7 @@ def mixed_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("_rest").take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 
     taken = rows.mapInArrow(run, schema)
-    return taken.select(*(F.col(c) if c in ("doc_id", "text", "n_chars") else F.col(f"_rest.`{c}`").alias(c) for c in names))
+    return taken.select(*(c for c, name in zip(common.unpacked(docs.columns, apart), docs.columns, strict=True) if name != common.ROW))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

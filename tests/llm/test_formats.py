@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, common, mixing, urls
 
@@ -164,7 +165,7 @@ def test_small_sources_get_their_targets(spark):
         assert abs(taken["hot"] - want["hot"]) <= 2 * block
 
 
-def test_draws_carry_rests_from_shard_to_shard(spark):
+def test_draws_have_exact_totals_and_multinomial_shards(spark):
     sizes = [100_000, 130, 30, 5000, 700, 0, *[900 + 7 * i for i in range(40)]]
     targets = [90_000.0, 195.0, 60.0, 4000.5, 1399.0, 0.0, *[1.3 * n for n in sizes[6:]]]
     plan = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(zip(sizes, targets, strict=True))], "source_no long, source_size long, target double")
@@ -178,10 +179,31 @@ def test_draws_carry_rests_from_shard_to_shard(spark):
     for i, (n, t) in enumerate(zip(sizes, targets, strict=True)):
         want = t * -(-n // 128) / max(n, 1)
         assert abs(totals[i] - want) < 1
-    every = sum(totals.values())
-    for r in got:  # what came before, in proportion
+    # Counts vary as draws without replacement do: standardised, they have mean 0 and variance 1.
+    every, n_shards = sum(totals.values()), len(shards)
+    share = totals[0] / every
+    deviation = (16 * share * (1 - share) * (every - 16) / (every - 1)) ** 0.5
+    z = [(r["n"] - 16 * share) / deviation for r in got if r["source_no"] == 0 and r["shard"] < n_shards - 1]
+    assert len(z) > 60 and abs(sum(z) / len(z)) < 0.2 and 0.5 < sum(x * x for x in z) / len(z) < 1.7
+    for r in got:  # what came before stays near its share
         share = totals[r["source_no"]] / every
-        assert abs(r["first"] - share * 16 * r["shard"]) < 1 + share * len(sizes)
+        assert abs(r["first"] - share * 16 * r["shard"]) < 1 + 5 * (16 * r["shard"] * share) ** 0.5
+
+
+def test_large_draws_are_proportional():
+    import numpy as np
+
+    counts = np.array([3 * 10**10, 7, 10**9, 0, 2 * 10**9 + 1])
+    seen = np.zeros(5, dtype=np.int64)
+    left = mixing.drawn(counts, 10**10, [1])
+    assert left.sum() == 10**10 and (left <= counts).all() and (abs(left - counts * (10**10 / counts.sum())) < 1).all()
+    shards = -(-int(counts.sum()) // 4096)
+    for shard in (0, 1, 2, shards - 1):
+        first, n = mixing.shard_counts(counts, shard, 4096, 5)
+        assert n.sum() == (4096 if shard < shards - 1 else int(counts.sum()) - 4096 * (shards - 1)) and (first + n <= counts).all()
+        if shard < 3:
+            assert (first == seen).all()
+            seen += n
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
@@ -205,7 +227,8 @@ def test_pipeline_keeps_rows_with_null_or_repeated_ids(spark):
 
     text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
     rows = [(None, text("a")), (None, text("b")), (None, text("c", 700)), (None, text("a")), (7, text("d")), (7, text("e", 600)), (7, text("d")), (9, text("f")), (3, text("f")), (None, text("f")), (5, None)]
-    df = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row int").repartition(3)
+    df = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    df = df.withColumn("_", F.lit("under")).withColumn("a.b", F.lit(2)).repartition(3)
     kept = p.drop_near_copies(spark, df, "")
     assert kept.columns == df.columns
     got = sorted(((r["doc_id"], (r["text"] or "")[:1], len(r["text"] or "")) for r in kept.collect()), key=str)
