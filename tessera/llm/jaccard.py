@@ -15,7 +15,8 @@ replicated to it. Pivots are done by then and leave; regions that links have mad
 recursively until they are bounded. New pivots come from members outside a region's largest component only, so that a large group of
 near copies costs a few rounds and not a comparison of all its pairs.
 
-Every link is confirmed on the full sets of shingles, as 64-bit hashes: two different shingles are taken for one with probability 2**-64.
+Before full sets are shuffled, sizes and parity signatures, which bound distances from below, rule out members that can't be near any other of their
+region. Every link is confirmed on the full sets of shingles, as 64-bit hashes: two different shingles are taken for one with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -39,11 +40,14 @@ MEMBERS = 2048
 SHINGLES = 2_000_000
 #: Pivots of a larger region in its first round; each further round elects twice as many, up to MEMBERS.
 PIVOTS = 64
+#: Sets of more shingles have a wide signature too, as 1024 bits say little about them.
+WIDE_FROM = 2000
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass over the texts: a row for each document (size and digest of its set), and rows of frequent shingles."""
-    names = ["doc_id", "n", "fp1", "fp2", "shingle", "times"]
+    """One pass over the texts: a row for each document (size, digest and signatures of its set), and rows of frequent shingles."""
+    names = ["doc_id", "n", "fp1", "fp2", "shingle", "times", "signature", "wide"]
+    kinds = [pa.int64()] * 6 + [pa.binary()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
@@ -55,14 +59,18 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             some = times >= FREQUENT
             gathered.clear()
             seen.clear()
-            none = pa.nulls(int(some.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(values[some].view(np.int64)), pa.array(times[some])], names)
+            return batch_of(int(some.sum()), {"shingle": values[some].view(np.int64), "times": times[some]})
+
+        def batch_of(n: int, columns: dict) -> pa.RecordBatch:
+            arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             rows = []
             for doc_id, own in shingles.of_batch(batch, k):
                 fp = shingles.fingerprint(own) if len(own) else (None, None)
-                rows.append((doc_id, len(own), *fp))
+                wide = shingles.signature(own, shingles.WIDE_BITS) if len(own) > WIDE_FROM else None
+                rows.append((doc_id, len(own), *fp, shingles.signature(own) if len(own) else None, wide))
                 if len(own) and fp[0] not in seen:  # copies in one task count once
                     seen.add(fp[0])
                     gathered.append(own)
@@ -70,11 +78,11 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
                     if total > FLUSH:
                         yield frequent()
                         total = 0
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.nulls(0, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.int64())] * 2], names)
+            yield batch_of(len(rows), dict(zip(["doc_id", "n", "fp1", "fp2", "signature", "wide"], zip(*rows, strict=True), strict=False)))
         yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    schema = "doc_id long, n long, fp1 long, fp2 long, shingle long, times long, signature binary, wide binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def order_table(surveyed: DataFrame) -> np.ndarray:
@@ -253,6 +261,42 @@ def _arrays(values: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(v, dtype=np.uint64) for v in values]
 
 
+def _may_be_near(sizes: np.ndarray, signatures: np.ndarray, wide: list[np.ndarray | None], similarity: int) -> np.ndarray:
+    """Which of some sets may be near another one: |A xor B| = u - i and |A| + |B| = u + i, so a lower bound of the former bounds i / u from above."""
+    found = np.zeros(len(sizes), dtype=bool)
+    for i in range(len(sizes) - 1):
+        total, rest = sizes[i] + sizes[i + 1 :], slice(i + 1, None)
+        differ = np.maximum(np.bitwise_count(signatures[rest] ^ signatures[i]).sum(axis=1, dtype=np.int64), abs(sizes[rest] - sizes[i]))
+        near = np.flatnonzero((total - differ) * 100 >= (total + differ) * similarity)
+        if wide[i] is not None and len(near):
+            exact = np.array([0 if (other := wide[i + 1 + j]) is None else int(np.bitwise_count(other ^ wide[i]).sum(dtype=np.int64)) for j in near])
+            near = near[(total[near] - exact) * 100 >= (total[near] + exact) * similarity]
+        if len(near):
+            found[i] = True
+            found[i + 1 + near] = True
+    return found
+
+
+def plausible(regions: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """The rows of regions without members that, by sizes and signatures, can't be near any other of their region. Large regions stay whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (region,), (x, apart, n, signature, wide) in _groups(batches, 1):
+            if 1 < len(x) <= MEMBERS:
+                signatures = np.frombuffer(b"".join(signature), dtype=np.uint64).reshape(len(x), -1)
+                wides = [None if w is None else np.frombuffer(w, dtype=np.uint64) for w in wide]
+                at = np.flatnonzero(_may_be_near(np.array(n, dtype=np.int64), signatures, wides, similarity))
+                if len(at):
+                    columns = [[region] * len(at), [x[i] for i in at], [apart[i] for i in at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["region", "x", "apart"])
+
+    sizes = common.stored(regions.groupBy("region").agg(F.count("*").alias("members")), "region_sizes")
+    large = sizes.where(f"members > {MEMBERS}").select("region")
+    bounded = regions.join(sizes.where(f"members <= {MEMBERS}").select("region"), "region").join(nodes, "x").select("region", "x", "apart", "n", "signature", "wide")
+    checked = bounded.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, x long, apart long")
+    return checked.unionByName(regions.join(large, "region").select("region", "x", "apart"))
+
+
 def bounded_links(regions: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """x, y: links within regions (region, x) of bounded size, each in one task."""
 
@@ -367,12 +411,13 @@ def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     Columns other than doc_id and text are not read. Texts are read whole, three times; a long one is hashed in slices.
     """
     surveyed = common.stored(survey(docs, k), "survey")
-    rows = surveyed.where("shingle is null").select("doc_id", "n", "fp1", "fp2")
+    rows = surveyed.where("shingle is null").select("doc_id", "n", "fp1", "fp2", "signature", "wide")
     usable: Column = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
-    nodes = common.stored(rows.where(usable).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("x"), F.first("n").alias("n")), "nodes")
+    nodes = common.stored(rows.where(usable).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("x"), *(F.first(c).alias(c) for c in ("n", "signature", "wide"))), "nodes")
     known = docs.where("doc_id is not null")
     # A node is found by half of its digest; should halves agree, both nodes take part.
     regions = coarse_regions(prefixes(known, k, similarity, order_table(surveyed)), nodes.select("fp1", "x", "n"), similarity)
+    regions = common.stored(plausible(regions, nodes.select("x", "n", "signature", "wide"), similarity), "plausible")
     sets = node_sets(known, regions.select("x").distinct(), k)
     links = near_links(regions, sets, similarity)
     labels = common.components(docs.sparkSession, links, "x", "y").withColumnRenamed("node", "x")

@@ -16,6 +16,9 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
+#: Bits of a set's signature, and of a long set's wide signature (powers of two).
+SIGNATURE_BITS = 1024
+WIDE_BITS = 16_384
 #: A word of so many bytes or more is hashed by a digest, so that no text needs arrays of its whole length.
 LONG_WORD = 1 << 16
 #: Bytes of a long text that are hashed at once.
@@ -107,6 +110,15 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def signature(shingles: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
+    """Parity of the shingles in each of `bits` hash classes.
+
+    Each shingle that two sets don't share flips one bit, so two signatures differ in no more bits than the sets differ in shingles.
+    """
+    parity = np.bincount((shingles >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
 def of_batch(batch: pa.RecordBatch, k: int, limit: int = 1 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, set) of each row of a batch with columns doc_id, text; a null text has the empty set."""
     from .common import byte_lengths, text_chunks

@@ -69,6 +69,7 @@ def corpus(seed=4):
 def test_join_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MEMBERS", 8)  # so that regions of regions are met
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "WIDE_FROM", 60)
     monkeypatch.setattr(jaccard, "FLUSH", 1000)
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, n int, cell string, x long").repartition(4)
@@ -91,6 +92,16 @@ def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_signature_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    for bits in (shingles.SIGNATURE_BITS, shingles.WIDE_BITS):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, rng.integers(1, 500), dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, 20, dtype=np.uint64)]))
+            x, y = (int.from_bytes(shingles.signature(s, bits)) for s in (a, b))
+            assert (x ^ y).bit_count() <= len(np.setxor1d(a, b))
+
+
 def test_shingles_see_words_alone():
     one, two, three = shingles.sets([b"a b c d", b"A\tb\n c\x0bD  ", b"ab c d e"], 4)
     assert one.tolist() == two.tolist() != three.tolist()
