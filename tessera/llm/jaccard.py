@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -40,6 +40,8 @@ MEMBERS = 2048
 SHINGLES = 2_000_000
 #: Pivots of a larger region in its first round; each further round elects twice as many, up to MEMBERS.
 PIVOTS = 64
+#: Shingles of the HOT_LEVELS highest orders of magnitude (and of 2**LEAST_HOT occurrences or more) are hot: their cells' entries are spread over SALTS.
+HOT_LEVELS, LEAST_HOT, SALTS = 6, 10, 4096
 #: Sets of more shingles have a wide signature too, as 1024 bits say little about them.
 WIDE_FROM = 2000
 
@@ -100,13 +102,17 @@ def _prefix_length(n: int, similarity: int) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, similarity: int, table: np.ndarray) -> DataFrame:
-    """Cell entries: shingle, fp1 of each set's prefix. Sets that a task has met before are left out."""
+    """Cell entries: shingle, fp1 of each set's prefix, and a salt: 0, or of the most frequent shingles a number from 1 by the set.
+
+    Sets that a task has met before are left out.
+    """
+    top = int(table.max()) - HOT_LEVELS
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for batch in batches:
-            cells, owners = [], []
+            cells, owners, salts = [], [], []
             for _, own in shingles.of_batch(batch, k):
                 if not len(own) or (fp := shingles.fingerprint(own)[0]) in seen:
                     continue
@@ -115,23 +121,27 @@ def prefixes(docs: DataFrame, k: int, similarity: int, table: np.ndarray) -> Dat
                 seen.add(fp)
                 level = table[(own & np.uint64(ORDER_CLASSES - 1)).astype(np.int64)]
                 order = np.argsort((level.astype(np.uint64) << np.uint64(58)) | (own >> np.uint64(6)), kind="stable")
-                cells.append(own[order[: _prefix_length(len(own), similarity)]])
-                owners.append(np.full(len(cells[-1]), fp, dtype=np.int64))
+                first = order[: _prefix_length(len(own), similarity)]
+                cells.append(own[first])
+                owners.append(np.full(len(first), fp, dtype=np.int64))
+                salts.append(np.where(level[first] >= max(LEAST_HOT, top), 1 + fp % SALTS, 0))
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(owners))], ["cell", "fp1"])
+                columns = [np.concatenate(cells).view(np.int64), np.concatenate(owners), np.concatenate(salts).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "fp1", "salt"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cell long, fp1 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "cell long, fp1 long, salt int")
 
 
 def coarse_regions(entries: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     """region (its pivot), x, apart of all members: regions in which every near pair meets.
 
-    entries: cell, fp1; nodes: fp1, x, n. apart orders members, the most central ones (those with the largest share of their prefix in cells of
-    others) first. Only counts, extremes and xor digests are gathered by cell, which tasks reduce before the shuffle.
+    entries: cell, fp1, salt; nodes: fp1, x, n. apart orders members, the most central ones (those with the largest share of their prefix in cells of
+    others) first. One shuffle finds the cells of several sets; entries of the most frequent cells, which surely have several, are spread by their salt.
+    After that only counts, extremes and xor digests are gathered by cell, which tasks reduce before the shuffle.
     """
-    entries = common.stored(entries, "entries")
-    several = entries.groupBy("cell").agg(F.min("fp1").alias("low"), F.max("fp1").alias("high")).where("low <> high").select("cell")
-    met = common.stored(entries.join(common.small(common.stored(several, "several")), "cell").distinct(), "met")
+    cell = Window.partitionBy("cell", "salt")
+    several = entries.withColumn("low", F.min("fp1").over(cell)).withColumn("high", F.max("fp1").over(cell)).where("salt > 0 or low <> high")
+    met = common.stored(several.select("cell", "salt", "fp1").distinct().select("cell", "fp1"), "met")
     length = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
     # Ten bits of the share that isn't met elsewhere, then a hash.
     share = F.least(F.floor(1000 * (1 - F.col("cells") / length)), F.lit(1000)).cast("long")
