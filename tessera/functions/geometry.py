@@ -86,8 +86,8 @@ def touches_border(b: Column, width: Number, height: Number, margin: Number = 2)
     return (b["x"] <= m) | (b["y"] <= m) | (right(b) >= _col(width) - m) | (bottom(b) >= _col(height) - m)
 
 
-def padded(b: Column, width: Number, height: Number, percent: Number = 10.0, square: bool = True) -> Column:
-    """A margin of a percentage of the longer side; squares are shifted into the image, then clipped. Null for an empty box."""
+def padded(b: Column, width: Number, height: Number, percent: Number = 10.0, square: bool = True, strict: bool = False) -> Column:
+    """A margin of a percentage of the longer side; squares are shifted into the image, then clipped. Null for an empty box or, if strict, an error."""
     long = F.greatest(b["width"], b["height"])
     pad = whole(long * F.greatest(F.lit(0.0), _col(percent)) / 100.0)
     if square:
@@ -99,7 +99,8 @@ def padded(b: Column, width: Number, height: Number, percent: Number = 10.0, squ
         grown = box(x, y, side, side)
     else:
         grown = box(b["x"] - pad, b["y"] - pad, b["width"] + 2 * pad, b["height"] + 2 * pad)
-    return F.when((b["width"] > 0) & (b["height"] > 0), clip(grown, width, height))
+    whole_box = F.when((b["width"] > 0) & (b["height"] > 0), clip(grown, width, height))
+    return F.when((b["width"] <= 0) | (b["height"] <= 0), F.raise_error(F.lit("an empty box can't be padded"))).otherwise(whole_box) if strict else whole_box
 
 
 def halves(b: Column, direction: str | None = None) -> Column:

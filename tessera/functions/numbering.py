@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[str], bucket: Column, into: str = "number", start: int | Column = 1) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], bucket: Column, into: str = "number", start: int | Column = 1) -> DataFrame:
     """Number rows from `start` in the given order. `bucket` must ascend with that order and should hold few rows for each value.
 
     Rows are ranked within buckets; of each bucket only its count meets the others in one running sum.

@@ -86,7 +86,7 @@ def confidence(f: Column, limits: Limits = LIMITS) -> Column:
         (0.2, ramp(f["solidity"], 0.35, 0.8)),
         (0.15, ramp(f["texture"], 3.0, 15.0)),
     )
-    kept = 1 - 0.6 * F.greatest(F.lit(0.0), empty_slot_likelihood(f, limits) - 0.4) / 0.6
+    kept = 1 - F.greatest(F.lit(0.0), empty_slot_likelihood(f, limits) - 0.4)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * kept))
 
 
@@ -131,6 +131,34 @@ def flag_texts(flags: Column) -> Column:
     return F.transform(flags, lambda f: F.coalesce(F.try_element_at(known, f), f))
 
 
+# Linear sRGB to XYZ over the D65 white point, row by row, and that white.
+XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+WHITE = (0.950456, 1.0, 1.088754)
+
+
+def lab(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Column]:
+    """8-bit RGB as 8-bit LAB (lightness times 2.55, a and b plus 128), by the exact formula rounded half to even; tables of libraries may differ by one."""
+
+    def linear(c: Column) -> Column:
+        v = c / 255.0
+        return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+
+    parts = [linear(c) for c in (red, green, blue)]
+    bent = []
+    for row, white in zip(XYZ, WHITE, strict=True):
+        v = (parts[0] * row[0] + parts[1] * row[1] + parts[2] * row[2]) / white
+        bent.append(F.when(v > 0.008856, F.pow(v, F.lit(1.0 / 3.0))).otherwise(v * 7.787 + 16.0 / 116.0))
+    x, y, z = bent
+    byte = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.rint(v).cast("int")))
+    return byte((y * 116 - 16) * 2.55), byte((x - y) * 500 + 128), byte((y - z) * 200 + 128)
+
+
+def rgb_color_name(red: Column, green: Column, blue: Column) -> Column:
+    """Name of an 8-bit RGB colour, by way of 8-bit LAB."""
+    lightness, a, b = lab(red, green, blue)
+    return lab_color_name(lightness * 100 / 255, a - 128, b - 128)
+
+
 def lab_color_name(lightness: Column, a: Column, b: Column) -> Column:
     """Name of a colour from lightness 0-100 and centred a, b."""
     chroma, hue = F.hypot(a, b), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))

@@ -29,18 +29,20 @@ def html_escaped(c: Column) -> Column:
 
 
 def clean_tags(tags: Column, longest: int = 60) -> Column:
-    """Trimmed, lower case, single spaces, without empty and repeated ones (compared at full length), then cut."""
+    """Trimmed, lower case, single spaces, cut; without empty ones and those that equal an earlier result before they are cut."""
     tidy = F.transform(tags, lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")))
-    return F.transform(F.array_distinct(F.filter(tidy, lambda t: t != "")), lambda t: F.substring(t, 1, longest))
+    add = lambda out, t: F.when(F.array_contains(out, t), out).otherwise(F.array_append(out, F.substring(t, 1, longest)))
+    return F.aggregate(F.filter(tidy, lambda t: t != ""), F.array().cast("array<string>"), add)
 
 
 def split_tags(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
-def item_code(n: Column) -> Column:
-    """PIN-000001 and up; wider from a million on. Null below 1."""
-    return F.when(n >= 1, F.format_string("PIN-%06d", n))
+def item_code(n: Column, strict: bool = False) -> Column:
+    """PIN-000001 and up; wider from a million on. Below 1 null or, if strict, an error."""
+    code = F.when(n >= 1, F.format_string("PIN-%06d", n))
+    return F.when(n < 1, F.raise_error(F.lit("numbers of codes start at 1"))).otherwise(code) if strict else code
 
 
 def code_number(code: Column) -> Column:

@@ -51,7 +51,7 @@ def search(rows: DataFrame, want: ItemFilter) -> DataFrame:
     if want.tag:
         tests.append(F.exists("tags", lambda tag: t.nocase(tag) == t.nocase(F.lit(want.tag))))
     if want.color:
-        tests.append(F.exists("colors", lambda c: t.nocase(c["name"]) == t.nocase(F.lit(want.color))))
+        tests.append(t.contains_nocase(stored_colors(F.col("colors")), f'"name": "{want.color}"'))
     if want.photo_id:
         tests.append(F.col("photo_id") == want.photo_id)
     for test in tests:
@@ -59,6 +59,66 @@ def search(rows: DataFrame, want: ItemFilter) -> DataFrame:
     return rows.orderBy("item_code")
 
 
+def stored_colors(colors: Column) -> Column:
+    """The colours as the text that patterns are matched with, so that % and _ in a colour filter are wildcards."""
+    one = lambda c: F.format_string('{"hex": "%s", "name": "%s", "share": %s}', c["hex"], c["name"], c["share"].cast("string"))
+    return F.concat(F.lit("["), F.array_join(F.transform(colors, one), ", "), F.lit("]"))
+
+
+def get(rows: DataFrame, key: str, value: int | str) -> DataFrame:
+    """The row with this id, or item code in any case; LookupError if there is none."""
+    found = rows.where(F.col(key) == (value.upper() if isinstance(value, str) else value))
+    if found.isEmpty():
+        raise LookupError(f"no {key} {value}")
+    return found
+
+
+def with_tags(items: DataFrame, item_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """Items with their tags' names in order, from the bridge item_tags(item_id, tag_id) and tags(id, name)."""
+    names = item_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy("item_id").agg(F.array_sort(F.collect_list("name")).alias("tags"))
+    rows = items.drop("tags").join(names.withColumnRenamed("item_id", "id"), "id", "left")
+    return rows.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def names_in_order(dimension: DataFrame) -> DataFrame:
+    """id, name, position of a dimension by name in any case of A-Z, then by name."""
+    from ..functions.numbering import numbered
+
+    key = t.nocase(F.col("name"))
+    return numbered(dimension.select("id", "name"), [key, F.col("name")], F.coalesce(F.ascii(key), F.lit(0)), "position").orderBy("position")
+
+
+def gallery_facets(items: DataFrame) -> DataFrame:
+    """kind, value, position: what a gallery of approved items can be filtered by, each kind in order of UTF-16 code units, as a browser sorts."""
+    shown = items.where("status = 'approved'")
+    found = facets(shown).where("value <> ''")
+    units = F.hex(F.encode("value", "UTF-16BE"))
+    return found.withColumn("position", F.row_number().over(Window.partitionBy("kind").orderBy(units)))
+
+
+def review_queue(boxes: DataFrame) -> DataFrame:
+    """Each live box of a photo with its position, the photo's total and pending boxes, and the next pending box after it, going round (null if there is none).
+
+    Windows hold a photo's boxes: one page.
+    """
+    page = Window.partitionBy("photo_id")
+    order = page.orderBy("id")
+    waits = F.when(F.col("status") == "pending", F.col("id"))
+    after = F.first(waits, True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = boxes.where(~F.col("status").isin(*SUPERSEDED))
+    return rows.select(
+        "photo_id", "id", F.row_number().over(order).alias("position"), F.count("*").over(page).alias("total"), F.count(waits).over(page).alias("pending"), F.coalesce(after, F.min(waits).over(page)).alias("next_pending")
+    )
+
+
+def color_shares(clusters: DataFrame, least: float = 0.05) -> DataFrame:
+    """id, colors (hex, name, share, largest first) from clusters(id, hex, name, share): clusters of one name add up and keep the largest one's hex; rare names go."""
+    by = clusters.groupBy("id", "name").agg(F.sum("share").alias("share"), F.max_by("hex", F.struct("share", "hex")).alias("hex"), F.max("share").alias("most"))
+    entry = F.struct((-F.bround("share", 3)).alias("_order"), (-F.col("most")).alias("_most"), "name", "hex", F.bround("share", 3).alias("share"))
+    lists = by.where(F.col("share") >= least).groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    return lists.select("id", F.transform("all", lambda c: F.struct(c["hex"].alias("hex"), c["name"].alias("name"), c["share"].alias("share"))).alias("colors"))
+
+
 def search_words(rows: DataFrame, q: str) -> DataFrame:
     """Every word of q is somewhere in code, title, description, category, subcategory, tags or page, in any case."""
     hay = F.lower(F.concat_ws(" ", "item_code", "title", "description", F.coalesce("category", F.lit("")), "subcategory", F.array_join("tags", " "), F.coalesce("source_page", "source_filename", F.lit(""))))
@@ -113,9 +173,11 @@ def facets(items: DataFrame) -> DataFrame:
     return categories.unionByName(tags).unionByName(colors).distinct()
 
 
-def typical_area(boxes: DataFrame, least: int = 3) -> DataFrame:
-    """photo_id, typical: exact median area of pending and approved boxes; null under `least` of them."""
+def typical_area(boxes: DataFrame, least: int = 3, without: DataFrame | None = None) -> DataFrame:
+    """photo_id, typical: exact median area of pending and approved boxes, without given ones (id); null under `least` of them."""
     live = boxes.where(F.col("status").isin("pending", "approved"))
+    if without is not None:
+        live = live.join(without.select("id"), "id", "left_anti")
     size = F.col("box.width") * F.col("box.height")
     return live.groupBy("photo_id").agg(F.when(F.count("*") >= least, F.median(size)).alias("typical"))
 

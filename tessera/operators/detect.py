@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import scoring
+from ..functions.numbering import numbered
 from ..functions.scoring import LIMITS, Limits
 
 
@@ -50,20 +51,41 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     centre = F.col("box.y") + F.col("box.height") / 2
     entry = F.struct(centre.alias("cy"), "id", F.col("box.x").alias("x"))
     pages = boxes.groupBy("photo_id").agg(F.sort_array(F.collect_list(entry)).alias("all"), F.median(F.col("box.height").cast("double")).alias("typical"))
-    kind = "struct<row:int,total:double,n:int,out:array<struct<row:int,x:int,id:bigint>>>"
-    start = F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<struct<row:int,x:int,id:bigint>>").alias("out")).cast(kind)
+    places = "array<struct<row:int,x:int,place:int,id:bigint>>"
+    kind = f"struct<row:int,total:double,n:int,out:{places}>"
+    start = F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast(places).alias("out")).cast(kind)
 
     def step(s: Column, b: Column) -> Column:
         joins = (s["n"] > 0) & (F.abs(b["cy"] - s["total"] / F.greatest(s["n"], F.lit(1))) < F.col("typical") * 0.5)
         row = F.when(joins, s["row"]).otherwise(s["row"] + 1)
         total = F.when(joins, s["total"] + b["cy"]).otherwise(b["cy"])
-        out = F.array_append(s["out"], F.struct(row.alias("row"), b["x"].alias("x"), b["id"].alias("id")))
+        # Equal x in a row keep the order of centres.
+        out = F.array_append(s["out"], F.struct(row.alias("row"), b["x"].alias("x"), F.size(s["out"]).alias("place"), b["id"].alias("id")))
         return F.struct(row.alias("row"), total.alias("total"), F.when(joins, s["n"] + 1).otherwise(1).alias("n"), out.alias("out")).cast(kind)
 
     folded = pages.select("photo_id", F.sort_array(F.aggregate("all", start, step)["out"]).alias("order"))
     return folded.select("photo_id", F.posexplode("order").alias("p", "b")).select("photo_id", F.col("b.id").alias("id"), (F.col("p") + 1).alias("position"))
 
 
+def assembled(kept: DataFrame, photos: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """photo_id, position, box, confidence (3 digits), flags of a detection run: boxes found at a smaller scale, in reading order, scaled up and clipped.
+
+    kept: photo_id, id, box, confidence, foreground; photos: photo_id, scale, width, height. Flags compare with the median area of the run, however few boxes it has.
+    """
+    rows = kept.join(reading_order(kept), ["photo_id", "id"]).join(photos, "photo_id")
+    rows = rows.withColumn("box", g.clip(g.scale(F.col("box"), F.col("scale")), F.col("width"), F.col("height")))
+    typical = rows.groupBy("photo_id").agg(F.median(g.area(F.col("box")).cast("double")).alias("typical"))
+    marks = scoring.flags(F.col("box"), F.col("width"), F.col("height"), F.col("typical"), F.col("foreground"), F.col("confidence"), limits)
+    return rows.join(typical, "photo_id").select("photo_id", "position", "box", F.bround("confidence", 3).alias("confidence"), marks.alias("flags"))
+
+
+def appended(boxes: DataFrame, found: DataFrame, first_id: int) -> DataFrame:
+    """boxes (id, photo_id, box, status, origin, confidence, flags) with assembled ones as pending and automatic, ids from first_id in order of photo and position."""
+    new = numbered(found, ["photo_id", "position"], F.floor(F.col("photo_id") / 1000), "id", first_id)
+    new = new.withColumns({"status": F.lit("pending"), "origin": F.lit("auto")})
+    return boxes.unionByName(new.select(*boxes.columns))
+
+
 def survivors(fresh: DataFrame, kept: DataFrame, iou: float = 0.3, containment: float = 0.7) -> DataFrame:
     """New boxes that overlap no kept box of the same photo by iou or containment: an anti join on the photo with the overlap as residual."""
     new, old = fresh.alias("n"), kept.alias("k")

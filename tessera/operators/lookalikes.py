@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import likeness
+from ..functions.numbering import numbered
 
 THRESHOLD = 0.55
 
@@ -53,6 +54,21 @@ def best_matches(targets: DataFrame, prints: DataFrame, k: int = 3, threshold: f
     return ranked.select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), "rank", F.bround("score", 3).alias("score"))
 
 
+def ranked_pairs(pairs: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
+    """rank (from 1, by score, then ids) and score of pairs, with the given fields of both records (id, ...) as <field>_a and <field>_b: one join a side."""
+    order = [F.col("_neg").asc(), F.col("id_a").asc(), F.col("id_b").asc()]
+    rows = numbered(pairs.withColumn("_neg", -F.col("score")), order, F.floor(-F.col("score") * 1000).cast("long"), "rank")
+    for side in ("a", "b"):
+        rows = rows.join(records.select(F.col("id").alias(f"id_{side}"), *(F.col(f).alias(f"{f}_{side}") for f in fields)), f"id_{side}")
+    return rows.select("rank", "id_a", "id_b", *(f"{f}_{s}" for f in fields for s in ("a", "b")), "score")
+
+
+def without_fingerprint(items: DataFrame, crops: DataFrame) -> DataFrame:
+    """Approved items that have a crop but no fingerprint yet: what a backfill must do. items: id, status, fingerprint, crop_path; crops: crop_path."""
+    missing = items.where("status = 'approved'").where(F.coalesce(F.col("fingerprint"), F.lit("{}")) == "{}")
+    return missing.join(crops.select("crop_path").distinct(), "crop_path", "left_semi")
+
+
 def flag_lookalikes(pending: DataFrame, matches: DataFrame) -> DataFrame:
     """pending (id, flags) with possible_duplicate added, and similar_to and similarity of the best match, where there is one."""
     top = matches.where("rank = 1").select("id", F.col("match_id").alias("similar_to"), F.col("score").alias("similarity"))

@@ -1,22 +1,105 @@
-"""Review as an append-only log of actions, folded in order to the current state; merges, splits and metadata changes.
+"""Review as an append-only log of actions, settled into the state of boxes and items; merges, splits, validation and metadata changes.
 
-actions(seq, box_id, action, ...): approve, reject, reset, count_copy. Fold order is seq; nothing is updated in place.
+actions(seq, action, box_id, target_id): approve, reject, reset, copy (of the item of box target_id), merge (a row for each box, under one seq) and
+split. Order is seq; nothing is updated in place, and an action that isn't allowed changes nothing and comes out with a reason.
+
+What came before an action is looked up within buckets of seq, with one carried value for each key and bucket, so that a hot box or item spreads over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
 from ..functions.numbering import numbered
+from ..session import cut_lineage
+
+DECISIONS = ("approve", "reject", "reset")
+#: Rules for requests: longest texts, least sides of a box.
+LONGEST = {"title": 300, "description": 5000, "category": 100, "subcategory": 100, "notes": 5000}
+LEAST_SIDE = 4
+
 
+def before(rows: DataFrame, key: str, value: Column, into: str, bucket: int = 10_000) -> DataFrame:
+    """rows with column `into`: the last non-null value of the same key at an earlier seq."""
+    rows = rows.withColumn("_b", F.floor(F.col("seq") / bucket)).withColumn("_v", value)
+    inner = Window.partitionBy(key, "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(key, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("seq"))).alias("_end"))
+    carried = ends.select(key, "_b", F.last("_end", True).over(across).alias("_carried"))
+    found = rows.withColumn("_near", F.last("_v", True).over(inner)).join(carried, [key, "_b"], "left")
+    return found.withColumn(into, F.coalesce("_near", "_carried")).drop("_b", "_v", "_near", "_carried")
 
-def current_status(actions: DataFrame) -> DataFrame:
-    """box_id, status: what the last action that sets one leaves (pending without any)."""
-    status = F.when(F.col("action") == "approve", "approved").when(F.col("action").isin("reject", "count_copy"), "rejected").when(F.col("action") == "reset", "pending")
-    return actions.groupBy("box_id").agg(F.coalesce(F.max_by(status, F.when(status.isNotNull(), F.col("seq"))), F.lit("pending")).alias("status"))
+
+def replaced(actions: DataFrame, boxes: DataFrame) -> DataFrame:
+    """box_id, gone_seq, status (merged, split) of boxes that an allowed merge or split has replaced. boxes: id, photo_id.
+
+    A merge needs two boxes or more of one photo; no box may be approved or replaced before. Which merges happen depends on earlier ones that share a box, so
+    those that are first for all their boxes are settled, and then the rest, in as many rounds as merges follow each other on one box.
+    """
+    decision = F.when(F.col("action").isin(*DECISIONS), F.col("action"))
+    ends = before(actions, "box_id", decision, "last").where(F.col("action").isin("merge", "split"))
+    ends = ends.join(boxes.select(F.col("id").alias("box_id"), "photo_id"), "box_id", "left")
+    events = ends.groupBy("seq").agg(
+        F.first("action").alias("action"), F.count("*").alias("n"), F.min("photo_id").alias("low"), F.max("photo_id").alias("high"), F.count("photo_id").alias("known"),
+        F.every(F.coalesce(F.col("last") != "approve", F.lit(True))).alias("allowed"),
+    )
+    events = events.where((F.col("action") == "split") | ((F.col("n") >= 2) & (F.col("low") == F.col("high")) & (F.col("known") == F.col("n")))).where("allowed")
+    open_ = cut_lineage(ends.select("seq", "action", "box_id").join(events.select("seq"), "seq"))
+    done: DataFrame | None = None
+    while not open_.isEmpty():
+        first = open_.groupBy("box_id").agg(F.min("seq").alias("first"))
+        ready = open_.join(first, "box_id").groupBy("seq").agg(F.every(F.col("seq") == F.col("first")).alias("ready")).where("ready").select("seq")
+        settled = cut_lineage(open_.join(ready, "seq"))
+        done = settled if done is None else done.unionByName(settled)
+        lost = open_.join(settled.select("box_id").distinct(), "box_id").select("seq").distinct()
+        open_ = cut_lineage(open_.join(lost, "seq", "left_anti"))
+    done = open_ if done is None else done
+    return done.select("box_id", F.col("seq").alias("gone_seq"), F.when(F.col("action") == "merge", "merged").otherwise("split").alias("status"))
+
+
+def settle(actions: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Every action (row) with `reason` (null: it took effect) and `undone` (of a reset: the box whose item loses a copy)."""
+    gone = replaced(actions, boxes)
+    rows = actions.join(gone.select("box_id", "gone_seq", F.col("status").alias("gone_as")), "box_id", "left")
+    ends = F.col("action").isin("merge", "split")
+    took = F.when(ends, F.coalesce(F.col("seq") == F.col("gone_seq"), F.lit(False))).otherwise(F.coalesce(F.col("seq") < F.col("gone_seq"), F.lit(True)))
+    late = F.coalesce(F.col("seq") > F.col("gone_seq"), F.lit(False))
+    rows = rows.withColumn("reason", F.when(~took, F.when(late, "already merged or split").otherwise("not allowed for these boxes")))
+    live = F.col("reason").isNull()
+    decision = F.when(live & F.col("action").isin(*DECISIONS), F.struct(F.col("seq").alias("since"), F.col("action").alias("did")))
+    rows = before(rows, "box_id", decision, "own")
+    # The target's item is in the catalogue if its last decision is an approval. Copies meet their targets' decisions under one key.
+    copies = rows.where((F.col("action") == "copy") & live)
+    decided = rows.where(decision.isNotNull()).select(F.col("box_id").alias("item"), "seq", F.col("action").alias("did"), F.lit(None).cast("long").alias("copy"))
+    asked = copies.select(F.col("target_id").alias("item"), "seq", F.lit(None).cast("string").alias("did"), F.col("seq").alias("copy"))
+    met = before(decided.unionByName(asked), "item", F.col("did"), "target_did").where("copy is not null")
+    copies = copies.join(met.select(F.col("copy").alias("seq"), "target_did"), "seq")
+    pending = F.coalesce(F.col("own.did") == "reset", F.col("own").isNull())
+    good = copies.where(pending & F.coalesce(F.col("target_did") == "approve", F.lit(False)))
+    # Of several copies since one decision the first takes the box off the queue.
+    first = good.groupBy("box_id", F.coalesce("own.since", F.lit(-1)).alias("since")).agg(F.min("seq").alias("seq"))
+    wrong = F.when(~pending, "only pending boxes can be copies").when(F.coalesce(F.col("target_did") != "approve", F.lit(True)), "target isn't in the catalogue").otherwise("only pending boxes can be copies")
+    copies = copies.select("seq", wrong.alias("wrong")).join(first.select("seq", F.lit(True).alias("counted")), "seq", "left")
+    rows = rows.join(copies, "seq", "left").withColumn("reason", F.coalesce("reason", F.when((F.col("action") == "copy") & F.col("counted").isNull(), F.col("wrong"))))
+    # A reset takes back the copy that was counted since the last reset.
+    mark = F.when(F.col("reason").isNull() & (F.col("action") == "copy"), F.col("target_id")).when(F.col("reason").isNull() & (F.col("action") == "reset"), F.lit(-1))
+    rows = before(rows, "box_id", mark, "mark")
+    undone = F.when(F.col("reason").isNull() & (F.col("action") == "reset") & (F.col("mark") >= 0), F.col("mark"))
+    return rows.select("seq", "action", "box_id", "target_id", "reason", undone.alias("undone"))
+
+
+def box_state(settled: DataFrame) -> DataFrame:
+    """box_id, status, copy_of (the box whose item it counts for) of every box in the log."""
+    did = settled.where("reason is null")
+    status = F.when(F.col("action") == "approve", "approved").when(F.col("action").isin("reject", "copy"), "rejected").when(F.col("action") == "reset", "pending")
+    status = F.coalesce(status, F.when(F.col("action") == "merge", "merged").otherwise("split"))
+    mark = F.when(F.col("action") == "copy", F.col("target_id")).when(F.col("action") == "reset", F.lit(-1))
+    state = did.groupBy("box_id").agg(F.max_by(status, "seq").alias("status"), F.max_by(mark, F.when(mark.isNotNull(), F.col("seq"))).alias("mark"))
+    every = settled.select("box_id").distinct().join(state, "box_id", "left")
+    return every.select("box_id", F.coalesce("status", F.lit("pending")).alias("status"), F.when(F.col("mark") >= 0, F.col("mark")).alias("copy_of"))
 
 
 def permanent_codes(actions: DataFrame, last_code: int = 0, bucket: int = 10_000) -> DataFrame:
@@ -26,16 +109,95 @@ def permanent_codes(actions: DataFrame, last_code: int = 0, bucket: int = 10_000
     return rows.select("box_id", "first_seq", t.item_code(F.col("number")).alias("item_code"))
 
 
-def quantities(changes: DataFrame) -> DataFrame:
-    """item_id, quantity: ordered fold of changes(item_id, seq, delta) with a floor at 0, as a sum is wrong once the floor is reached.
+def last_code(items: DataFrame, counter: int = 0) -> DataFrame:
+    """One row, last_code: the counter, or the largest number among item codes if that is more, so that no code is used twice."""
+    return items.agg(F.greatest(F.lit(counter).cast("long"), F.coalesce(F.max(t.code_number(F.col("item_code"))), F.lit(0))).alias("last_code"))
+
 
-    A fold is equal to sum + max(0, -lowest running sum), and running sums are composable: so each group needs only a windowed running sum.
+def item_state(settled: DataFrame, last: int = 0) -> DataFrame:
+    """box_id, item_code, status, quantity of every item: made with quantity 1 by its box's first approval, restored by later ones, retired by reject and reset.
+
+    A copy adds one to its target's quantity, and its undoing takes one off, but not below 0.
     """
-    from pyspark.sql import Window
+    did = settled.where("reason is null")
+    state = did.where(F.col("action").isin(*DECISIONS)).groupBy("box_id").agg((F.max_by("action", "seq") == "approve").alias("in_catalogue"))
+    codes = permanent_codes(did, last)
+    one = lambda n: F.lit(n).cast("long").alias("delta")
+    made = codes.select(F.col("box_id").alias("item_id"), F.col("first_seq").alias("seq"), one(1))
+    more = did.where("action = 'copy'").select(F.col("target_id").alias("item_id"), "seq", one(1))
+    less = did.where("undone is not null").select(F.col("undone").alias("item_id"), "seq", one(-1))
+    n = quantities(made.unionByName(more).unionByName(less)).withColumnRenamed("item_id", "box_id")
+    rows = codes.join(state, "box_id").join(n, "box_id")
+    return rows.select("box_id", "item_code", F.when(F.col("in_catalogue"), "approved").otherwise("rejected").alias("status"), "quantity")
+
+
+def quantities(changes: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """item_id, quantity: ordered fold of changes(item_id, seq, delta) with a floor at 0, as a sum is wrong once the floor is reached.
 
-    running = Window.partitionBy("item_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = changes.withColumn("_sum", F.sum("delta").over(running))
-    return rows.groupBy("item_id").agg((F.sum("delta") + F.greatest(F.lit(0), -F.min("_sum"))).cast("long").alias("quantity"))
+    A fold is equal to sum + max(0, -lowest running sum). Both compose, so a hot item's changes are folded in buckets of seq and the buckets' pairs after.
+    """
+    rows = changes.withColumn("_b", F.floor(F.col("seq") / bucket))
+    running = Window.partitionBy("item_id", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.withColumn("_sum", F.sum("delta").over(running)).groupBy("item_id", "_b").agg(F.sum("delta").alias("_total"), F.min("_sum").alias("_low"))
+    earlier = Window.partitionBy("item_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_low", F.col("_low") + F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    return parts.groupBy("item_id").agg((F.sum("_total") + F.greatest(F.lit(0), -F.min("_low"))).cast("long").alias("quantity"))
+
+
+def to_approve(boxes: DataFrame, flags: str = "flags", skip_flagged: bool = True) -> DataFrame:
+    """Pending boxes, without flagged ones if these are to be skipped."""
+    rows = boxes.where("status = 'pending'")
+    return rows.where(F.coalesce(F.size(flags), F.lit(0)) == 0) if skip_flagged else rows
+
+
+def with_new_boxes(boxes: DataFrame, new: DataFrame, parents: DataFrame, status: str, first_id: int, flags: Column | None = None) -> DataFrame:
+    """boxes after a merge or split: parents (id) get the status, and new boxes (photo_id, box, confidence, ...) come as pending with ids from first_id in order of photo and box."""
+    marked = parents.select("id", F.lit(True).alias("_parent")).distinct()
+    old = boxes.join(marked, "id", "left").withColumn("status", F.when(F.col("_parent"), status).otherwise(F.col("status"))).drop("_parent")
+    order = ["photo_id", "box.x", "box.y", "box.width", "box.height"]
+    fresh = numbered(new, order, F.floor(F.col("photo_id") / 1000), "id", first_id)
+    fresh = fresh.withColumn("status", F.lit("pending")).withColumn("origin", F.lit({"merged": "merge"}.get(status, status)))
+    return old.unionByName(fresh.select(*boxes.columns))
+
+
+def checked_boxes(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
+    """boxes clipped to their photo, with `error` where the request or what is left of it is no usable box (null: fine)."""
+    box = F.col("box")
+    asked = F.when((box["x"] < 0) | (box["y"] < 0), "negative corner").when((box["width"] <= 0) | (box["height"] <= 0), "no width or height")
+    clipped = g.clip(box, width, height)
+    small = F.when((clipped["width"] < LEAST_SIDE) | (clipped["height"] < LEAST_SIDE), "too small")
+    return boxes.withColumn("error", F.coalesce(asked, small)).withColumn("box", clipped)
+
+
+def change_errors(changes: DataFrame) -> DataFrame:
+    """Metadata changes with `errors`: names of the fields that are too long or negative, in order of name; empty if the change is valid."""
+    bad = {n: F.length(n) > most for n, most in LONGEST.items() if n in changes.columns}
+    bad |= {n: F.col(n) < 0 for n in ("quantity", "purchase_price", "selling_price") if n in changes.columns}
+    return changes.withColumn("errors", F.array_compact(F.array(*(F.when(bad[n], F.lit(n)) for n in sorted(bad)))))
+
+
+def edited(boxes: DataFrame, edits: DataFrame) -> DataFrame:
+    """boxes with the boxes of edits (id, box) put in; merged and split ones can't be edited and stay."""
+    rows = boxes.alias("b").join(edits.select("id", F.col("box").alias("_new")).alias("e"), "id", "left")
+    new = F.when(~F.col("status").isin("merged", "split"), F.col("_new"))
+    return rows.withColumn("box", F.coalesce(new, F.col("box"))).select(*boxes.columns)
+
+
+def with_manual(boxes: DataFrame, drawn: DataFrame, first_id: int) -> DataFrame:
+    """boxes and those that were drawn by hand (photo_id, box): pending, with full confidence, ids from first_id in order of photo and box."""
+    order = ["photo_id", "box.x", "box.y", "box.width", "box.height"]
+    fresh = numbered(drawn, order, F.floor(F.col("photo_id") / 1000), "id", first_id)
+    fresh = fresh.withColumns({"status": F.lit("pending"), "origin": F.lit("manual"), "confidence": F.lit(1.0)})
+    return boxes.unionByName(fresh.select(*boxes.columns))
+
+
+def upsert_names(known: DataFrame, names: DataFrame, first_id: int, bucket: int = 256) -> DataFrame:
+    """id, name: a dimension (categories or tags) with new names added, once each in any case of A-Z, numbered from first_id in that order."""
+    key = t.nocase(F.col("name"))
+    new = names.where("name is not null").groupBy(key.alias("key")).agg(F.min("name").alias("name"))
+    new = new.join(known.select(key.alias("key")), "key", "left_anti")
+    new = numbered(new, ["key"], F.coalesce(F.ascii("key"), F.lit(0)), "id", first_id)
+    return known.select("id", "name").unionByName(new.select("id", "name"))
 
 
 def merge_boxes(chosen: DataFrame) -> DataFrame:

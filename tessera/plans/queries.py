@@ -297,26 +297,40 @@ def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photos.first_copies(v.files(spark, sf_dir)).select("sha256", "name", "duplicates")
 
 
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.settle(v.actions(spark, sf_dir), v.reviewed_boxes(spark, sf_dir))
+
+
 @query(
-    """, last AS (SELECT box_id, arg_max(CASE action WHEN 'approve' THEN 'approved' WHEN 'reset' THEN 'pending' ELSE 'rejected' END, seq) AS status FROM actions GROUP BY box_id),
-    codes AS (SELECT box_id, printf('PIN-%06d', row_number() OVER (ORDER BY min(seq), box_id)) AS item_code FROM actions WHERE action = 'approve' GROUP BY box_id)
-    SELECT box_id, status, item_code FROM last LEFT JOIN codes USING (box_id)""",
-    "actions",
-)
+    """SELECT box_id, coalesce(status, 'pending') AS status, CASE WHEN mark >= 0 THEN mark END AS copy_of FROM (SELECT DISTINCT box_id FROM log) LEFT JOIN (SELECT box_id, arg_max(CASE action WHEN 'approve' THEN 'approved' WHEN 'reset' THEN 'pending' WHEN 'merge' THEN 'merged' WHEN 'split' THEN 'split' ELSE 'rejected' END, seq) AS status
+    FROM settled WHERE reason IS NULL GROUP BY box_id) USING (box_id) LEFT JOIN (SELECT box_id, arg_max(CASE action WHEN 'copy' THEN target_id ELSE -1 END, seq) AS mark FROM settled WHERE reason IS NULL AND action IN ('copy', 'reset') GROUP BY box_id) USING (box_id)""",
+    "log", "settled", recursive=True,
+)
 def review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = v.actions(spark, sf_dir)
-    return review.current_status(log).join(review.permanent_codes(log).select("box_id", "item_code"), "box_id", "left")
+    return review.box_state(_settled(spark, sf_dir))
+
+
+@query("SELECT seq, box_id, action, reason FROM settled WHERE reason IS NOT NULL", "log", "settled", recursive=True)
+def rejected_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settled(spark, sf_dir).where("reason is not null").select("seq", "box_id", "action", "reason")
+
+
+_QUANTITY = """, d AS (SELECT item_id, delta, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS i FROM (SELECT target_id AS item_id, seq, 1 AS delta FROM counted UNION ALL SELECT target_id, seq, -1 FROM undone)),
+    fold AS (SELECT box_id AS item_id, 0::BIGINT AS i, 1::BIGINT AS q FROM codes UNION ALL SELECT d.item_id, d.i, greatest(0, f.q + d.delta) FROM fold f JOIN d ON d.item_id = f.item_id AND d.i = f.i + 1),
+    amounts AS (SELECT item_id, arg_max(q, i) AS quantity FROM fold GROUP BY item_id) """
 
 
 @query(
-    """, d AS (SELECT box_id AS item_id, row_number() OVER (PARTITION BY box_id ORDER BY seq) AS k, CASE action WHEN 'count_copy' THEN 1 ELSE -1 END AS delta FROM actions WHERE action IN ('count_copy', 'reset')),
-    fold AS (SELECT item_id, k, greatest(0, delta) AS q FROM d WHERE k = 1 UNION ALL SELECT d.item_id, d.k, greatest(0, f.q + d.delta) FROM fold f JOIN d ON d.item_id = f.item_id AND d.k = f.k + 1)
-    SELECT item_id, CAST(arg_max(q, k) AS BIGINT) AS quantity FROM fold GROUP BY item_id""",
-    "actions", recursive=True,
+    _QUANTITY + """SELECT box_id, item_code, CASE WHEN (SELECT arg_max(d.action, d.seq) FROM decided d WHERE d.box_id = codes.box_id) = 'approve' THEN 'approved' ELSE 'rejected' END AS status, quantity FROM codes JOIN amounts ON item_id = box_id""",
+    "log", "settled", recursive=True,
 )
+def item_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.item_state(_settled(spark, sf_dir))
+
+
+@query(_QUANTITY + "SELECT item_id, quantity FROM amounts", "log", "settled", recursive=True)
 def copy_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = v.actions(spark, sf_dir).where(F.col("action").isin("count_copy", "reset"))
-    return review.quantities(log.select(F.col("box_id").alias("item_id"), "seq", F.when(F.col("action") == "count_copy", 1).otherwise(-1).alias("delta")))
+    return review.item_state(_settled(spark, sf_dir)).select(F.col("box_id").alias("item_id"), "quantity")
 
 
 @query(

@@ -67,10 +67,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as review actions of boxes (users); views do nothing. seq is the event's id."""
-    kinds = {"purchase": "approve", "error": "reject", "signup": "reset", "click": "count_copy"}
-    action = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("box_id"), action.alias("action")).where("action is not null")
+    """Events as review actions of boxes (users); seq is the event's id. A click counts a copy of a near box's item; one view in 40 splits its box, one merges two."""
+    kinds = {"purchase": "approve", "error": "reject", "signup": "reset", "click": "copy"}
+    n = F.col("event_id")
+    action = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()), F.when(n % 40 == 0, "split").when(n % 40 == 1, "merge"))
+    rows = table(spark, sf_dir, "events").select(n.alias("seq"), F.col("user_id").alias("box_id"), action.alias("action"), F.when(action == "copy", F.col("user_id") + n % 4).alias("target_id"))
+    rows = rows.where("action is not null")
+    return rows.unionByName(rows.where("action = 'merge'").withColumn("box_id", F.col("box_id") + 1))
+
+
+def reviewed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, photo_id of the boxes of actions(); three to a photo."""
+    ids = actions(spark, sf_dir).select(F.col("box_id").alias("id")).distinct()
+    return ids.select("id", F.floor(F.col("id") / 3).alias("photo_id"))
 
 
 #: The same views as common table expressions.
@@ -94,8 +103,24 @@ SQL = {
         list_sum(list_transform(range(1, 33), lambda i: CASE WHEN v[i + 32] > middle THEN 1::BIGINT << (32 - i) ELSE 0 END))::BIGINT AS lo,
         list_transform(v, lambda x: abs(x) / total) AS histogram
         FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_sort(embedding[2:64]::DOUBLE[])[32] AS middle, list_sum(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS total FROM embeddings))""",
-    "actions": """actions AS (SELECT event_id AS seq, user_id AS box_id, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'reset' ELSE 'count_copy' END AS action
-        FROM events WHERE event_type IN ('purchase', 'error', 'signup', 'click'))""",
+    "log": """plain AS (SELECT event_id AS seq, user_id AS box_id, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'reset' WHEN 'click' THEN 'copy' ELSE CASE event_id % 40 WHEN 0 THEN 'split' WHEN 1 THEN 'merge' END END AS action,
+        CASE WHEN event_type = 'click' THEN user_id + event_id % 4 END AS target_id FROM events),
+        log AS (SELECT * FROM plain WHERE action IS NOT NULL UNION ALL SELECT seq, box_id + 1, action, target_id FROM plain WHERE action = 'merge')""",
+    # Merges and splits one after the other, with the list of boxes that are gone; then each action against what was true before it.
+    "settled": """ends AS (SELECT seq, any_value(action) AS action, list(box_id) AS ids, row_number() OVER (ORDER BY seq) AS k, (any_value(action) = 'split' OR (count(*) >= 2 AND count(DISTINCT box_id // 3) = 1))
+            AND bool_and(coalesce((SELECT arg_max(d.action, d.seq) FROM log d WHERE d.box_id = e.box_id AND d.seq < e.seq AND d.action IN ('approve', 'reject', 'reset')) <> 'approve', true)) AS allowed FROM log e WHERE action IN ('merge', 'split') GROUP BY seq),
+        walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS lost, false AS took, 0::BIGINT AS seq UNION ALL SELECT e.k, CASE WHEN e.allowed AND NOT list_has_any(w.lost, e.ids) THEN list_concat(w.lost, e.ids) ELSE w.lost END, e.allowed AND NOT list_has_any(w.lost, e.ids), e.seq FROM walk w JOIN ends e ON e.k = w.k + 1),
+        gone AS (SELECT unnest(e.ids) AS box_id, e.seq AS gone_seq, e.action AS gone_as FROM ends e JOIN walk w ON w.seq = e.seq AND w.took),
+        timed AS (SELECT log.*, gone_seq, gone_as FROM log LEFT JOIN gone USING (box_id)),
+        decided AS (SELECT * FROM timed WHERE action IN ('approve', 'reject', 'reset') AND (gone_seq IS NULL OR seq < gone_seq)),
+        asked AS (SELECT c.seq, c.box_id, c.target_id, any_value(o.action) AS own, coalesce(any_value(o.seq), -1) AS since, any_value(t.action) AS target_did FROM (SELECT * FROM timed WHERE action = 'copy' AND (gone_seq IS NULL OR seq < gone_seq)) c
+            LEFT JOIN decided o ON o.box_id = c.box_id AND o.seq = (SELECT max(seq) FROM decided x WHERE x.box_id = c.box_id AND x.seq < c.seq) LEFT JOIN decided t ON t.box_id = c.target_id AND t.seq = (SELECT max(seq) FROM decided x WHERE x.box_id = c.target_id AND x.seq < c.seq) GROUP BY c.seq, c.box_id, c.target_id),
+        counted AS (SELECT * FROM asked WHERE coalesce(own, 'reset') = 'reset' AND target_did = 'approve' QUALIFY row_number() OVER (PARTITION BY box_id, since ORDER BY seq) = 1),
+        settled AS (SELECT t.seq, t.action, t.box_id, t.target_id, CASE WHEN t.seq > t.gone_seq THEN 'already merged or split' WHEN t.action IN ('merge', 'split') THEN CASE WHEN t.seq = t.gone_seq THEN NULL ELSE 'not allowed for these boxes' END
+            WHEN t.action = 'copy' AND c.seq IS NULL THEN CASE WHEN coalesce(a.own, 'reset') = 'reset' AND coalesce(a.target_did <> 'approve', true) THEN 'target isn''t in the catalogue' ELSE 'only pending boxes can be copies' END END AS reason
+            FROM timed t LEFT JOIN counted c ON c.seq = t.seq AND t.action = 'copy' LEFT JOIN asked a ON a.seq = t.seq AND t.action = 'copy'),
+        undone AS (SELECT r.seq, r.box_id, c.target_id FROM decided r JOIN counted c ON c.box_id = r.box_id AND c.seq < r.seq WHERE r.action = 'reset' AND NOT EXISTS (SELECT 1 FROM decided m WHERE m.box_id = r.box_id AND m.action = 'reset' AND m.seq > c.seq AND m.seq < r.seq)),
+        codes AS (SELECT box_id, min(seq) AS first_seq, printf('PIN-%06d', row_number() OVER (ORDER BY min(seq), box_id)) AS item_code FROM decided WHERE action = 'approve' GROUP BY box_id)""",
 }
 
 

@@ -29,6 +29,36 @@ def first_copies(files: DataFrame) -> DataFrame:
     return hashed(files).groupBy("sha256").agg(F.min("name").alias("name"), (F.count("*") - 1).alias("duplicates"))
 
 
+# First bytes of image formats, in hex.
+SIGNATURES = ("FFD8FF", "89504E47", "47494638", "424D", "49492A00", "4D4D002A")
+
+
+def readable(content: F.Column) -> F.Column:
+    """True if the content begins like an image: one of the signatures, a WebP or a HEIF container."""
+    head = F.hex(F.substring(content, 1, 12))
+    plain = F.lit(False)
+    for s in SIGNATURES:
+        plain = plain | F.startswith(head, F.lit(s))
+    return plain | (F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250"))) | (F.substring(head, 9, 8) == "66747970")
+
+
+def ingested(files: DataFrame, known: DataFrame) -> DataFrame:
+    """name, sha256, outcome of a batch: `duplicate` of a known or earlier file, `error` if it is no image (it isn't recorded, so its copies are errors too), else `imported`."""
+    fine = files.select("name", readable(F.col("content")).alias("fine"))
+    rows = classified(files, known).join(fine, "name")
+    rows = rows.join(known.select("sha256").distinct().withColumn("known", F.lit(True)), "sha256", "left")
+    outcome = F.when(F.coalesce("known", F.lit(False)), "duplicate").when(~F.col("fine"), "error").when(F.col("outcome") == "new", "imported").otherwise("duplicate")
+    return rows.select("name", "sha256", outcome.alias("outcome"))
+
+
+def batch_report(outcomes: DataFrame, detections: DataFrame | None = None) -> DataFrame:
+    """One row: imported, duplicates, errors, detections of a batch. detections: name, detections."""
+    counts = {"imported": "imported", "duplicates": "duplicate", "errors": "error"}
+    found = outcomes.join(detections, "name", "left") if detections is not None else outcomes.withColumn("detections", F.lit(0))
+    some = F.when(F.col("outcome") == "imported", F.col("detections"))
+    return found.agg(*(F.count_if(F.col("outcome") == o).alias(n) for n, o in counts.items()), F.coalesce(F.sum(some), F.lit(0)).cast("long").alias("detections"))
+
+
 def classified(files: DataFrame, known: DataFrame) -> DataFrame:
     """name, sha256, outcome of a batch: `duplicate` if the hash is known or an earlier file of the batch (by lower-case name) has it, else `new`."""
     rows = hashed(files).select("name", "sha256")
@@ -40,10 +70,18 @@ def classified(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """stem, extension, seq -> name: a first free name of stem.ext, stem_2.ext, stem_3.ext ... continuing after those taken."""
-    used = taken.groupBy("stem", "extension").agg(F.max("number").alias("last"))
-    rank = F.row_number().over(Window.partitionBy("stem", "extension").orderBy("seq"))
-    rows = wanted.withColumn("_rank", rank).join(used, ["stem", "extension"], "left")
-    number = F.coalesce("last", F.lit(0)) + F.col("_rank")
+    """stem, extension, seq -> name: the first free name of stem.ext, stem_2.ext, stem_3.ext ... for each wanted file in order of seq.
+
+    taken: stem, extension, number (1: without a number). Free numbers are the gaps between taken ones and all after them; a gap is a range, and the
+    n-th file finds its gap by the count of free numbers before it, so that nothing is tried out.
+    """
+    key = ["stem", "extension"]
+    order = Window.partitionBy(*key).orderBy("number")
+    used = taken.select(*key, "number").where("number >= 1").distinct().unionByName(wanted.select(*key).distinct().withColumn("number", F.lit(0).cast("long")))
+    gaps = used.withColumn("until", F.lead("number").over(order)).withColumn("free", F.coalesce(F.col("until") - F.col("number") - 1, F.lit(1 << 60)))
+    gaps = gaps.withColumn("before", F.coalesce(F.sum("free").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("free > 0")
+    rows = wanted.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("seq")))
+    rows = rows.join(gaps, key).where((F.col("_rank") > F.col("before")) & (F.col("_rank") <= F.col("before") + F.col("free")))
+    number = F.col("number") + F.col("_rank") - F.col("before")
     suffix = F.when(number == 1, "").otherwise(F.concat(F.lit("_"), number.cast("string")))
-    return rows.select("stem", "extension", "seq", F.concat("stem", suffix, F.lit("."), "extension").alias("name"))
+    return rows.select(*key, "seq", F.concat("stem", suffix, F.lit("."), "extension").alias("name"))

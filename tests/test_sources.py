@@ -2,9 +2,12 @@
 
 import csv
 import glob
+import hashlib
 import io
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog
@@ -41,36 +44,86 @@ def test_stream_takes_each_content_once(spark, tmp_path):
 
 
 def test_free_names(spark):
-    wanted = spark.createDataFrame([("a", "jpg", 1), ("a", "jpg", 2), ("b", "jpg", 3)], "stem string, extension string, seq long")
-    taken = spark.createDataFrame([("a", "jpg", 2)], "stem string, extension string, number long")
-    assert sorted(r["name"] for r in photos.free_names(wanted, taken).collect()) == ["a_3.jpg", "a_4.jpg", "b.jpg"]
+    taken = {("a", "jpg"): {2, 3, 6}, ("c", "png"): {1, 2}}
+    wanted = [("a", "jpg", i) for i in range(5)] + [("b", "jpg", 9), ("c", "png", 1), ("a", "png", 4)]
+    rows = [(*k, n) for k, numbers in taken.items() for n in numbers]
+    got = {(r["stem"], r["extension"], r["seq"]): r["name"] for r in photos.free_names(spark.createDataFrame(wanted, "stem string, extension string, seq long"), spark.createDataFrame(rows, "stem string, extension string, number long")).collect()}
+    for stem, ext, seq in wanted:  # one after the other, the first that is free
+        used, n = taken.setdefault((stem, ext), set()), 1
+        while n in used:
+            n += 1
+        used.add(n)
+        assert got[stem, ext, seq] == (f"{stem}.{ext}" if n == 1 else f"{stem}_{n}.{ext}")
+
+
+def test_batch_outcomes(spark):
+    jpeg = b"\xff\xd8\xff"
+    files = [("A.jpg", jpeg + b"1"), ("b.jpg", jpeg + b"1"), ("c.png", b"\x89PNG2"), ("d.jpg", b"not an image"), ("e.jpg", b"not an image"), ("f.webp", b"RIFF1234WEBPx"), ("g.heic", b"1234ftypheic"), ("h.jpg", jpeg + b"old")]
+    df = spark.createDataFrame(files, "name string, content binary")
+    known = photos.hashed(df.where("name = 'h.jpg'")).select("sha256")
+    outcomes = photos.ingested(df, known)
+    got = {r["name"]: r["outcome"] for r in outcomes.collect()}
+    assert got == {"A.jpg": "imported", "b.jpg": "duplicate", "c.png": "imported", "d.jpg": "error", "e.jpg": "error", "f.webp": "imported", "g.heic": "imported", "h.jpg": "duplicate"}
+    found = spark.createDataFrame([("A.jpg", 3), ("c.png", 4), ("d.jpg", 9)], "name string, detections long")
+    assert tuple(photos.batch_report(outcomes, found).first()) == (4, 2, 2, 7)
+    assert tuple(photos.batch_report(outcomes.limit(0)).first()) == (0, 0, 0, 0)
 
 
 def sample(spark):
-    colors = F.array(F.struct(F.lit("#ff0000").alias("hex"), F.lit("red").alias("name"), F.lit(0.6).alias("share")), F.struct(F.lit("#aa0000").alias("hex"), F.lit("red").alias("name"), F.lit(0.2).alias("share")))
-    none = F.lit(None).cast("string")
-    return spark.range(2).select(
-        (F.col("id") + 1).alias("id"), F.format_string("PIN-%06d", F.col("id") + 1).alias("item_code"), F.lit(1).alias("photo_id"), F.lit('Pink <b>"Pin"</b>').alias("title"), F.lit("x, y").alias("description"),
-        none.alias("category"), F.lit("").alias("subcategory"), colors.alias("colors"), F.lit("secret").alias("notes"), F.lit(1).alias("quantity"), F.lit(10.0).alias("selling_price"), F.lit(3.0).alias("purchase_price"),
-        F.array(F.lit("pink")).alias("tags"), F.lit(0).alias("width_px"), F.lit(None).cast("int").alias("height_px"), none.alias("crop_path"), none.alias("transparent_path"), F.lit("2024-01-02T03:04:05+00:00").alias("created_at"),
-        F.when(F.col("id") == 0, "approved").otherwise("rejected").alias("status"), F.lit("p.jpg").alias("source_filename"), none.alias("source_page"), F.struct(F.lit(1).alias("x")).alias("source_box"),
+    """Rows of master(): three approved ones and one rejected, with quotes, commas, accents, line feeds and nulls where a reader may stumble."""
+    entry = lambda hex_, name: F.struct(F.lit(hex_).alias("hex"), F.lit(name).alias("name"), F.lit(0.25).alias("share"))
+    n = F.col("id")
+    pick = lambda *values: F.get(F.array(*(F.lit(x) for x in values)), n.cast("int"))
+    return spark.range(4).select(
+        (n + 11).alias("id"), F.format_string("PIN-%06d", n + 11).alias("item_code"), (n % 2 + 5).alias("photo_id"), pick('Ruby "Owl", small', "Nördlich", "two\nlines", "gone").alias("title"), F.lit("").alias("description"),
+        pick("Birds", None, "Maps", "Maps").alias("category"), F.lit("sub").alias("subcategory"), F.array(entry("#112233", "navy"), entry("#445566", "teal"), entry("#000080", "navy")).alias("colors"), pick("private", "", "", "").alias("notes"),
+        n.cast("int").alias("quantity"), pick(7.5, None, 0.25, 1.0).alias("selling_price"), pick(1.0, 2.0, None, 3.0).alias("purchase_price"), F.array(F.lit("owl"), F.lit("red gem")).alias("tags"),
+        pick(40, 0, None, 5).cast("int").alias("width_px"), pick(30, 20, 10, 5).cast("int").alias("height_px"), pick("crops/11.png", None, "", None).alias("crop_path"), F.lit(None).cast("string").alias("transparent_path"),
+        F.lit("2023-07-09T08:00:00+00:00").alias("created_at"), F.when(n == 3, "rejected").otherwise("approved").alias("status"), F.lit("scan.png").alias("source_filename"), pick("Page 5", None, "", None).alias("source_page"),
+        F.struct(n.alias("x")).alias("source_box"),
     )
 
 
+def text_of(path, pattern="part-*"):
+    return "".join(open(f, newline="", encoding="utf-8").read() for f in sorted(glob.glob(os.path.join(path, pattern))))
+
+
 def test_exports(spark, tmp_path):
-    rows = sample(spark)
-    exports.write_csv(rows, str(tmp_path / "csv"))
-    text = "".join(open(f, newline="", encoding="utf-8").read() for f in glob.glob(str(tmp_path / "csv" / "part-*")))
-    (record,) = csv.DictReader(io.StringIO(text))
-    assert len(record) == 19 and record["price"] == "10.00" and record["colors"] == "red" and record["title"] == 'Pink <b>"Pin"</b>' and record["width_px"] == ""
-    exports.write_json(rows, str(tmp_path / "json"))
-    (back,) = spark.read.json(str(tmp_path / "json")).collect()
-    assert back["tags"] == ["pink"] and len(back["colors"]) == 2 and back["source_image_id"] == 1
-    public = catalog.public_record(rows.where("status = 'approved'"))
-    record = public.first()["record"]
-    assert '"price":10.0' in record and "purchase_price" not in record and "secret" not in record
-    script = exports.gallery_script(public, "Shop").first()
-    assert script["text"].startswith("window.CATALOG = ") and len(script["version"]) == 12
+    rows = sample(spark).coalesce(1)
+    paths = exports.export_all(rows, str(tmp_path), "2024-02-03T04:05:06+00:00", title="Owls", publish_to=str(tmp_path / "public"))
+    assert sorted(paths) == ["csv", "html", "json"]
+    text = text_of(paths["csv"])
+    assert text.startswith("\ufeffpin_code,title,") and text.endswith("\r\n")
+    records = [r for r in csv.DictReader(io.StringIO(text.replace("\ufeff", ""), newline="")) if r["pin_code"] != "pin_code"]
+    assert [r["title"] for r in records] == ['Ruby "Owl", small', "Nördlich", "two\nlines"]
+    assert [r["price"] for r in records] == ["7.50", "", "0.25"] and [r["width_px"] for r in records] == ["40", "", ""] and records[0]["colors"] == "navy, teal" and len(records[0]) == 19
+    document = json.loads(text_of(paths["json"]))
+    assert document["exported_at"] == "2024-02-03T04:05:06+00:00" and document["count"] == 3 and [p["pin_code"] for p in document["pins"]] == ["PIN-000011", "PIN-000012", "PIN-000013"]
+    assert document["pins"][1]["tags"] == ["owl", "red gem"] and document["pins"][1]["source_image_id"] == 6 and len(document["pins"][1]["colors"]) == 3
+    script = text_of(paths["html"]).strip()
+    gallery = json.loads(script.removeprefix("window.CATALOG = ").removesuffix(";"))
+    assert [p["code"] for p in gallery["pins"]] == ["PIN-000011", "PIN-000012", "PIN-000013"] and "private" not in script and "purchase_price" not in script
+    assert [p["page"] for p in gallery["pins"]] == ["Page 5", "scan.png", "scan.png"]
+    version = exports.gallery_script(catalog.public_record(rows.where("status = 'approved'")), "Owls").first()["version"]
+    assert version == hashlib.sha256(script.removeprefix("window.CATALOG = ").removesuffix(";").encode()).hexdigest()[:12]
+    exports.publish(spark, paths["html"], str(tmp_path / "public"))  # its own earlier export may be replaced
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "diary.txt").write_text("mine")
+    with pytest.raises(RuntimeError, match="no export"):
+        exports.publish(spark, paths["html"], str(other))
+    assert (other / "diary.txt").read_text() == "mine"
+    with pytest.raises(ValueError, match="xml"):
+        exports.export_all(rows, str(tmp_path), "", formats=["xml"])
+
+
+def test_copies_and_removals(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]))
+    files = spark.createDataFrame([(str(tmp_path / f"{i}.bin"), str(tmp_path / "to" / f"{i}.bin")) for i in range(5)], "source string, target string").repartition(3)
+    assert exports.copied(files).count() == 5 and (tmp_path / "to" / "3.bin").read_bytes() == b"\x03"
+    gone = spark.createDataFrame([(str(tmp_path / "to" / "3.bin"),), (str(tmp_path / "to" / "9.bin"),)], "path string")
+    assert exports.removed(gone).count() == 2 and not (tmp_path / "to" / "3.bin").exists() and (tmp_path / "to" / "2.bin").exists()
 
 
 def test_incremental_copy(spark):
