@@ -20,6 +20,9 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: Rows of a narrow table up to which small() broadcasts it.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of a batch that goes to Python, at most.
+BATCH_ROWS = 1000
+
 _own_folder: list[str] = []
 
 
@@ -35,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let no batch that goes to Python hold more than BATCH_ROWS rows (a smaller setting stays): rows of texts may be long, and each task holds a few batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}/{name}"
@@ -46,6 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what was written outlives any executor, and everything that reads it twice
     (counts and then rows, for instance) sees the same rows in the same files.
     """
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -92,6 +103,7 @@ def map_text(df: DataFrame, new: str, make: Callable[[], Callable[[list[str | No
     make() is called once in each task; what it returns gets texts of at most chunk bytes together (or one longer text) and gives
     the values of each new column. Kept columns pass as Arrow data, whatever their types and nulls.
     """
+    bound_batches(df.sparkSession)
     schema = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(new).fields])
     arrow = to_arrow_schema(schema)
 

@@ -97,6 +97,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = tokens.END_
     text gives the end id alone; repeated ids each get their own stream, in any order; a null id comes first. An
     empty table writes an empty file set. Columns other than the two are not read.
     """
+    common.bound_batches(docs.sparkSession)
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).withColumn("shard", F.spark_partition_id().cast("long"))
     end = np.asarray([end_id], dtype="<u4").tobytes()
