@@ -241,7 +241,20 @@ def redetect_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.survivors(b.where("status = 'pending'"), b.where(F.col("status").isin("approved", "rejected"))).select("id", "photo_id")
 
 
-@query()
+_SAME = "(j / (q.w * q.h + o.w * o.h - j) >= 0.45 OR j / least(q.w * q.h, o.w * o.h) >= 0.85)".replace(
+    "j", "(greatest(0, least(q.x + q.w, o.x + o.w) - greatest(q.x, o.x)) * greatest(0, least(q.y + q.h, o.y + o.h) - greatest(q.y, o.y)))"
+)
+
+
+@query(
+    f""", o AS (SELECT photo_id, id, x, y, w, h, confidence::DOUBLE AS c, row_number() OVER (PARTITION BY photo_id ORDER BY w * h DESC, id) AS k FROM boxes),
+    fold AS (SELECT photo_id, 1::BIGINT AS k, [struct_pack(id := id, x := x, y := y, w := w, h := h, c := c)] AS kept FROM o WHERE k = 1 UNION ALL
+        SELECT photo_id, k, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(kept, struct_pack(id := id, x := x, y := y, w := w, h := h, c := c)) ELSE list_transform(kept, lambda q, i: CASE WHEN i = hit THEN struct_pack(id := q.id, x := least(q.x, x), y := least(q.y, y),
+            w := greatest(q.x + q.w, x + w) - least(q.x, x), h := greatest(q.y + q.h, y + h) - least(q.y, y), c := greatest(q.c, c)) ELSE q END) END
+        FROM (SELECT o.*, f.kept, list_position(list_transform(f.kept, lambda q: {_SAME}), true) AS hit FROM fold f JOIN o ON o.photo_id = f.photo_id AND o.k = f.k + 1)),
+    last AS (SELECT photo_id, unnest(arg_max(kept, k)) AS b FROM fold GROUP BY photo_id) SELECT photo_id, b.id AS id, b.x AS x, b.y AS y, b.w AS width, b.h AS height, b.c AS confidence FROM last""",
+    "boxes", recursive=True,
+)
 def suppress_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.suppress(v.boxes(spark, sf_dir)).select("photo_id", "id", "box.*", "confidence")
 
@@ -251,7 +264,7 @@ def suppress_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold AS (SELECT photo_id, id, x, k, 1 AS row_no, cy AS total, 1 AS n FROM o WHERE k = 1 UNION ALL
         SELECT o.photo_id, o.id, o.x, o.k, CASE WHEN abs(o.cy - f.total / f.n) < t * 0.5 THEN f.row_no ELSE f.row_no + 1 END, CASE WHEN abs(o.cy - f.total / f.n) < t * 0.5 THEN f.total + o.cy ELSE o.cy END,
         CASE WHEN abs(o.cy - f.total / f.n) < t * 0.5 THEN f.n + 1 ELSE 1 END FROM fold f JOIN o ON o.photo_id = f.photo_id AND o.k = f.k + 1 JOIN typical ON typical.photo_id = o.photo_id)
-    SELECT photo_id, id, CAST(row_number() OVER (PARTITION BY photo_id ORDER BY row_no, x, id) AS INTEGER) AS position FROM fold""",
+    SELECT photo_id, id, CAST(row_number() OVER (PARTITION BY photo_id ORDER BY row_no, x, k) AS INTEGER) AS position FROM fold""",
     "boxes", recursive=True,
 )
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,11 +358,16 @@ def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.apply_changes(items, changes).select("id", "title", "category", "selling_price", "quantity")
 
 
-@query("SELECT id, array_to_string(list_filter([lower(split_part(title, ' ', 1)), lower(split_part(title, ' ', 2))], lambda g: g <> ''), ',') AS tags, lower(split_part(title, ' ', 1)) <> lower(split_part(title, ' ', 2)) AS two FROM items WHERE lower(split_part(title, ' ', 1)) <> lower(split_part(title, ' ', 2))", "boxes", "items")
+@query(
+    """, w AS (SELECT id, split_part(title, ' ', 1) AS a, split_part(title, ' ', 2) AS b FROM items), c AS (SELECT id, [lower(a), lower(b), lower(a), left(repeat(lower(a || b), 9), 60), lower(a || ' ' || b)] AS all FROM w)
+    SELECT id, array_to_string(list_filter(list_transform(range(1, 6), lambda i: CASE WHEN list_contains(all[1:i - 1], all[i]) THEN '' ELSE all[i] END), lambda g: g <> ''), ',') AS tags FROM c""".replace("all", "tried"),
+    "boxes", "items",
+)
 def clean_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case, repeats, spaces, empty ones and a long one, in all rows."""
     a, b = F.split_part("title", F.lit(" "), F.lit(1)), F.split_part("title", F.lit(" "), F.lit(2))
-    tags = t.clean_tags(F.array(F.concat(F.lit("  "), F.upper(a)), b, F.lit("   "), F.concat(a, F.lit(" "))))
-    return v.items(spark, sf_dir).where(F.lower(a) != F.lower(b)).select("id", F.array_join(tags, ",").alias("tags"), F.lit(True).alias("two"))
+    tags = F.array(F.concat(F.lit("  "), F.upper(a)), b, F.lit("   "), F.concat(a, F.lit(" ")), F.repeat(F.concat(a, b), F.lit(9)), F.concat(a, F.lit(" \t "), F.upper(b)))
+    return v.items(spark, sf_dir).select("id", F.array_join(t.clean_tags(tags), ",").alias("tags"))
 
 
 _PIXELS = """WITH px AS (SELECT vec_id AS photo_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CAST(floor(abs(embedding[i]::DOUBLE) * 1000) AS INTEGER) % 256 AS r, CAST(floor(abs(embedding[i % 64 + 1]::DOUBLE) * 1000) AS INTEGER) % 256 AS g,
