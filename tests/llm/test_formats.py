@@ -1,6 +1,7 @@
 """Chat windows, URL filters and mixing against brute force and exact round trips; the whole pipeline on a small corpus."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -103,6 +104,40 @@ def test_mined_url_rules(spark):
     assert all(got[i] == ("block" if "ads." in u and "/buy/" in u else "allow") for i, u, _ in rows)
 
 
+def test_mined_rules_are_complete(spark):
+    """All minimal rules by counting every combination of up to three tokens; 20 tokens that all URLs share, and 20 that a site shares, don't multiply item sets."""
+    rng = random.Random(7)
+    everywhere, site = ".".join(f"all{chr(97 + i)}" for i in range(20)), "/".join(f"site{chr(97 + i)}" for i in range(20))
+    rows = []
+    for i in range(500):
+        path = [p for p in ("buy", "win", "cash", "news", "read") if rng.random() < 0.5]
+        bad = {"buy", "win"} <= set(path) or {"win", "cash", "news"} <= set(path)
+        own = site if rng.random() < (0.5 if bad else 0.3) else "home"
+        rows.append((i, f"https://{everywhere}/{own}/{'-'.join(path)}/{i}", bad if rng.random() < 0.95 else not bad))
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean").repartition(3)
+    got = {tuple(r["antecedent"]) for r in urls.mine(df).collect()}
+    baskets = [(frozenset(r["t"]), r["blocked"]) for r in df.select("blocked", urls.tokens(F.col("url")).alias("t")).collect()]
+    base = sum(b for _, b in baskets) / len(baskets)
+    columns, stands = {}, {}
+    for t in sorted(set().union(*(s for s, _ in baskets))):
+        columns[t] = frozenset(i for i, (s, _) in enumerate(baskets) if t in s)
+        stands.setdefault(columns[t], t)
+    hits = frozenset(i for i, (_, b) in enumerate(baskets) if b)
+    least = max(urls.MIN_COUNT, -(-urls.MIN_SUPPORT * len(rows) // 1))
+    good = lambda at: len(at & hits) >= least and len(at & hits) / len(at) >= urls.MIN_CONFIDENCE
+    want = {(t,): columns[t] for t in columns if good(columns[t])}
+    usable = [t for t in columns if (t,) not in want and len(columns[t] & hits) >= least and len(columns[t] & hits) / len(columns[t]) > base and stands[columns[t]] == t]
+    for n in (2, 3):
+        for c in itertools.combinations(usable, n):
+            at = frozenset.intersection(*(columns[t] for t in c))
+            if at and good(at):
+                want[c] = at
+    share = lambda at: len(at & hits) / len(at)
+    minimal = {c for c, at in want.items() if not any(set(d) < set(c) and share(e) >= share(at) for d, e in want.items())}
+    assert {c for c in got if len(c) <= 3} == minimal and len(minimal) > 1
+    assert all(len(c) <= 5 for c in got) and not any("all" in t for c in got for t in c)
+
+
 def documents(spark, n=400, seed=5):
     rng = random.Random(seed)
     rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(0, 90))), rng.choice(["b", "a", "c", "Z", None, "b", "b"]), 1.0, 2) for i in range(n)]
