@@ -18,8 +18,10 @@ from . import common
 
 #: Hashed n-grams of 1 to 3 letters; the model is a table of BUCKETS x languages.
 BUCKETS = 1 << 16
-#: Documents that the model is learned from at most: a sample by a hash of doc_id.
-MAX_LEARNED = 20_000
+#: Documents of each language that the model is learned from at most: a sample by a hash of doc_id, so that rare languages are learned as well.
+MAX_LEARNED = 5_000
+#: Characters of a long text whose n-grams are worked out at once.
+SLICE = 1 << 18
 #: Log-odds that a stretch in another language must gain over each change into or out of it.
 PENALTY = 12.0
 #: Share of a language's letters in a script from which the script makes it a candidate.
@@ -96,11 +98,10 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def learn(docs: DataFrame, lang: str = "lang") -> Model:
-    """Learn from text and non-null lang of documents that aren't held out, at most about MAX_LEARNED by a hash of doc_id."""
+    """Learn from text and non-null lang of documents that aren't held out, at most about MAX_LEARNED of each language by a hash of doc_id."""
     known = docs.select("doc_id", "text", F.col(lang).alias("lang")).where(~common.held_out()).where("lang is not null and text is not null and doc_id is not null")
-    n = known.count()
-    if n > MAX_LEARNED:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(MAX_LEARNED / n * (1 << 30)))
+    rates = common.stored(known.groupBy("lang").agg((F.lit(MAX_LEARNED) / F.count("*") * (1 << 30)).alias("below")), "rates")
+    known = known.join(common.small(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: dict[str, np.ndarray] = {}
@@ -108,7 +109,8 @@ def learn(docs: DataFrame, lang: str = "lang") -> Model:
             for name, own in frame.groupby("lang"):
                 texts = own["text"].tolist()
                 sums = grams.setdefault(str(name), np.zeros(BUCKETS + N_SCRIPTS, dtype=np.int64))
-                for a, b in common.text_chunks([len(t) for t in texts], 1 << 18):
+                texts = [p for t in texts for p in common.pieces(t, SLICE)]
+                for a, b in common.text_chunks([len(t) for t in texts], SLICE):
                     found = take_words(texts[a:b])
                     sums[:BUCKETS] += np.bincount(found.grams.ravel(), minlength=BUCKETS)
                     sums[BUCKETS:] += np.bincount(found.script, weights=found.size, minlength=N_SCRIPTS).astype(np.int64)
@@ -144,28 +146,28 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarr
     """Best label sequence of each text's words x languages scores; all texts advance together, longest first."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     sizes = np.array([len(scores[i]) for i in order])
-    states = scores[0].shape[1]
-    best = np.zeros((len(order), states))
-    came = [np.zeros((n, states), dtype=np.int16) for n in sizes]
-    stay = np.arange(states)
-    for t in range(sizes[0] if len(sizes) else 0):
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate([scores[i] for i in order])
+    came = np.zeros(flat.shape, dtype=np.int16)
+    best = np.zeros((len(order), flat.shape[1]))
+    stay = np.arange(flat.shape[1])
+    for t in range(sizes[0]):
         active = int(np.searchsorted(-sizes, -t, side="left"))
-        now = best[:active]
+        at, now = starts[:active] + t, best[:active]
         top = now.argmax(axis=1)
         change = now[np.arange(active), top][:, None] - penalty
         switch = change > now
-        origin = np.where(switch, top[:, None], stay)
-        best[:active] = np.where(switch, change, now) + np.stack([scores[i][t] for i in order[:active]])
-        for k in range(active):
-            came[k][t] = origin[k]
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(order)
+        came[at] = np.where(switch, top[:, None], stay)
+        best[:active] = np.where(switch, change, now) + flat[at]
+    path, state = np.zeros(len(flat), dtype=np.int16), best.argmax(axis=1)
+    for t in range(sizes[0] - 1, -1, -1):
+        active = int(np.searchsorted(-sizes, -t, side="left"))
+        at = starts[:active] + t
+        path[at] = state[:active]
+        state[:active] = came[at, state[:active]]
+    out = [path[:0]] * len(order)
     for k, i in enumerate(order):
-        path = np.zeros(sizes[k], dtype=np.int64)
-        state = int(best[k].argmax())
-        for t in range(sizes[k] - 1, -1, -1):
-            path[t] = state
-            state = int(came[k][t][state])
-        out[i] = path
+        out[i] = path[starts[k] : starts[k] + sizes[k]]
     return out
 
 
@@ -189,10 +191,21 @@ def _one_language(scores: np.ndarray, penalty: float) -> int | None:
 
 def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """For each text: its language (that of most letters), the share of letters in it, and spans (first, end, language)."""
-    found = take_words(texts)
-    if not model.languages or not len(found.size):
+    if not model.languages:
+        return [(UNDECIDED, 0.0, [])] * len(texts)
+    if len(texts) == 1 and len(texts[0] or "") > SLICE:  # n-grams of a long text are worked out in slices; words and their scores stay
+        parts, scores, at = [], [], 0
+        for piece in common.pieces(texts[0], SLICE):
+            part = take_words([piece])
+            scores.append(word_scores(part, model).astype(np.float32))
+            parts.append(part._replace(first=part.first + at, grams=part.grams[:0]))
+            at += len(piece)
+        found, scores = Words(*map(np.concatenate, zip(*parts, strict=True))), np.concatenate(scores)
+    else:
+        found = take_words(texts)
+        scores = word_scores(found, model)
+    if not len(found.size):
         return [(UNDECIDED, 0.0, [])] * len(texts)
-    scores = word_scores(found, model)
     cuts = np.searchsorted(found.text, np.arange(len(texts) + 1))
     paths: dict[int, np.ndarray | int] = {}
     mixed = []
@@ -240,7 +253,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: tupl
 
         return compute
 
-    return common.map_text(docs, "lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>", make, keep, 1 << 18)
+    return common.map_text(docs, "lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>", make, keep, SLICE)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,23 @@ def test_languages_and_mixed_spans(spark):
     assert {r["lang_pred"] for r in language.identify(df, language.learn(nothing)).collect()} == {"und"}
 
 
+def test_long_texts_are_labelled_as_short_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["thas", "ingou"] if i % 2 else ["schung", "keitei"]) for _ in range(30)), "ab"[i % 2]) for i in range(60)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = " ".join(r[1] for r in rows[::2]) + " 12 é\n" + " ".join(r[1] for r in rows[1::2])
+    whole = language.label([text], model)
+    monkeypatch.setattr(language, "SLICE", 100)
+    parts = language.label([text], model)
+    assert parts[0][0] == whole[0][0] and abs(parts[0][1] - whole[0][1]) < 1e-9 and parts[0][2] == whole[0][2] and len(whole[0][2]) == 2
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LEARNED", 20)
+    rows = [(i, "thas ingou", "common") for i in range(3000)] + [(3000 + i, "schung", "rare") for i in range(6)]
+    assert language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["common", "rare"]
+
+
 def test_quality_metrics(spark):
     rng = random.Random(3)
     texts = [*ODD, "Hello World", "a b c d e f g h " * 5, "x\nx\n \ny\nx", "#*$ %&|<> ok!", "日本 語\n日本 語", "w " * 3000]
