@@ -3,7 +3,7 @@ r"""Chat formatting in budgeted, turn-aligned windows with loss masks, and readi
 Template. A turn is `### role: text</turn>` and a line feed. Inside role and text a backslash is written `\\`, `#` is `\h`, `<` is `\l`, and in a
 role `:` is `\c`, so neither `###` nor `</turn>` can occur in them, and unescaping restores every text.
 
-Windows. Prefix sums of the turns' words place each turn in span floor(words before it / stride) of its conversation. A span's window has, in
+Windows. Prefix sums of the turns' tokens (words, unless the caller counts them) place each turn in span floor(words before it / stride) of its conversation. A span's window has, in
 order: the conversation's system turn (if its first turn has the role `system`), whole turns of the previous span that begin at most `history` words before the
 span, and the span's own turns. System turns and history that repeat are not targets; loss spans cover the text of the span's own assistant turns,
 so that each assistant turn is a target exactly once. A window has at most stride + history words besides its system turn, more only by what its last turn
@@ -39,18 +39,19 @@ def unescaped(text: Column, role: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
 
-def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY, system_role: str = "system") -> DataFrame:
+def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY, system_role: str = "system", count_col: str | None = None) -> DataFrame:
     """Format all turns: conv_id, window, text, n_repeated (turns at its head that repeat), loss (array of start, length in code points), n_words.
 
-    turns: conv_id, turn, role, text. Turns go in ascending order of turn (nulls first), then role and text; equal rows stay turns of their
+    turns: conv_id, turn, role, text, and a column count_col of each turn's tokens, if the budget is to be one of a model's tokens; by default words between ASCII
+    white space count. n_words is the sum of these counts. Turns go in ascending order of turn (nulls first), then role and text; equal rows stay turns of their
     own. A null text or role is empty; a null conv_id is a conversation like any other. An empty table gives no rows; other columns aren't read. No
     step gathers a conversation: prefix sums run over range partitions and a window holds its budget's turns only.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("words", F.size(F.filter(F.split("text", _SPACES), lambda w: w != "")).cast("long"))
-    rows = common.prefix_sums(rows, "words", ["turn", "role", "text"], ["conv_id"], into="before")
-    one = F.lit(1).cast("long")
-    rows = common.prefix_sums(rows.withColumn("_one", one), "_one", ["turn", "role", "text"], ["conv_id"], into="place").drop("_one")
+    said = F.coalesce("text", F.lit(""))
+    count = F.coalesce(F.col(count_col), F.lit(0)) if count_col else F.size(F.filter(F.split(said, _SPACES), lambda w: w != ""))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("text"), count.cast("long").alias("words"))
+    rows = rows.withColumn("_one", F.lit(1).cast("long"))
+    rows = common.prefix_sums(rows, {"words": "before", "_one": "place"}, ["turn", "role", "text"], ["conv_id"]).drop("_one")
     rows = common.stored(rows.withColumn("span", F.floor(F.col("before") / stride).cast("long")), "turns")
     spans = rows.groupBy("conv_id", "span").agg(F.min("before").alias("begin"), F.min("place").alias("first"))
     system = rows.where((F.col("place") == 0) & (F.col("role") == system_role)).select("conv_id", "role", "text", "words")

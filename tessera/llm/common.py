@@ -149,8 +149,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def prefix_sums(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), into: str = "start") -> DataFrame:
-    """Add column `into`: the exclusive running sum of `value` in the given order, per keys (or over all rows).
+def prefix_sums(df: DataFrame, sums: dict[str, str], order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Add the exclusive running sum of each column in `sums` (under the name it maps to) in the given order, per keys (or over all rows).
 
     No task gets a whole group: rows are range-partitioned by (keys, order), so that a hot key spans many
     partitions, and only one total for each (key, partition) is summed up across partitions. The order columns
@@ -160,18 +160,18 @@ def prefix_sums(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[
     ranged = stored(
         df.repartitionByRange(*(F.col(c).asc_nulls_first() for c in [*keys, *order])).withColumn("_part", F.spark_partition_id()), "ranged"
     )
-    amount = F.coalesce(F.col(value), F.lit(0)).cast("long")
-    totals = ranged.groupBy("_part", *keys).agg(F.sum(amount).alias("_total"))
+    amount = {into: F.coalesce(F.col(value), F.lit(0)).cast("long") for value, into in sums.items()}
+    totals = ranged.groupBy("_part", *keys).agg(*(F.sum(a).alias(f"_total_{into}") for into, a in amount.items()))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", *keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    bases = totals.select("_part", *keys, *(F.coalesce(F.sum(f"_total_{into}").over(before), F.lit(0)).alias(f"_base_{into}") for into in amount))
     within = Window.partitionBy("_part", *keys).orderBy(*(F.col(c).asc_nulls_first() for c in order))
     within = within.rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("_sum", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    summed = ranged.withColumns({f"_sum_{into}": F.coalesce(F.sum(a).over(within), F.lit(0)) for into, a in amount.items()})
     matches = F.col("l._part") == F.col("r._part")
     for k in keys:
         matches &= F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     joined = summed.alias("l").join(bases.alias("r"), matches, "left")
-    return joined.select(*(F.col(f"l.{c}") for c in df.columns), (F.col("_sum") + F.col("_base")).cast("long").alias(into))
+    return joined.select(*(F.col(f"l.{c}") for c in df.columns), *((F.col(f"_sum_{into}") + F.col(f"_base_{into}")).cast("long").alias(into) for into in amount))
 
 
 def components(spark: SparkSession, links: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:

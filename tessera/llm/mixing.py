@@ -174,7 +174,7 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
     """
     keyed = common.ROW in docs.columns
     # Rows that share an id go by their texts' hashes, so that reruns agree; rows that share both are alike.
-    sizes = common.prefix_sums(sized(docs), "size", ["doc_id", "_hash", common.ROW] if keyed else ["doc_id", "_hash"], ["source"], into="begin").drop("_hash")
+    sizes = common.prefix_sums(sized(docs), {"size": "begin"}, ["doc_id", "_hash", common.ROW] if keyed else ["doc_id", "_hash"], ["source"]).drop("_hash")
     sizes = sizes.withColumnRenamed(common.ROW, "row") if keyed else sizes.withColumn("row", F.monotonically_increasing_id())
     sizes = common.stored(sizes, "sizes")
     plan = targets(sizes)
