@@ -30,12 +30,18 @@ def _compared(joined: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("score", likeness.overall(F.col("bits"), likeness.color(F.col("a.histogram"), F.col("b.histogram")))).where(F.col("score") >= threshold)
 
 
+def blocks_for(prints: DataFrame, rows: int = 2000) -> int:
+    """Blocks of about `rows` rows, 16 at least: a task compares one pair of blocks, however many fingerprints there are."""
+    return max(16, math.ceil(prints.count() / rows))
+
+
 def _entry() -> F.Column:
     return F.struct("id", "hi", "lo", "histogram")
 
 
-def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD, blocks: int = 16) -> DataFrame:
+def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD, blocks: int | None = None) -> DataFrame:
     """id_a < id_b, score (3 digits) of all pairs whose unrounded score reaches the threshold. prints: id, hi, lo, histogram."""
+    blocks = blocks or blocks_for(prints)
     rows = prints.select(_entry().alias("e"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     left = rows.select(F.col("e").alias("a"), F.col("block").alias("i"), F.explode(every).alias("j"))
@@ -44,8 +50,9 @@ def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD, blocks: int =
     return found.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.bround("score", 3).alias("score"))
 
 
-def best_matches(targets: DataFrame, prints: DataFrame, k: int = 3, threshold: float = THRESHOLD, blocks: int = 16) -> DataFrame:
+def best_matches(targets: DataFrame, prints: DataFrame, k: int = 3, threshold: float = THRESHOLD, blocks: int | None = None) -> DataFrame:
     """id, match_id, rank, score: the k best others of each target; only scores that reach the threshold."""
+    blocks = blocks or blocks_for(prints)
     left = targets.select(_entry().alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     right = prints.select(_entry().alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     found = _compared(left.join(right, "block").where("a.id <> b.id"), threshold)

@@ -53,8 +53,8 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def catalog_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _master(spark, sf_dir)
-    by_tag = catalog.search(rows, catalog.ItemFilter(status="rejected", tag="COLD", color="Cold"))
-    by_category = catalog.search(rows, catalog.ItemFilter(status="all", category="bRAND#17"))
+    by_tag = catalog.search(rows, catalog.ItemFilter(status="rejected", tag="COLD", color="Cold"), ordered=False)
+    by_category = catalog.search(rows, catalog.ItemFilter(status="all", category="bRAND#17"), ordered=False)
     return by_tag.unionByName(by_category).select("item_code", "category", "status", "photo_id")
 
 

@@ -38,7 +38,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    first = boxes(spark, sf_dir).groupBy("photo_id").agg(F.min("id").alias("box_id"))
+    # A photo's first box straight from the lines, which needs two columns only.
+    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("photo_id")).agg((F.first("l_orderkey") * 10 + F.min("l_linenumber")).alias("box_id"))
     n = F.col("p_partkey")
     colors = F.transform(F.slice(F.split("p_name", " "), 1, 2), lambda w: F.struct(F.lit("#808080").alias("hex"), w.alias("name"), F.lit(0.5).alias("share")))
     rows = p.select(
