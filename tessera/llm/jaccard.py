@@ -136,23 +136,24 @@ def coarse_regions(entries: DataFrame, nodes: DataFrame, similarity: int) -> Dat
     """region (its pivot), x, apart of all members: regions in which every near pair meets.
 
     entries: cell, fp1, salt; nodes: fp1, x, n. apart orders members, the most central ones (those with the largest share of their prefix in cells of
-    others) first. One shuffle finds the cells of several sets; entries of the most frequent cells, which surely have several, are spread by their salt.
-    After that only counts, extremes and xor digests are gathered by cell, which tasks reduce before the shuffle.
+    others) first. One shuffle finds the cells of several sets, and digests of their members: of cells with the same members one stays. Entries of
+    the most frequent cells, which surely have several, are spread by their salt, and those cells all stay.
     """
     cell = Window.partitionBy("cell", "salt")
-    several = entries.withColumn("low", F.min("fp1").over(cell)).withColumn("high", F.max("fp1").over(cell)).where("salt > 0 or low <> high")
-    met = common.stored(several.select("cell", "salt", "fp1").distinct().select("cell", "fp1"), "met")
+    digest = [F.bit_xor(F.xxhash64("fp1", F.lit(i))).over(cell) for i in range(2)]
+    met = entries.repartition("cell", "salt").distinct().withColumn("n", F.count("*").over(cell)).where("salt > 0 or n > 1")
+    met = met.select("cell", "fp1", "salt", digest[0].alias("a"), digest[1].alias("b"), (F.col("fp1") == F.min("fp1").over(cell)).alias("first"))
+    met = common.stored(met, "met")
+    kept = common.stored(met.where("salt = 0 and first").groupBy("a", "b").agg(F.min("cell").alias("cell")).select("cell"), "cells")
     length = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
     # Ten bits of the share that isn't met elsewhere, then a hash.
     share = F.least(F.floor(1000 * (1 - F.col("cells") / length)), F.lit(1000)).cast("long")
     apart = F.shiftleft(F.greatest(share, F.lit(0)), 52).bitwiseOR(F.xxhash64("x").bitwiseAND((1 << 52) - 1))
     central = met.groupBy("fp1").agg(F.count("*").alias("cells")).join(nodes, "fp1").select("fp1", "x", apart.alias("apart"))
-    members = common.stored(met.join(central, "fp1").select("cell", "x", "apart"), "members")
-    cells = members.groupBy("cell").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("a"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"), F.min_by("x", "apart").alias("region")
-    )
-    kept = common.stored(cells.groupBy("n", "a", "b").agg(F.min("cell").alias("cell"), F.min("region").alias("region")).select("cell", "region"), "cells")
-    return common.stored(members.join(common.small(kept), "cell").select("region", "x", "apart").distinct(), "regions")
+    entries = met.where("salt = 0").join(common.small(kept), "cell").select("cell", "fp1").unionByName(met.where("salt > 0").select("cell", "fp1"))
+    members = common.stored(entries.join(central, "fp1").select("cell", "x", "apart"), "members")
+    pivots = common.stored(members.groupBy("cell").agg(F.min_by("x", "apart").alias("region")), "pivots")
+    return common.stored(members.join(common.small(pivots), "cell").select("region", "x", "apart").distinct(), "regions")
 
 
 def node_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -271,16 +272,22 @@ def _arrays(values: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(v, dtype=np.uint64) for v in values]
 
 
-def _may_be_near(sizes: np.ndarray, signatures: np.ndarray, wide: list[np.ndarray | None], similarity: int) -> np.ndarray:
-    """Which of some sets may be near another one: |A xor B| = u - i and |A| + |B| = u + i, so a lower bound of the former bounds i / u from above."""
+def _may_be_near(sizes: np.ndarray, signatures: list[bytes | None], similarity: int) -> np.ndarray:
+    """Which of some sets may be near another one: |A xor B| = u - i and |A| + |B| = u + i, so a lower bound of the former bounds i / u from above.
+
+    Sizes and, of pairs that both have one, signatures bound it.
+    """
+    known = np.array([v is not None for v in signatures])
+    bits = np.zeros((len(sizes), max((len(v) for v in signatures if v is not None), default=8) // 8), dtype=np.uint64)
+    for i in np.flatnonzero(known):
+        bits[i] = np.frombuffer(signatures[i], dtype=np.uint64)
     found = np.zeros(len(sizes), dtype=bool)
     for i in range(len(sizes) - 1):
         total, rest = sizes[i] + sizes[i + 1 :], slice(i + 1, None)
-        differ = np.maximum(np.bitwise_count(signatures[rest] ^ signatures[i]).sum(axis=1, dtype=np.int64), abs(sizes[rest] - sizes[i]))
+        differ = abs(sizes[rest] - sizes[i])
+        if known[i]:
+            differ = np.maximum(differ, np.where(known[rest], np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64), 0))
         near = np.flatnonzero((total - differ) * 100 >= (total + differ) * similarity)
-        if wide[i] is not None and len(near):
-            exact = np.array([0 if (other := wide[i + 1 + j]) is None else int(np.bitwise_count(other ^ wide[i]).sum(dtype=np.int64)) for j in near])
-            near = near[(total[near] - exact) * 100 >= (total[near] + exact) * similarity]
         if len(near):
             found[i] = True
             found[i + 1 + near] = True
@@ -288,23 +295,26 @@ def _may_be_near(sizes: np.ndarray, signatures: np.ndarray, wide: list[np.ndarra
 
 
 def plausible(regions: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """The rows of regions without members that, by sizes and signatures, can't be near any other of their region. Large regions stay whole."""
+    """The rows of regions without members that, by sizes and signatures, can't be near any other of their region. Large regions stay whole.
+
+    nodes: x, n, signature (null: its size alone counts).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (region,), (x, apart, n, signature, wide) in _groups(batches, 1):
-            if 1 < len(x) <= MEMBERS:
-                signatures = np.frombuffer(b"".join(signature), dtype=np.uint64).reshape(len(x), -1)
-                wides = [None if w is None else np.frombuffer(w, dtype=np.uint64) for w in wide]
-                at = np.flatnonzero(_may_be_near(np.array(n, dtype=np.int64), signatures, wides, similarity))
+        for (region,), (x, apart, n, signature) in _groups(batches, 1):
+            if len(x) > 1:
+                at = np.flatnonzero(_may_be_near(np.array(n, dtype=np.int64), signature, similarity))
                 if len(at):
                     columns = [[region] * len(at), [x[i] for i in at], [apart[i] for i in at]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["region", "x", "apart"])
 
     sizes = common.stored(regions.groupBy("region").agg(F.count("*").alias("members")), "region_sizes")
     large = sizes.where(f"members > {MEMBERS}").select("region")
-    bounded = regions.join(sizes.where(f"members <= {MEMBERS}").select("region"), "region").join(nodes, "x").select("region", "x", "apart", "n", "signature", "wide")
-    checked = bounded.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, x long, apart long")
-    return checked.unionByName(regions.join(large, "region").select("region", "x", "apart"))
+    some = not large.isEmpty()
+    bounded = regions.join(large, "region", "left_anti") if some else regions
+    rows = nodes.join(common.small(bounded), "x").select("region", "x", "apart", "n", "signature")
+    checked = rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, x long, apart long")
+    return checked.unionByName(regions.join(large, "region").select("region", "x", "apart")) if some else checked
 
 
 def bounded_links(regions: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -316,7 +326,7 @@ def bounded_links(regions: DataFrame, sets: DataFrame, similarity: int) -> DataF
                 links = join_region(np.array(ids, dtype=np.int64), _arrays(values), similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links], ["x", "y"])
 
-    rows = regions.join(sets, "x").select("region", "x", "shingles").repartition("region").sortWithinPartitions("region")
+    rows = sets.join(common.small(regions), "x").select("region", "x", "shingles").repartition("region").sortWithinPartitions("region")
     return rows.mapInArrow(run, "x long, y long")
 
 
@@ -427,7 +437,9 @@ def join(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     known = docs.where("doc_id is not null")
     # A node is found by half of its digest; should halves agree, both nodes take part.
     regions = coarse_regions(prefixes(known, k, similarity, order_table(surveyed)), nodes.select("fp1", "x", "n"), similarity)
-    regions = common.stored(plausible(regions, nodes.select("x", "n", "signature", "wide"), similarity), "plausible")
+    regions = common.stored(plausible(regions, nodes.select("x", "n", "signature"), similarity), "plausible")
+    wide = nodes.where(F.col("wide").isNotNull()).select("x", F.col("wide").alias("signature"))
+    regions = common.stored(plausible(regions, nodes.select("x", "n").join(wide, "x", "left"), similarity), "plausible")
     sets = node_sets(known, regions.select("x").distinct(), k)
     links = near_links(regions, sets, similarity)
     labels = common.components(docs.sparkSession, links, "x", "y").withColumnRenamed("node", "x")
