@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -136,6 +137,11 @@ XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334
 WHITE = (0.950456, 1.0, 1.088754)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lab(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Column]:
     """8-bit RGB as 8-bit LAB (lightness times 2.55, a and b plus 128), by the exact formula rounded half to even; tables of libraries may differ by one."""
 
@@ -144,11 +150,8 @@ def lab(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Colum
         return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
 
     parts = [linear(c) for c in (red, green, blue)]
-    bent = []
-    for row, white in zip(XYZ, WHITE, strict=True):
-        v = (parts[0] * row[0] + parts[1] * row[1] + parts[2] * row[2]) / white
-        bent.append(F.when(v > 0.008856, F.pow(v, F.lit(1.0 / 3.0))).otherwise(v * 7.787 + 16.0 / 116.0))
-    x, y, z = bent
+    bend = lambda v: F.when(v > 0.008856, F.pow(v, F.lit(1.0 / 3.0))).otherwise(v * 7.787 + 16.0 / 116.0)
+    x, y, z = (bound((parts[0] * row[0] + parts[1] * row[1] + parts[2] * row[2]) / white, bend) for row, white in zip(XYZ, WHITE, strict=True))
     byte = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.rint(v).cast("int")))
     return byte((y * 116 - 16) * 2.55), byte((x - y) * 500 + 128), byte((y - z) * 200 + 128)
 
@@ -156,12 +159,17 @@ def lab(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Colum
 def rgb_color_name(red: Column, green: Column, blue: Column) -> Column:
     """Name of an 8-bit RGB colour, by way of 8-bit LAB."""
     lightness, a, b = lab(red, green, blue)
-    return lab_color_name(lightness * 100 / 255, a - 128, b - 128)
+    values = F.struct((lightness * 100 / 255).alias("l"), (a - 128).alias("a"), (b - 128).alias("b"))
+    return bound(values, lambda c: lab_color_name(c["l"], c["a"], c["b"]))
 
 
 def lab_color_name(lightness: Column, a: Column, b: Column) -> Column:
     """Name of a colour from lightness 0-100 and centred a, b."""
-    chroma, hue = F.hypot(a, b), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))
+    polar = F.struct(F.hypot(a, b).alias("chroma"), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)).alias("hue"))
+    return bound(polar, lambda c: _color_name(lightness, c["chroma"], c["hue"]))
+
+
+def _color_name(lightness: Column, chroma: Column, hue: Column) -> Column:
     plain = F.lit(HUES[-1][1])
     for bound, name in reversed(HUES[:-1]):
         plain = F.when(hue < bound, name).otherwise(plain)

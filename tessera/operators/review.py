@@ -88,7 +88,7 @@ def settle(actions: DataFrame, boxes: DataFrame) -> DataFrame:
     mark = F.when(F.col("reason").isNull() & (F.col("action") == "copy"), F.col("target_id")).when(F.col("reason").isNull() & (F.col("action") == "reset"), F.lit(-1))
     rows = before(rows, "box_id", mark, "mark")
     undone = F.when(F.col("reason").isNull() & (F.col("action") == "reset") & (F.col("mark") >= 0), F.col("mark"))
-    return rows.select("seq", "action", "box_id", "target_id", "reason", undone.alias("undone"))
+    return cut_lineage(rows.select("seq", "action", "box_id", "target_id", "reason", undone.alias("undone")))
 
 
 def box_state(settled: DataFrame) -> DataFrame:
