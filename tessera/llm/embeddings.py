@@ -26,7 +26,8 @@ CODEWORDS = 64
 MAX_FITTED = 20_000
 BLOCK = 2048
 #: A list is probed if the hyperplane between it and the query's own list is within PROBE standard deviations of the largest linked
-#: distance r, projected on a random direction (r / sqrt(dimensions)).
+#: distance r, projected on a random direction (r / sqrt(dimensions)). Dimensions are the vector's own, and no more than those in which residuals
+#: of the fitted sample vary in effect.
 PROBE = 4.0
 
 
@@ -61,6 +62,8 @@ class Index:
         gaps = ((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2) if lists <= 512 else None
         self.gaps = np.sqrt(gaps) if gaps is not None else None
         rest = sample - self.centres[nearest(sample, self.centres)]
+        spread = rest.T @ rest
+        self.effective = max(1.0, float(np.trace(spread) ** 2 / max((spread**2).sum(), 1e-300)))
         words = min(CODEWORDS, len(sample))
         self.words = np.stack([kmeans(part, words, seed + 1 + s) for s, part in enumerate(np.split(rest, SUBSPACES, axis=1))])
 
@@ -75,8 +78,8 @@ class Index:
         coded = np.concatenate([self.words[s][codes[:, s]] for s in range(SUBSPACES)], axis=1)
         return home, codes, np.sqrt(((rest - coded) ** 2).sum(axis=1))
 
-    def probes(self, x: np.ndarray, home: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Of each vector, the lists whose hyperplane against its own list is within reach; its own is always among them."""
+    def probes(self, x: np.ndarray, home: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        """Of each vector, the lists whose hyperplane against its own list is within its reach; its own is always among them."""
         out = []
         for i in range(0, len(x), 1024):
             part, own = x[i : i + 1024], home[i : i + 1024]
@@ -86,7 +89,7 @@ class Index:
             else:
                 mine = self.centres[own]
                 gap = np.sqrt(np.maximum((mine**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * mine @ self.centres.T, 0))
-            across = (far - far[np.arange(len(part)), own][:, None]) <= 2 * reach * gap
+            across = (far - far[np.arange(len(part)), own][:, None]) <= 2 * reach[i : i + 1024, None] * gap
             across[np.arange(len(part)), own] = True
             out += [np.flatnonzero(row) for row in across]
         return out
@@ -164,7 +167,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
         return single
     shared = spark.sparkContext.broadcast(index)
     distance = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    reach = min(distance, PROBE * distance / index.dims**0.5)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
@@ -172,6 +174,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
             if len(frame):
                 unit = index.padded(_unit(frame["embedding"]))
                 home, codes, error = index.code(unit)
+                reach = distance * np.minimum(1.0, PROBE / np.sqrt(np.minimum(frame["dims"].to_numpy(), index.effective)))
                 yield frame.assign(list_no=home, codes=[c.tobytes() for c in codes], error=error, probes=index.probes(unit, home, reach))
 
     coded = entries.select("x", "label", "times", "embedding", F.size("embedding").alias("dims"))

@@ -57,3 +57,20 @@ def test_empty_and_unusable(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     (row,) = embeddings.near_duplicates(spark.createDataFrame([(1, None, 1, "", 1)], SCHEMA)).collect()
     assert tuple(row) == (1, 0, 1, True)
+
+
+def test_low_rank_vectors_beside_a_long_one(spark):
+    """Vectors that vary in few directions, and one of many more components, must not shrink what is probed."""
+    rng = np.random.default_rng(8)
+    basis = rng.normal(size=(4, 64))
+    rows = []
+    for i in range(700):
+        v = rng.normal(size=4) @ basis
+        rows.append(v)
+        if i % 2:
+            rows.append(v + (rng.normal(size=4) * rng.uniform(0.1, 0.35)) @ basis)
+    rows = [(i, [float(x) for x in v], 1, "clash", 1) for i, v in enumerate(rows)] + [(5000, [1.0] * 512, 1, "clash", 1)]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    unit = np.array([np.asarray(v, np.float32).astype(float) / np.linalg.norm(np.asarray(v, np.float32).astype(float)) for _, v, *_ in rows[:-1]])
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want)) and got[5000] == 0
