@@ -93,8 +93,9 @@ def test_quantity_floor_is_a_fold(spark):
             q = max(0, q + d)
         want[item] = q
     rng.shuffle(rows)
-    got = review.quantities(spark.createDataFrame(rows, "item_id long, seq long, delta int")).collect()
-    assert {r.item_id: r.quantity for r in got} == want
+    changes = spark.createDataFrame(rows, "item_id long, seq long, delta int")
+    for bucket in (10_000, 3):
+        assert {r.item_id: r.quantity for r in review.quantities(changes, bucket).collect()} == want
 
 
 def test_codes_are_never_given_twice(spark):
@@ -102,7 +103,8 @@ def test_codes_are_never_given_twice(spark):
     actions = spark.createDataFrame(log, "seq long, box_id long, action string")
     got = {r.box_id: r.item_code for r in review.permanent_codes(actions, last_code=41, bucket=2).collect()}
     assert got == {7: "PIN-000042", 5: "PIN-000043", 9: "PIN-000044"}
-    assert {r.box_id: r.status for r in review.current_status(actions).collect()} == {7: "approved", 5: "approved", 9: "approved"}
+    settled = review.settle(actions.withColumn("target_id", F.lit(None).cast("long")), spark.createDataFrame([(i, 1) for i in (5, 7, 9)], "id long, photo_id long"))
+    assert {r.box_id: r.status for r in review.box_state(settled).collect()} == {7: "approved", 5: "approved", 9: "approved"}
 
 
 def test_merge_needs_two(spark):
