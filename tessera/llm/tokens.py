@@ -22,6 +22,7 @@ class Encoder:
 
     The byte-level pre-tokenizer always begins a new pre-token at a space that stands before a non-space, and no merge
     crosses pre-tokens. So a text is cut at those spaces, and each distinct piece is encoded once by the library.
+    The library looks for added tokens (`<|endoftext|>`) before anything else, so texts that hold one go to it whole.
     Keys leave out the space that each piece but a text's first begins with. Pieces often end in punctuation after an ASCII
     letter, where a pre-token always ends too, so both parts are looked up. The memory takes at most max_pieces pieces that came again and half as many new ones, so
     it doesn't grow with the corpus; other pieces are encoded anew.
@@ -34,7 +35,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(added)) if added else None
         self._max_pieces = max_pieces
         self._known: dict[str, bytes] = {}
         self._young: dict[str, bytes] = {}
@@ -82,6 +84,9 @@ class Encoder:
             if not text:
                 rows.append(([], []))
                 continue
+            if self._added and self._added.search(text):
+                rows.append(([text], [np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]))
+                continue
             fields = _AT_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
             found = list(map(get, fields))
             if None in found:

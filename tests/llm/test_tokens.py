@@ -11,7 +11,7 @@ from tessera.llm import common, packing, token_files, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, score double, start string, part int"
-ODD = ["", " ", "  ", "a  b", "a \n b", "\n\n a", " a", "a ", "it's  don't\t x", "\x1c a b", "tab\t\tx  \n  y", "<|endoftext|> x", "\U0001f600 \U0001f600x", "中 文 z", "a\x85 b", "x,; y.,", "é, É. 12, a1! b"]
+ODD = ["", " ", "  ", "a  b", "a \n b", "\n\n a", " a", "a ", "it's  don't\t x", "\x1c a b", "tab\t\tx  \n  y", "<|endoftext|> x", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b <|endoftext|>", "<|endoftext| > <|endoftext",  "\U0001f600 \U0001f600x", "中 文 z", "a\x85 b", "x,; y.,", "é, É. 12, a1! b"]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,6 @@ def direct():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
