@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import chat, embeddings, jaccard, language, mixing, packing, quality, sql, token_files, toxicity, urls
+from . import chat, embeddings, jaccard, language, mixing, packing, quality, repair, sentencepieces, spelling, sql, token_files, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
     "op10_mixing": mixing.op10_mixing,
+    "op11_sentencepiece": sentencepieces.op11_sentencepiece,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +26,6 @@ ORACLES = {
     "op2_chat_formatting": sql.CHAT,
     "op3_quality_rules": sql.QUALITY,
     "op5_embedding_neardup": sql.EMBEDDINGS,
+    "op12_conversation_repair": sql.REPAIR,
+    "op13_spelling_variants": sql.SPELLING,
 }

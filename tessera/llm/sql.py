@@ -67,3 +67,63 @@ sizes AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars FROM ever
 texts AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = '{chat.TARGET}'), '') AS target FROM s GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256, formatted_chars FROM texts JOIN sizes USING (conv_id)
 """
+
+# Bytes and seven zeros each, shifted out bit by bit: crc32 without a table.
+CRC32 = "xor(list_reduce(flatten(list_transform(range(1, length({hex}) // 2 + 1), lambda i: [('0x' || substr({hex}, 2 * i - 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda h, v: CASE WHEN xor(h, v) % 2 = 1 THEN xor(xor(h, v) // 2, 3988292384) ELSE xor(h, v) // 2 END, 4294967295), 4294967295)"
+
+
+def _cheapest(*ways: str) -> str:
+    """The least of texts that begin with a cost of nine digits; null ways don't count."""
+    return f"least({', '.join(ways)})"
+
+
+def _step(state: str, letter: str, cost: str) -> str:
+    return f"printf('%09d', left({state}, 9)::BIGINT + {cost}) || substr({state}, 10) || '{letter}'"
+
+
+# Of each state (w0 nothing, w1 after s, w2 after u, w3 after a) the cheapest way; v: with turns inserted. Costs are fixed values of the contract.
+_V2 = _cheapest("w2", *(_step(w, "I", "3") for w in ("w0", "w1", "w3")))
+_IN = f"SELECT *, {_cheapest('w3', _step('v2', 'I', '3'))} AS v3 FROM (SELECT *, {_V2} AS v2 FROM {{0}})"
+_D = {v: _step(v, "D", "4") for v in ("w0", "w1", "v2", "v3")}
+_KEEP = lambda state, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {_step(state, 'K', 'charge')} END"
+_RENAME = lambda state: f"CASE WHEN NOT gone THEN {_step(state, 'R', '3 + charge')} END"
+
+REPAIR = rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS hex FROM conversations),
+hashed AS (SELECT *, {CRC32.format(hex="hex")} % 20 AS k FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM hashed, (SELECT unnest([0, 1]) AS copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+placed AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed),
+r AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+coded AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS charge FROM r),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, '000000000' AS w0, '900000000' AS w1, '900000000' AS w2, '900000000' AS w3 FROM r
+    UNION ALL SELECT conv_id, n, {_D["w0"]}, {_cheapest(_D["w1"], _KEEP("w0", "s"))}, {_cheapest(_D["v2"], *(_KEEP(v, "u") for v in ("w0", "w1", "v3")), *(_RENAME(v) for v in ("w0", "w1", "v3")))},
+        {_cheapest(_D["v3"], _KEEP("v2", "a"), _RENAME("v2"))} FROM ({_IN.format("(SELECT c.*, w0, w1, w2, w3 FROM walk w JOIN coded c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.n + 1)")})),
+ends AS (SELECT conv_id, arg_max({_cheapest("w0", "v3")}, n) AS best FROM ({_IN.format("walk")}) GROUP BY conv_id),
+audits AS (SELECT conv_id, left(best, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM ends),
+ops AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i, audit[i] AS edit FROM audits),
+edits AS (SELECT conv_id, i, edit, length(replace(audit[1:i], 'I', '')) AS n, length(replace(audit[1:i], 'D', '')) AS place, length(replace(audit, 'D', '')) % 2 AS odd FROM ops WHERE edit <> 'D'),
+turns AS (SELECT e.conv_id, e.i, CASE WHEN edit = 'K' THEN c.role WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE c.text END AS turn FROM edits e LEFT JOIN coded c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.n = e.n),
+said AS (SELECT conv_id, string_agg(turn, chr(10) ORDER BY i) AS whole FROM turns GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+    count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+keyed AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hex FROM runs),
+hashed AS (SELECT run, n, {CRC32.format(hex="hex")} AS h FROM keyed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS short FROM places),
+masked AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS mask FROM places),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN words b ON b.word = a.short UNION ALL SELECT b.word, a.word, a.n FROM cut a JOIN words b ON b.word = a.short
+    UNION ALL SELECT a.word, b.word, b.n FROM masked a JOIN masked b ON a.mask = b.mask AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS best FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * w.n THEN -best[1] END::BIGINT AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS last, 0 AS k FROM words UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(last, k) AS root FROM chain GROUP BY word) USING (word)
+"""
