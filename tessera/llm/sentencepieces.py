@@ -22,7 +22,7 @@ from . import common
 
 #: How the model writes a space.
 MARK = "▁"
-#: Words and pairs that a worker remembers, at most; then it starts anew.
+#: Words, parts of words and pairs that a worker remembers, at most.
 REMEMBERED = 300_000
 #: Characters of a text that are encoded at a time.
 SLICE = 1 << 20
@@ -39,7 +39,9 @@ class Encoder:
         import sentencepiece
 
         self.library = library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._bytes, self._known, self._pairs, self._parts, self._text, self._score, self._id = [0] * 256, {}, {}, {}, {}, {}, {}
+        self._bytes, self._text, self._score, self._id = [0] * 256, {}, {}, {}
+        self._pairs: dict[tuple[int | None, int], bool] = {}
+        self._known, self._new, self._parts, self._new_parts = ({} for _ in range(4))
         for i in range(library.get_piece_size()):
             piece = library.id_to_piece(i)
             if library.is_byte(i):
@@ -56,8 +58,9 @@ class Encoder:
         for piece, i in self._id.items():
             self._automaton.add_word(piece, (i, len(piece)))
         self._automaton.make_automaton()
-        alone = [c for c in "\n\t\r\v\f" if not any(c in p for p in self._id)]
-        self._alone = re.compile(f"([{''.join(alone)}])") if alone else None
+        self._size = {i: len(p) for i, p in self._text.items()}
+        self._less: dict[int, int | None] = {}
+        self._together = {two for p in self._id for two in zip(p, p[1:], strict=False)}
         self.first, self.last = library.bos_id(), library.eos_id()
         for probe in ["a", "  b  c", " á\nx ", MARK, "\x00\U0001f600", "Abc abc, abcabc 12  345"]:
             if self.ids(probe) != library.encode(probe):
@@ -68,16 +71,16 @@ class Encoder:
 
     def merged(self, text: str) -> list[int]:
         """Pieces of a short text by merging: always the adjacent pair whose piece has the highest score, the leftmost of equal ones."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self._id.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self._score[i] > best):
-                    best, at = self._score[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get, score, never = list(text), self._id.get, self._score, float("-inf")
+        worth = [never if (i := get(a + b)) is None else score[i] for a, b in zip(parts, parts[1:], strict=False)]
+        while worth and (best := max(worth)) > never:
+            k = worth.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del worth[k]
+            if k:
+                worth[k - 1] = never if (i := get(parts[k - 1] + parts[k])) is None else score[i]
+            if k < len(worth):
+                worth[k] = never if (i := get(parts[k] + parts[k + 1])) is None else score[i]
         return [self._id.get(p, -1 - ord(p[0])) for p in parts]
 
     def compatible(self, before: int | None, piece: int) -> bool:
@@ -91,67 +94,88 @@ class Encoder:
         return known
 
     def _shorter(self, piece: int) -> int | None:
-        """The longest piece that is a proper prefix of a piece, or its first letter."""
-        if piece < 0 or len(text := self._text[piece]) == 1:
-            return None
+        """The longest piece that is a proper prefix of a piece, or its first letter; none for a letter."""
+        text = self._letters(piece)
+        found = None
         for n in range(len(text) - 1, 0, -1):
             if (i := self._id.get(text[:n])) is not None:
-                return i
-        return -1 - ord(text[0])
+                found = i
+                break
+        else:
+            found = -1 - ord(text[0]) if len(text) > 1 else None
+        self._less[piece] = found
+        return found
 
     def backtracked(self, text: str) -> list[int]:
         """The pieces of a text without space marks between letters."""
         n = len(text)
-        longest: list[int] | array = array("q", [-1]) * n  # -1: only the letter itself
+        longest: list[int | None] = [None] * n
         for end, (i, size) in self._automaton.iter(text):
-            longest[end - size + 1] = i  # of one beginning longer pieces end later
-        failed = bytearray(n // 8 + 1)
+            longest[end - size + 1] = i  # of pieces with one beginning longer ones end later
+        pairs, less, sizes, failed = self._pairs, self._less, self._size, bytearray(n // 8 + 1)
         out: list[int] = []
-        at, piece = 0, None
-        fresh = True
-        while at < n:
-            if fresh:
-                piece = longest[at] if longest[at] >= 0 else -1 - ord(text[at])
-                fresh = False
-            if piece is None:
+        at, before = 0, None
+        piece = longest[0] if longest[0] is not None else -1 - ord(text[0])
+        while True:
+            end = at + (sizes[piece] if piece >= 0 else 1)
+            if not failed[end >> 3] >> (end & 7) & 1:
+                if (fits := pairs.get((before, piece))) is None:
+                    fits = self.compatible(before, piece)
+                if fits:
+                    out.append(piece)
+                    if end == n:
+                        return out
+                    at, before = end, piece
+                    piece = longest[at]
+                    if piece is None:
+                        piece = -1 - ord(text[at])
+                    continue
+            piece = less[piece] if piece in less else self._shorter(piece)
+            while piece is None:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("a text without an encoding: the model's pieces contradict each other")
                 last = out.pop()
-                at -= len(self._letters(last))
-                piece = self._shorter(last)
-                continue
-            end = at + len(self._letters(piece))
-            if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(out[-1] if out else None, piece):
-                out.append(piece)
-                at, fresh = end, True
-            else:
-                piece = self._shorter(piece)
-        return out
+                at -= sizes[last] if last >= 0 else 1
+                before = out[-1] if out else None
+                piece = less[last] if last in less else self._shorter(last)
 
     def _part(self, text: str) -> bytes:
+        pieces = self.backtracked(text)
+        if min(pieces) >= 0:
+            return array("I", pieces).tobytes()
         ids = array("I")
-        for piece in self.backtracked(text):
-            if piece >= 0:
-                ids.append(piece)
-            else:
-                ids.extend(self._bytes[b] for b in chr(-1 - piece).encode("utf-8"))
+        for piece in pieces:
+            ids.extend([piece] if piece >= 0 else (self._bytes[b] for b in chr(-1 - piece).encode("utf-8")))
         return ids.tobytes()
 
     def _word(self, text: str) -> bytes:
-        """Ids of a space mark and what follows it; letters that are in no piece stand alone, so a word is cut at line ends."""
-        if self._alone is None or not self._alone.search(text):
+        """Ids of a space mark and what follows it, cut where two letters meet that no piece has side by side: no merge crosses that."""
+        together, out, start = self._together, [], 0
+        if together.issuperset(zip(text, text[1:], strict=False)):
             return self._part(text)
-        out = []
-        for part in self._alone.split(text):
-            if part and (x := self._parts.get(part)) is None:
-                if len(self._parts) >= REMEMBERED:
-                    self._parts.clear()
-                x = self._parts[part] = self._part(part)
-            if part:
-                out.append(x)
+        for k, two in enumerate(zip(text, text[1:], strict=False), 1):
+            if two not in together:
+                out.append(self._remembered(text[start:k], self._parts, self._new_parts, self._part))
+                start = k
+        out.append(self._remembered(text[start:], self._parts, self._new_parts, self._part))
         return b"".join(out)
 
+    def _remembered(self, key: str, known: dict[str, bytes], new: dict[str, bytes], make: Callable[[str], bytes]) -> bytes:
+        """What make gives for key. What comes twice is known for good, up to a bound; new ones are forgotten together when they are many, so rare ones don't take the room of common ones."""
+        if (x := known.get(key)) is not None:
+            return x
+        if (x := new.pop(key, None)) is not None:
+            if len(known) < REMEMBERED:
+                known[key] = x
+            return x
+        x = make(key)
+        if len(key) <= 100:
+            if len(new) >= REMEMBERED:
+                new.clear()
+            new[key] = x
+        return x
+
     def packed_ids(self, text: str) -> bytes:
         """Ids of a text as unsigned 32-bit integers in the machine's order (little-endian), without begin and end."""
         if not text:
@@ -161,16 +185,12 @@ class Encoder:
         if None in found:
             for k, x in enumerate(found):
                 if x is None:
-                    w = words[k]
-                    if (x := self._known.get(w)) is None:
-                        x = self._word(MARK + w)
-                        if len(w) <= 100:
-                            if len(self._known) >= REMEMBERED:
-                                self._known.clear()
-                            self._known[w] = x
-                    found[k] = x
+                    found[k] = self._remembered(words[k], self._known, self._new, self._marked)
         return b"".join(found)
 
+    def _marked(self, word: str) -> bytes:
+        return self._word(MARK + word)
+
     def ids(self, text: str) -> list[int]:
         return array("I", self.packed_ids(text)).tolist()
 
