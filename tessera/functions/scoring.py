@@ -156,6 +156,26 @@ def lab(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Colum
     return byte((y * 116 - 16) * 2.55), byte((x - y) * 500 + 128), byte((y - z) * 200 + 128)
 
 
+# XYZ to linear sRGB, row by row.
+RGB = ((3.240479, -1.53715, -0.498535), (-0.969256, 1.875991, 0.041556), (0.055648, -0.204043, 1.057311))
+
+
+def rgb(lightness: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """8-bit LAB as 8-bit RGB, by the exact formula rounded half to even; tables of libraries may differ by one."""
+    fy = (lightness / 2.55 + 16) / 116.0
+    cubed = lambda f: F.when(f > 6.0 / 29.0, f * f * f).otherwise((f - 16.0 / 116.0) / 7.787)
+    x, y, z = (bound(f, cubed) for f in (fy + (a - 128) / 500.0, fy, fy - (b - 128) / 200.0))
+    bent = lambda v: F.when(v <= 0.0031308, v * 12.92).otherwise(F.pow(v, F.lit(1 / 2.4)) * 1.055 - 0.055)
+    byte = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.rint(v * 255).cast("int")))
+    r, g, b_ = (bound(x * (row[0] * WHITE[0]) + y * row[1] + z * (row[2] * WHITE[2]), bent) for row in RGB)
+    return byte(r), byte(g), byte(b_)
+
+
+def gray(red: Column, green: Column, blue: Column) -> Column:
+    """8-bit grey of 8-bit RGB: weights of 0.299, 0.587 and 0.114 in parts of 2 ** 14, half up."""
+    return F.shiftright(red * 4899 + green * 9617 + blue * 1868 + 8192, 14)
+
+
 def rgb_color_name(red: Column, green: Column, blue: Column) -> Column:
     """Name of an 8-bit RGB colour, by way of 8-bit LAB."""
     lightness, a, b = lab(red, green, blue)

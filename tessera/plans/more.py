@@ -226,6 +226,12 @@ def color_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.color_shares(clusters).select("id", F.posexplode("colors").alias("position", "c")).select("id", "position", "c.name", "c.hex", "c.share")
 
 
+# SQL of a colour name: from l, a, b the polar ones, from these the plain name, and then the name.
+_POLAR = "sqrt(a * a + b * b) AS chroma, CASE WHEN degrees(atan2(b, a)) < 0 THEN degrees(atan2(b, a)) + 360 ELSE degrees(atan2(b, a)) END AS hue"
+_PLAIN = "CASE WHEN hue < 20 THEN 'pink' WHEN hue < 45 THEN 'red' WHEN hue < 85 THEN 'orange' WHEN hue < 112 THEN 'yellow' WHEN hue < 175 THEN 'green' WHEN hue < 215 THEN 'teal' WHEN hue < 310 THEN 'blue' WHEN hue < 340 THEN 'purple' ELSE 'pink' END"
+_NAME = """CASE WHEN chroma < 7 THEN CASE WHEN l < 22 THEN 'black' WHEN l < 45 THEN 'dark gray' WHEN l < 80 THEN 'gray' ELSE 'white' END WHEN hue >= 30 AND hue < 90 AND l < 50 THEN 'brown' WHEN hue >= 55 AND hue < 115 AND chroma < 26 AND l >= 68 THEN 'beige'
+    WHEN plain = 'red' AND l >= 62 THEN CASE WHEN hue < 36 THEN 'pink' ELSE 'orange' END WHEN plain = 'red' AND l < 35 THEN 'dark red' WHEN plain = 'blue' AND l < 25 THEN 'navy' WHEN plain = 'blue' AND l >= 65 THEN CASE WHEN hue >= 285 THEN 'lavender' ELSE 'light blue' END
+    WHEN plain = 'purple' AND l >= 65 THEN 'lavender' WHEN plain = 'green' AND l < 35 THEN 'dark green' ELSE plain END"""
 _LINEAR = "CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
 _BENT = "CASE WHEN {v} > 0.008856 THEN pow({v}, 1.0::DOUBLE / 3) ELSE {v} * 7.787 + 16.0::DOUBLE / 116 END"
 _ROW = [f"((lr * {r} + lg * {gr} + lb * {b}) / {w})::DOUBLE" for (r, gr, b), w in zip(scoring.XYZ, scoring.WHITE, strict=True)]
@@ -235,11 +241,9 @@ _ROW = [f"((lr * {r} + lg * {gr} + lb * {b}) / {w})::DOUBLE" for (r, gr, b), w i
     f"""WITH p AS (SELECT p_partkey AS id, (p_partkey * 7) % 256 AS r, (p_partkey * 13) % 256 AS g, (p_partkey * 29) % 256 AS b FROM part), li AS (SELECT id, {_LINEAR.format(c='r')} AS lr, {_LINEAR.format(c='g')} AS lg, {_LINEAR.format(c='b')} AS lb FROM p),
     f AS (SELECT id, {_BENT.format(v=_ROW[0])} AS fx, {_BENT.format(v=_ROW[1])} AS fy, {_BENT.format(v=_ROW[2])} AS fz FROM li),
     e AS (SELECT id, least(255, greatest(0, round_even((fy * 116 - 16) * 2.55, 0))) AS l8, least(255, greatest(0, round_even((fx - fy) * 500 + 128, 0))) AS a8, least(255, greatest(0, round_even((fy - fz) * 200 + 128, 0))) AS b8 FROM f),
-    c AS (SELECT id, l8 * 100 / 255 AS l, a8 - 128 AS a, b8 - 128 AS b FROM e), h AS (SELECT *, sqrt(a * a + b * b) AS chroma, CASE WHEN degrees(atan2(b, a)) < 0 THEN degrees(atan2(b, a)) + 360 ELSE degrees(atan2(b, a)) END AS hue FROM c),
-    n AS (SELECT *, CASE WHEN hue < 20 THEN 'pink' WHEN hue < 45 THEN 'red' WHEN hue < 85 THEN 'orange' WHEN hue < 112 THEN 'yellow' WHEN hue < 175 THEN 'green' WHEN hue < 215 THEN 'teal' WHEN hue < 310 THEN 'blue' WHEN hue < 340 THEN 'purple' ELSE 'pink' END AS plain FROM h)
-    SELECT id, CASE WHEN chroma < 7 THEN CASE WHEN l < 22 THEN 'black' WHEN l < 45 THEN 'dark gray' WHEN l < 80 THEN 'gray' ELSE 'white' END WHEN hue >= 30 AND hue < 90 AND l < 50 THEN 'brown' WHEN hue >= 55 AND hue < 115 AND chroma < 26 AND l >= 68 THEN 'beige'
-    WHEN plain = 'red' AND l >= 62 THEN CASE WHEN hue < 36 THEN 'pink' ELSE 'orange' END WHEN plain = 'red' AND l < 35 THEN 'dark red' WHEN plain = 'blue' AND l < 25 THEN 'navy' WHEN plain = 'blue' AND l >= 65 THEN CASE WHEN hue >= 285 THEN 'lavender' ELSE 'light blue' END
-    WHEN plain = 'purple' AND l >= 65 THEN 'lavender' WHEN plain = 'green' AND l < 35 THEN 'dark green' ELSE plain END AS name FROM n"""
+    c AS (SELECT id, l8 * 100 / 255 AS l, a8 - 128 AS a, b8 - 128 AS b FROM e), h AS (SELECT *, {_POLAR} FROM c),
+    n AS (SELECT *, {_PLAIN} AS plain FROM h)
+    SELECT id, {_NAME} AS name FROM n"""
 )
 def rgb_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans.more import ORACLES, QUERIES
+from tessera.plans.vision import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables aren't here")
