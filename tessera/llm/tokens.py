@@ -35,8 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._added = re.compile("|".join(added)) if added else None
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._max_pieces = max_pieces
         self._known: dict[str, bytes] = {}
         self._young: dict[str, bytes] = {}
@@ -84,7 +83,7 @@ class Encoder:
             if not text:
                 rows.append(([], []))
                 continue
-            if self._added and self._added.search(text):
+            if any(t in text for t in self._added):
                 rows.append(([text], [np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]))
                 continue
             fields = _AT_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
