@@ -123,6 +123,19 @@ def test_url_query(spark):
         assert r["verdict"] == (max(fits)[2] if fits else "block" if r["n_mined"] else "allow")
 
 
+def test_url_query_with_mined_rules(spark, tmp_path):
+    """Labels with evidence: what the query blocks beyond given rules are the pages of the site that is labelled bad."""
+    rng = random.Random(3)
+    hosts = ["good.net", "bad.net", "fine.org", "other.com"]
+    pages_ = [(i, f"http://www.{hosts[i % 4]}/{rng.choice(['a', 'b', 'c'])}/{i}", "") for i in range(400)]
+    spark.createDataFrame(pages_, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    marks = [(i, int(i % 4 != 1) if rng.random() < 0.95 else int(i % 4 == 1), 0) for i in range(0, 400, 2)] + [(i, 0, 0) for i in range(1, 400, 16)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r for r in rows_of(spark, "op9_url_filters", str(tmp_path))}
+    for i, url, _ in pages_:
+        assert got[i]["verdict"] == ("allow" if "fine.org" in url else "block" if "bad.net" in url else "allow") and (got[i]["n_mined"] > 0) == ("bad.net" in url)
+
+
 def test_mixing_query(spark):
     got, docs = rows_of(spark, "op10_mixing"), documents()
     sizes = Counter()
