@@ -149,6 +149,26 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bitmaps of 32,768 row numbers (4 KB each) up to which kept() broadcasts them: 64 MB, for half a billion rows.
+BITMAPS = 16_384
+
+
+def kept(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of a numbered() table whose number is in column _row of `numbers`, without a shuffle of the rows: the numbers go to them as bitmaps, one bit for each row.
+
+    Only beyond BITMAPS (counted) are rows joined by shuffle.
+    """
+    bitmaps = numbers.groupBy(F.bitmap_bucket_number(ROW).alias("_tessera_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(ROW)).alias("_tessera_bits"))
+    bitmaps = stored(bitmaps, "bitmaps")
+    if bitmaps.limit(BITMAPS + 1).count() > BITMAPS:
+        return rows.join(numbers, ROW, "left_semi").select(*map(column, rows.columns))
+    place = F.bitmap_bit_position(ROW)
+    byte = F.conv(F.hex(F.substring("_tessera_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.floor(byte / F.pow(F.lit(2.0), place % 8)) % 2
+    joined = rows.withColumn("_tessera_bucket", F.bitmap_bucket_number(ROW)).join(F.broadcast(bitmaps), "_tessera_bucket")
+    return joined.where(set_ == 1).select(*map(column, rows.columns))
+
+
 def prefix_sums(df: DataFrame, sums: dict[str, str], order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Add the exclusive running sum of each column in `sums` (under the name it maps to) in the given order, per keys (or over all rows).
 

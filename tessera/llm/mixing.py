@@ -185,7 +185,9 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
     parts = rows.where("size > 0").select("doc_id", "row", "source", "source_no", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block_no"))
     low, high = F.greatest("begin", F.col("block_no") * block), F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block)
     parts = parts.select("source_no", "block_no", "source", "doc_id", "row", (low - F.col("begin")).alias("first_word"), (high - low).alias("n_words"))
-    spans = taken.hint("merge").join(parts, ["source_no", "block_no"])  # both grow with the corpus: neither is broadcast.select("shard", "slot", "source", "block_no", "doc_id", "row", "first_word", "n_words")
+    # Both sides grow with the corpus: neither is broadcast.
+    spans = taken.hint("merge").join(parts, ["source_no", "block_no"])
+    spans = spans.select("shard", "slot", "source", "block_no", "doc_id", "row", "first_word", "n_words")
     return rows.drop("source_no", "begin"), spans
 
 
