@@ -52,8 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     members = classes.select(F.col("doc_id").alias(common.ROW), "component_id").join(rows.select(common.ROW, "doc_id"), common.ROW)
     least = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", common.ROW)).alias("least"))
     kept = common.stored(least.select(f"least.{common.ROW}"), "kept")
-    # The texts are shuffled only if there are too many kept rows to broadcast their numbers.
-    return rows.join(common.small(kept), common.ROW, "left_semi").select(*map(common.column, docs.columns))
+    return common.kept(rows, kept).select(*map(common.column, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
