@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rounding import half_even
+
 
 def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
     return F.bit_count(hi_a.bitwiseXOR(hi_b)) + F.bit_count(lo_a.bitwiseXOR(lo_b))
@@ -27,7 +29,7 @@ def overall(distance: Column, colors: Column) -> Column:
 def encoded(hi: Column, lo: Column, histogram: Column) -> Column:
     """A fingerprint as it is stored: 16 hex digits, and the histogram to five digits (half to even)."""
     digits = lambda half: F.lpad(F.lower(F.hex(half)), 8, "0")
-    return F.struct(F.concat(digits(hi), digits(lo)).alias("phash"), F.transform(histogram, lambda v: F.bround(v, 5)).alias("histogram"))
+    return F.struct(F.concat(digits(hi), digits(lo)).alias("phash"), F.transform(histogram, lambda v: half_even(v, 5)).alias("histogram"))
 
 
 def decoded(stored: Column) -> tuple[Column, Column, Column]:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def numbered(df: DataFrame, order: list[str | Column], bucket: Column, into: str = "number", start: int | Column = 1) -> DataFrame:
-    """Number rows from `start` in the given order. `bucket` must ascend with that order and should hold few rows for each value.
 
-    Rows are ranked within buckets; of each bucket only its count meets the others in one running sum.
+def numbered(df: DataFrame, order: list[str | Column], into: str = "number", start: int | Column = 1) -> DataFrame:
+    """Number rows from `start` in the given order, which must tell rows apart for repeatable results.
+
+    Rows are dealt to ranges of the order and stored, so that df is worked out once; they are ranked within ranges, and of each range only its count meets the others in one running sum.
+    Ranges follow the rows' own distribution, so they stay even at any size.
     """
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     first = start if isinstance(start, Column) else F.lit(start)
-    return rows.withColumn("_rank", rank).join(counts, "_bucket").withColumn(into, (F.col("_before") + F.col("_rank") - 1 + first).cast("long")).drop("_bucket", "_rank", "_before")
+    return ranged.withColumn("_rank", rank).join(counts, "_part").withColumn(into, (F.col("_before") + F.col("_rank") - 1 + first).cast("long")).drop("_part", "_rank", "_before")

@@ -22,21 +22,37 @@ def price(c: Column) -> Column:
     return F.when(c.isNull(), "").otherwise(F.format_string("%.2f", c))
 
 
-def html_escaped(c: Column) -> Column:
-    for plain, escape in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+def html_escaped(c: Column, apostrophes: bool = False) -> Column:
+    for plain, escape in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), *([("'", "&#x27;")] if apostrophes else [])):
         c = F.replace(c, F.lit(plain), F.lit(escape))
     return c
 
 
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """A template with each {{NAME}} replaced by its value, escaped for HTML, one name after the other; a null value is empty, and unknown names stay."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{{" + name + "}}"), F.coalesce(html_escaped(value.cast("string"), apostrophes=True), F.lit("")))
+    return template
+
+
+# What counts as white space at the ends of texts, besides line ends and tabs.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def clean_tags(tags: Column, longest: int = 60) -> Column:
     """Trimmed, lower case, single spaces, cut; without empty ones and those that equal an earlier result before they are cut."""
-    tidy = F.transform(tags, lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")))
+    tidy = F.transform(tags, lambda t: F.trim(F.regexp_replace(F.lower(t), f"[{SPACES}]+", " ")))
     add = lambda out, t: F.when(F.array_contains(out, t), out).otherwise(F.array_append(out, F.substring(t, 1, longest)))
     return F.aggregate(F.filter(tidy, lambda t: t != ""), F.array().cast("array<string>"), add)
 
 
 def split_tags(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), stripped), lambda t: t != "")
 
 
 def item_code(n: Column, strict: bool = False) -> Column:
@@ -50,7 +66,7 @@ def code_number(code: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def card_hash(code: Column) -> Column:

@@ -86,7 +86,7 @@ def chroma_distances(lab: DataFrame, model: DataFrame) -> DataFrame:
     return rows.withColumn("distance", distance)
 
 
-def raw_foreground(lab: DataFrame, model: DataFrame, distance: float = 12.0, dark: int = 90) -> DataFrame:
+def raw_foreground(lab: DataFrame, model: DataFrame, distance: float = 11.0, dark: int = 70) -> DataFrame:
     """Pixels (photo_id, x, y, distance, foreground, dark): far from the background's colours or, on light felt, darker than `dark`; on dark felt much lighter than it."""
     felt = F.col("lightness") < DARK_FELT
     rows = chroma_distances(lab, model)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.rounding import half_even
 
 SUPERSEDED = ("merged", "split")
 
@@ -35,6 +36,19 @@ def master(items: DataFrame, photos: DataFrame, boxes: DataFrame) -> DataFrame:
     return items.join(photos, "photo_id").join(boxes.select(F.col("id").alias("box_id"), F.col("box").alias("source_box")), "box_id")
 
 
+def with_categories(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """Items (category_id) with `category`, the name from categories(id, name); null for items without one and for unknown ids."""
+    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    return items.drop("category").join(names, "category_id", "left")
+
+
+def tagged(items: DataFrame, item_tags: DataFrame, tags: DataFrame, name: str) -> DataFrame:
+    """Items that have a tag of this name in any case of A-Z: a semi join with the bridge item_tags(item_id, tag_id), whose tag is looked up in tags(id, name)."""
+    wanted = tags.where(t.nocase(F.col("name")) == t.nocase(F.lit(name))).select(F.col("id").alias("tag_id"))
+    ids = item_tags.join(wanted, "tag_id").select(F.col("item_id").alias("id"))
+    return items.join(ids, "id", "left_semi")
+
+
 def search(rows: DataFrame, want: ItemFilter, ordered: bool = True) -> DataFrame:
     """Rows of master() that pass every predicate that is set, in order of code (a caller that goes on with them can spare the sort)."""
     tests: list[Column] = []
@@ -85,7 +99,7 @@ def names_in_order(dimension: DataFrame) -> DataFrame:
     from ..functions.numbering import numbered
 
     key = t.nocase(F.col("name"))
-    return numbered(dimension.select("id", "name"), [key, F.col("name")], F.coalesce(F.ascii(key), F.lit(0)), "position").orderBy("position")
+    return numbered(dimension.select("id", "name"), [key, F.col("name")], "position").orderBy("position")
 
 
 def gallery_facets(items: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def review_queue(boxes: DataFrame) -> DataFrame:
 def color_shares(clusters: DataFrame, least: float = 0.05) -> DataFrame:
     """id, colors (hex, name, share, largest first) from clusters(id, hex, name, share): clusters of one name add up and keep the largest one's hex; rare names go."""
     by = clusters.groupBy("id", "name").agg(F.sum("share").alias("share"), F.max_by("hex", F.struct("share", "hex")).alias("hex"), F.max("share").alias("most"))
-    entry = F.struct((-F.bround("share", 3)).alias("_order"), (-F.col("most")).alias("_most"), "name", "hex", F.bround("share", 3).alias("share"))
+    entry = F.struct((-half_even(F.col("share"), 3)).alias("_order"), (-F.col("most")).alias("_most"), "name", "hex", half_even(F.col("share"), 3).alias("share"))
     lists = by.where(F.col("share") >= least).groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("all"))
     return lists.select("id", F.transform("all", lambda c: F.struct(c["hex"].alias("hex"), c["name"].alias("name"), c["share"].alias("share"))).alias("colors"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.rounding import half_even
 from ..session import cut_lineage
 from . import catalog
 
@@ -103,7 +104,7 @@ def clusters(points: DataFrame, wanted: DataFrame, attempts: int = ATTEMPTS, rou
     rows = assigned(points, centres)
     sums = rows.groupBy("photo_id", "attempt", "place").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("distance")).alias("spread"), F.first(F.get("centres", F.col("place"))).alias("c"))
     each = sums.groupBy("photo_id", "attempt").agg(F.sum("spread").alias("spread"), F.sum("n").alias("total"), F.collect_list(F.struct("place", "c", "n")).alias("all"))
-    best = each.groupBy("photo_id").agg(F.min_by(F.struct("all", "total"), F.struct(F.bround("spread", 6), F.col("attempt"))).alias("best"))
+    best = each.groupBy("photo_id").agg(F.min_by(F.struct("all", "total"), F.struct(half_even(F.col("spread"), 6), F.col("attempt"))).alias("best"))
     flat = best.select("photo_id", F.col("best.total").alias("total"), F.explode("best.all").alias("e"))
     return flat.select("photo_id", "e.place", "e.c.l", "e.c.a", "e.c.b", "e.n", (F.col("e.n") / F.col("total")).alias("share"))
 

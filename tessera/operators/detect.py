@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import scoring
 from ..functions.numbering import numbered
+from ..functions.rounding import half_even
 from ..functions.scoring import LIMITS, Limits
 
 
@@ -76,12 +77,12 @@ def assembled(kept: DataFrame, photos: DataFrame, limits: Limits = LIMITS) -> Da
     rows = rows.withColumn("box", g.clip(g.scale(F.col("box"), F.col("scale")), F.col("width"), F.col("height")))
     typical = rows.groupBy("photo_id").agg(F.median(g.area(F.col("box")).cast("double")).alias("typical"))
     marks = scoring.flags(F.col("box"), F.col("width"), F.col("height"), F.col("typical"), F.col("foreground"), F.col("confidence"), limits)
-    return rows.join(typical, "photo_id").select("photo_id", "position", "box", F.bround("confidence", 3).alias("confidence"), marks.alias("flags"))
+    return rows.join(typical, "photo_id").select("photo_id", "position", "box", half_even(F.col("confidence").cast("double"), 3).alias("confidence"), marks.alias("flags"))
 
 
 def appended(boxes: DataFrame, found: DataFrame, first_id: int) -> DataFrame:
     """boxes (id, photo_id, box, status, origin, confidence, flags) with assembled ones as pending and automatic, ids from first_id in order of photo and position."""
-    new = numbered(found, ["photo_id", "position"], F.floor(F.col("photo_id") / 1000), "id", first_id)
+    new = numbered(found, ["photo_id", "position"], "id", first_id)
     new = new.withColumns({"status": F.lit("pending"), "origin": F.lit("auto")})
     return boxes.unionByName(new.select(*boxes.columns))
 

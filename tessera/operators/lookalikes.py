@@ -1,18 +1,20 @@
 """Likely duplicates: all pairs above a threshold, and the best matches of given targets.
 
 Both compare every fingerprint with every other (or with the targets) by definition. Rows are dealt to blocks and each pair of blocks is
-one key of an equi-join, so that work spreads evenly and no side is broadcast; the hash distance, which bounds the score, filters before histograms are compared.
+one key of an equi-join, so that work spreads evenly and no side is broadcast; bounds on the score filter before histograms are compared.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import likeness
 from ..functions.numbering import numbered
+from ..functions.rounding import half_even
+from ..session import cut_lineage
 
 THRESHOLD = 0.55
 
@@ -24,47 +26,70 @@ def most_differing_bits(threshold: float = THRESHOLD) -> int:
     return math.floor(32 * (1 - max(0.0, (threshold - 0.45) / 0.55)) + 1e-9)
 
 
+#: Groups of histogram bins whose sums bound how much two histograms can share.
+GROUPS = 16
+
+
+def _entries(prints: DataFrame) -> DataFrame:
+    """One struct `e` a row, stored, so that nothing of it is worked out again for each pair: id and hash, the histogram, its total, and the sums of its groups of bins."""
+    size = F.ceil(F.size("histogram") / GROUPS).cast("int")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    sums = (total(F.slice("histogram", i * size + 1, F.greatest(F.lit(1), size))).alias(f"s{i}") for i in range(GROUPS))
+    return cut_lineage(prints.select(F.struct("id", "hi", "lo", total("histogram").alias("total"), *sums, "histogram").alias("e")))
+
+
 def _compared(joined: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that reach the threshold, with their score.
+
+    What is cheap goes first: the hash distance, then a bound on the score by the groups' sums (histograms differ by no less than these do, and share half of their totals less half of that).
+    Both are plain arithmetic; only what passes has its histograms compared bin by bin.
+    """
     bits = likeness.hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo"))
-    rows = joined.select("a", "b", bits.alias("bits")).where(F.col("bits") <= most_differing_bits(threshold))
+    apart = sum((F.abs(F.col(f"a.s{i}") - F.col(f"b.s{i}")) for i in range(GROUPS)), F.lit(0.0))
+    most = likeness.overall(F.col("bits"), (F.col("a.total") + F.col("b.total") - apart) / 2)
+    rows = joined.select("a", "b", bits.alias("bits")).where((F.col("bits") <= most_differing_bits(threshold)) & (most >= threshold - 1e-9))
     return rows.withColumn("score", likeness.overall(F.col("bits"), likeness.color(F.col("a.histogram"), F.col("b.histogram")))).where(F.col("score") >= threshold)
 
 
-def blocks_for(prints: DataFrame, rows: int = 2000) -> int:
-    """Blocks of about `rows` rows, 16 at least: a task compares one pair of blocks, however many fingerprints there are."""
-    return max(16, math.ceil(prints.count() / rows))
-
-
-def _entry() -> F.Column:
-    return F.struct("id", "hi", "lo", "histogram")
+def blocks_for(prints: DataFrame, rows: int = 2000, least: int = 16) -> int:
+    """Blocks for a count of fingerprints: each row is copied to as many, so they grow with the count's square root (a million rows: 358), and a task compares one pair of blocks."""
+    n = prints.count()
+    return max(least, math.ceil(least * math.sqrt(n / rows)))
 
 
 def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD, blocks: int | None = None) -> DataFrame:
-    """id_a < id_b, score (3 digits) of all pairs whose unrounded score reaches the threshold. prints: id, hi, lo, histogram."""
-    blocks = blocks or blocks_for(prints)
-    rows = prints.select(_entry().alias("e"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    left = rows.select(F.col("e").alias("a"), F.col("block").alias("i"), F.explode(every).alias("j"))
-    right = rows.select(F.col("e").alias("b"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    found = _compared(left.join(right, ["i", "j"]).where("a.id < b.id"), threshold)
-    return found.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.bround("score", 3).alias("score"))
+    """id_a < id_b, score (3 digits) of all pairs whose unrounded score reaches the threshold. prints: id, hi, lo, histogram.
+
+    Every unordered pair of blocks is one key of an equi-join, so a row is copied to each block once.
+    """
+    entries = _entries(prints)
+    blocks = blocks or blocks_for(entries)
+    rows = entries.select("e", F.pmod(F.xxhash64("e.id"), F.lit(blocks)).alias("block"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
+    rows = rows.select("e", "block", every).select("e", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    left = rows.where("block = i").select(F.col("e").alias("a"), "i", "j")
+    right = rows.where("block = j").select(F.col("e").alias("b"), "i", "j")
+    # Within a block each pair meets both ways and counts once.
+    found = _compared(left.join(right, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a.id") < F.col("b.id"))), threshold)
+    return found.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), half_even(F.col("score"), 3).alias("score"))
 
 
 def best_matches(targets: DataFrame, prints: DataFrame, k: int = 3, threshold: float = THRESHOLD, blocks: int | None = None) -> DataFrame:
     """id, match_id, rank, score: the k best others of each target; only scores that reach the threshold."""
-    blocks = blocks or blocks_for(prints)
-    left = targets.select(_entry().alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = prints.select(_entry().alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    entries = _entries(prints)
+    blocks = blocks or blocks_for(entries)
+    left = _entries(targets).select(F.col("e").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = entries.select(F.col("e").alias("b"), F.pmod(F.xxhash64("e.id"), F.lit(blocks)).alias("block"))
     found = _compared(left.join(right, "block").where("a.id <> b.id"), threshold)
     best = Window.partitionBy("a.id").orderBy(F.desc("score"), F.col("b.id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), "rank", F.bround("score", 3).alias("score"))
+    return ranked.select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), "rank", half_even(F.col("score"), 3).alias("score"))
 
 
 def ranked_pairs(pairs: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
     """rank (from 1, by score, then ids) and score of pairs, with the given fields of both records (id, ...) as <field>_a and <field>_b: one join a side."""
     order = [F.col("_neg").asc(), F.col("id_a").asc(), F.col("id_b").asc()]
-    rows = numbered(pairs.withColumn("_neg", -F.col("score")), order, F.floor(-F.col("score") * 1000).cast("long"), "rank")
+    rows = numbered(pairs.withColumn("_neg", -F.col("score")), order, "rank")
     for side in ("a", "b"):
         rows = rows.join(records.select(F.col("id").alias(f"id_{side}"), *(F.col(f).alias(f"{f}_{side}") for f in fields)), f"id_{side}")
     return rows.select("rank", "id_a", "id_b", *(f"{f}_{s}" for f in fields for s in ("a", "b")), "score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,8 +48,54 @@ def hue_diversity(px: DataFrame) -> DataFrame:
     return by.select("photo_id", F.when(F.col("total") < 20, 0.0).otherwise(full / 12).alias("hue_diversity"))
 
 
-def perceptual_hash(gray: DataFrame, side: int = 32, size: int = 8) -> DataFrame:
-    """photo_id, bits: `size` squared frequency coefficients of a side x side table (photo_id, x, y, gray), each compared with the median of all but the first.
+def cell_shares(place: Column, cell: Column, cells: Column) -> Column:
+    """An array of (to, share): the target cells, `cell` source pixels wide, that a source pixel lies in, and how much of each cell it fills."""
+    first, last = F.floor(place / cell).cast("int"), F.least(cells - 1, F.ceil((place + 1) / cell).cast("int") - 1)
+    overlap = lambda i: F.least(place + 1.0, (i + 1) * cell) - F.greatest(place * 1.0, i * cell)
+    shares = F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.struct(i.alias("to"), (overlap(i) / cell).alias("share")))
+    return F.filter(shares, lambda s: s["share"] > 1e-12)
+
+
+def resized(px: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Pixels of each photo at another size: every new pixel is the mean of the old ones under it, weighted by the area that they share, rounded half to even.
+
+    sizes: photo_id, width, height, new_width, new_height. Each old pixel gives its share to the few new ones that it lies under (four, if photos shrink); a grouped sum does the rest.
+    """
+    rows = px.select("photo_id", "x", "y", *values).join(sizes.select("photo_id", "width", "height", "new_width", "new_height"), "photo_id")
+    across = cell_shares(F.col("x"), F.col("width") / F.col("new_width"), F.col("new_width"))
+    down = cell_shares(F.col("y"), F.col("height") / F.col("new_height"), F.col("new_height"))
+    rows = rows.select("photo_id", *values, across.alias("_across"), down.alias("_down"))
+    rows = rows.select("photo_id", *values, F.explode("_across").alias("_i"), "_down").select("photo_id", *values, "_i", F.explode("_down").alias("_j"))
+    share = F.col("_i.share") * F.col("_j.share")
+    means = rows.groupBy("photo_id", F.col("_i.to").alias("x"), F.col("_j.to").alias("y")).agg(*(F.sum(F.col(v) * share).alias(v) for v in values))
+    # Sums of shares may miss a half by a hair, so they are rounded to nine digits first.
+    return means.select("photo_id", "x", "y", *(F.rint(F.round(v, 9)).cast("int").alias(v) for v in values))
+
+
+def shrunk_sizes(sizes: DataFrame, longest: int) -> DataFrame:
+    """sizes with new_width, new_height, scale: of photos whose longer side is over `longest`, that side as long; others stay. scale leads back to the old size."""
+    side = F.greatest("width", "height")
+    over = side > longest
+    ratio = F.lit(longest) / side
+    new = lambda c: F.when(over, F.rint(F.col(c) * ratio).cast("int")).otherwise(F.col(c))
+    return sizes.select("photo_id", "width", "height", new("width").alias("new_width"), new("height").alias("new_height"), F.when(over, side / longest).otherwise(1.0).alias("scale"))
+
+
+def equalized(gray: DataFrame) -> DataFrame:
+    """photo_id, x, y, gray with each photo's histogram spread over 0-255: a level becomes the share of pixels up to it, without those of the lowest level. A photo of one level stays as it is."""
+    by = gray.groupBy("photo_id", "gray").agg(F.count("*").alias("n"))
+    page = Window.partitionBy("photo_id")
+    up = page.orderBy("gray").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lowest = F.first("n").over(page.orderBy("gray").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    levels = by.select("photo_id", "gray", F.sum("n").over(up).alias("up"), F.sum("n").over(page).alias("total"), lowest.alias("low"))
+    new = F.when(F.col("total") == F.col("low"), F.col("gray")).otherwise(F.rint((F.col("up") - F.col("low")) * (255.0 / (F.col("total") - F.col("low")))).cast("int"))
+    return gray.join(levels.select("photo_id", "gray", new.alias("_new")), ["photo_id", "gray"]).select("photo_id", "x", "y", F.col("_new").alias("gray"))
+
+
+def perceptual_hash(gray: DataFrame, side: int = 32, size: int = 8, level: float = 0.0) -> DataFrame:
+    """photo_id, bits: `size` squared frequency coefficients of a side x side table (photo_id, x, y, gray), each compared with the median of all but the first, to six digits.
+
+    gray counts from `level`, and pixels that aren't in the table have just that; it only changes the first coefficient.
 
     The cosine transform is separable: a grouped sum over x, then one over y, each against constant factors.
     """
@@ -60,6 +106,7 @@ def perceptual_hash(gray: DataFrame, side: int = 32, size: int = 8) -> DataFrame
     frequencies = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     rows = gray.select("photo_id", "y", "x", "gray", frequencies.alias("u")).groupBy("photo_id", "y", "u").agg(F.sum(F.col("gray") * factor(F.col("u"), F.col("x"))).alias("s"))
     both = rows.select("photo_id", "u", "y", "s", frequencies.alias("v")).groupBy("photo_id", "u", "v").agg(F.sum(F.col("s") * factor(F.col("v"), F.col("y"))).alias("c"))
+    both = both.withColumn("c", F.round(F.col("c") + F.when((F.col("u") == 0) & (F.col("v") == 0), level * side).otherwise(0.0), 6))
     ordered = both.groupBy("photo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "u", "c"))), lambda z: z["c"]).alias("c"))
     middle = F.element_at(F.array_sort(F.slice("c", 2, size * size - 1)), size * size // 2)
     return ordered.select("photo_id", F.array_join(F.transform("c", lambda z: F.when(z > middle, "1").otherwise("0")), "").alias("bits"))

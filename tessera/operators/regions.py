@@ -56,15 +56,19 @@ def least_reached(links: DataFrame) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     edges = cut_lineage(links.where(u != v).select("photo_id", F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     known = None
-    while True:
-        # Each node has its smallest neighbour in one row, so that a hot node's links are reduced before they are shuffled.
+
+    def stars(edges: DataFrame) -> DataFrame:
+        # A node's links are those of runs in its own photo.
         ways = F.array(F.struct("u", "v"), F.struct(v.alias("u"), u.alias("v")))
         both = edges.select("photo_id", F.inline(ways))
-        least = both.groupBy("photo_id", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(v > u).join(least, ["photo_id", "u"]).select("photo_id", v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
-        lows = large.groupBy("photo_id", "u").agg(F.min("v").alias("m"))
-        small = large.join(lows, ["photo_id", "u"]).select("photo_id", F.explode(F.array(u, v)).alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.where(u != v).distinct())
+        page = Window.partitionBy("photo_id", "u")
+        large = both.withColumn("m", F.least(F.min("v").over(page), u)).where(v > u).select("photo_id", v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
+        low = F.min("v").over(page)
+        small = large.select("photo_id", "u", "v", low.alias("m")).select("photo_id", F.explode(F.array(u, v)).alias("u"), F.col("m").alias("v"))
+        return small.where(u != v).distinct()
+
+    while True:
+        edges = cut_lineage(stars(stars(edges)))
         before, known = known, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("photo_id", "u", "v"))).first()
         if known == before or not known[0]:
             return edges.select("photo_id", u.alias("node"), v.alias("label"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..functions.numbering import numbered
+from ..functions.rounding import half_even
+from ..functions.scoring import LIMITS, Limits, flags
 from ..session import cut_lineage
 
 DECISIONS = ("approve", "reject", "reset")
@@ -36,8 +38,8 @@ def before(rows: DataFrame, key: str, value: Column, into: str, bucket: int = 10
 def replaced(actions: DataFrame, boxes: DataFrame) -> DataFrame:
     """box_id, gone_seq, status (merged, split) of boxes that an allowed merge or split has replaced. boxes: id, photo_id.
 
-    A merge needs two boxes or more of one photo; no box may be approved or replaced before. Which merges happen depends on earlier ones that share a box, so
-    those that are first for all their boxes are settled, and then the rest, in as many rounds as merges follow each other on one box.
+    A merge needs two boxes or more of one photo; no box may be approved or replaced before. Which merges happen depends on earlier ones that share a box, so each photo's merges and
+    splits are folded in order, with the boxes that are gone. That group is one page.
     """
     decision = F.when(F.col("action").isin(*DECISIONS), F.col("action"))
     ends = before(actions, "box_id", decision, "last").where(F.col("action").isin("merge", "split"))
@@ -47,16 +49,20 @@ def replaced(actions: DataFrame, boxes: DataFrame) -> DataFrame:
         F.every(F.coalesce(F.col("last") != "approve", F.lit(True))).alias("allowed"),
     )
     events = events.where((F.col("action") == "split") | ((F.col("n") >= 2) & (F.col("low") == F.col("high")) & (F.col("known") == F.col("n")))).where("allowed")
-    open_ = cut_lineage(ends.select("seq", "action", "box_id").join(events.select("seq"), "seq"))
-    done: DataFrame | None = None
-    while not open_.isEmpty():
-        first = open_.groupBy("box_id").agg(F.min("seq").alias("first"))
-        ready = open_.join(first, "box_id").groupBy("seq").agg(F.every(F.col("seq") == F.col("first")).alias("ready")).where("ready").select("seq")
-        settled = cut_lineage(open_.join(ready, "seq"))
-        done = settled if done is None else done.unionByName(settled)
-        lost = open_.join(settled.select("box_id").distinct(), "box_id").select("seq").distinct()
-        open_ = cut_lineage(open_.join(lost, "seq", "left_anti"))
-    done = open_ if done is None else done
+    members = ends.groupBy("seq").agg(F.collect_set("box_id").alias("ids"), F.max("photo_id").alias("photo_id"))
+    events = events.select("seq", "action").join(members, "seq")
+    # Merges and splits stay within a photo; a split of a box without a photo stands alone.
+    page = F.struct("photo_id", F.when(F.col("photo_id").isNull(), F.get("ids", F.lit(0))).alias("alone"))
+    pages = events.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("seq", "action", "ids"))).alias("all"))
+    kind = "struct<lost:array<bigint>,took:array<struct<seq:bigint,action:string,ids:array<bigint>>>>"
+    start = F.struct(F.array().cast("array<bigint>").alias("lost"), F.array().cast("array<struct<seq:bigint,action:string,ids:array<bigint>>>").alias("took")).cast(kind)
+
+    def step(state: Column, event: Column) -> Column:
+        taken = F.struct(F.concat(state["lost"], event["ids"]).alias("lost"), F.array_append(state["took"], event).alias("took")).cast(kind)
+        return F.when(F.arrays_overlap(state["lost"], event["ids"]), state).otherwise(taken)
+
+    done = pages.select(F.explode(F.aggregate("all", start, step)["took"]).alias("e"))
+    done = done.select("e.seq", "e.action", F.explode("e.ids").alias("box_id"))
     return done.select("box_id", F.col("seq").alias("gone_seq"), F.when(F.col("action") == "merge", "merged").otherwise("split").alias("status"))
 
 
@@ -102,10 +108,10 @@ def box_state(settled: DataFrame) -> DataFrame:
     return every.select("box_id", F.coalesce("status", F.lit("pending")).alias("status"), F.when(F.col("mark") >= 0, F.col("mark")).alias("copy_of"))
 
 
-def permanent_codes(actions: DataFrame, last_code: int = 0, bucket: int = 10_000) -> DataFrame:
+def permanent_codes(actions: DataFrame, last_code: int = 0) -> DataFrame:
     """box_id, first_seq, item_code: codes in order of each box's first approval, continuing after the last code; kept for good."""
     first = actions.where("action = 'approve'").groupBy("box_id").agg(F.min("seq").alias("first_seq"))
-    rows = numbered(first, ["first_seq", "box_id"], F.floor(F.col("first_seq") / bucket), "number", last_code + 1)
+    rows = numbered(first, ["first_seq", "box_id"], "number", last_code + 1)
     return rows.select("box_id", "first_seq", t.item_code(F.col("number")).alias("item_code"))
 
 
@@ -150,14 +156,43 @@ def to_approve(boxes: DataFrame, flags: str = "flags", skip_flagged: bool = True
     return rows.where(F.coalesce(F.size(flags), F.lit(0)) == 0) if skip_flagged else rows
 
 
-def with_new_boxes(boxes: DataFrame, new: DataFrame, parents: DataFrame, status: str, first_id: int, flags: Column | None = None) -> DataFrame:
-    """boxes after a merge or split: parents (id) get the status, and new boxes (photo_id, box, confidence, ...) come as pending with ids from first_id in order of photo and box."""
-    marked = parents.select("id", F.lit(True).alias("_parent")).distinct()
-    old = boxes.join(marked, "id", "left").withColumn("status", F.when(F.col("_parent"), status).otherwise(F.col("status"))).drop("_parent")
+def reference_areas(new: DataFrame, boxes: DataFrame, least: int = 3) -> DataFrame:
+    """key, typical: median area of the pending and approved boxes of each new box's photo, but for those in `without` (ids), along with the parts of the same split before it; null under `least` of them.
+
+    new: key, photo_id, without, event, part, box. A page's boxes meet its new ones.
+    """
+    live = boxes.where(F.col("status").isin("pending", "approved")).select("photo_id", F.col("id").alias("_id"), g.area(F.col("box")).alias("_size"))
+    others = new.select("key", "photo_id", "without").join(live, "photo_id").where(~F.array_contains("without", F.col("_id"))).select("key", "_size")
+    a, b = new.select("key", "event", "part").alias("a"), new.select("event", "part", g.area(F.col("box")).alias("_size")).alias("b")
+    parts = a.join(b, (F.col("a.event") == F.col("b.event")) & (F.col("b.part") < F.col("a.part"))).select("a.key", "b._size")
+    return others.unionByName(parts).groupBy("key").agg(F.when(F.count("*") >= least, F.median(F.col("_size").cast("double"))).alias("typical"))
+
+
+def marked(new: DataFrame, boxes: DataFrame, sizes: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """new (key, photo_id, without, event, part, box) with `flags` against boxes as they are before. sizes: photo_id, width, height."""
+    rows = new.join(reference_areas(new, boxes), "key", "left").join(sizes.select("photo_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "photo_id")
+    return rows.withColumn("flags", flags(F.col("box"), F.col("_w"), F.col("_h"), F.col("typical"), limits=limits)).drop("typical", "_w", "_h")
+
+
+def _with(boxes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """boxes and fresh ones, which have null in columns that they lack."""
+    return boxes.unionByName(fresh.select(*(c for c in boxes.columns if c in fresh.columns)), allowMissingColumns=True)
+
+
+def with_new_boxes(boxes: DataFrame, new: DataFrame, status: str, first_id: int, sizes: DataFrame | None = None) -> DataFrame:
+    """boxes after merges or splits: parents get the status, and new boxes (photo_id, box, confidence, parent_ids and, of a split, part) come as pending, with ids from first_id in order of photo and box.
+
+    With sizes (photo_id, width, height) new boxes get flags against the photo's other boxes, without their parents; the second half of a split sees the first.
+    """
     order = ["photo_id", "box.x", "box.y", "box.width", "box.height"]
-    fresh = numbered(new, order, F.floor(F.col("photo_id") / 1000), "id", first_id)
-    fresh = fresh.withColumn("status", F.lit("pending")).withColumn("origin", F.lit({"merged": "merge"}.get(status, status)))
-    return old.unionByName(fresh.select(*boxes.columns))
+    fresh = numbered(new, order, "id", first_id)
+    fresh = fresh.withColumns({"status": F.lit("pending"), "origin": F.lit({"merged": "merge"}.get(status, status))})
+    if sizes is not None:
+        part = F.col("part") if "part" in new.columns else F.lit(0)
+        fresh = marked(fresh.withColumns({"key": F.col("id"), "without": F.col("parent_ids"), "event": F.element_at("parent_ids", 1), "part": part}), boxes, sizes).drop("key", "without", "event")
+    parents = new.select(F.explode("parent_ids").alias("id"), F.lit(True).alias("_parent")).distinct()
+    old = boxes.join(parents, "id", "left").withColumn("status", F.when(F.col("_parent"), status).otherwise(F.col("status"))).select(*boxes.columns)
+    return _with(old, fresh)
 
 
 def checked_boxes(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -176,27 +211,46 @@ def change_errors(changes: DataFrame) -> DataFrame:
     return changes.withColumn("errors", F.array_compact(F.array(*(F.when(bad[n], F.lit(n)) for n in sorted(bad)))))
 
 
-def edited(boxes: DataFrame, edits: DataFrame) -> DataFrame:
-    """boxes with the boxes of edits (id, box) put in; merged and split ones can't be edited and stay."""
-    rows = boxes.alias("b").join(edits.select("id", F.col("box").alias("_new")).alias("e"), "id", "left")
-    new = F.when(~F.col("status").isin("merged", "split"), F.col("_new"))
-    return rows.withColumn("box", F.coalesce(new, F.col("box"))).select(*boxes.columns)
+def edited(boxes: DataFrame, edits: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """boxes with the boxes of edits (id, box) put in; merged and split ones can't be edited and stay.
 
-
-def with_manual(boxes: DataFrame, drawn: DataFrame, first_id: int) -> DataFrame:
-    """boxes and those that were drawn by hand (photo_id, box): pending, with full confidence, ids from first_id in order of photo and box."""
+    With sizes (photo_id, width, height) an edit is clipped to its photo, left out if it is no usable box (checked_boxes gives the reason), and flagged against the photo's other boxes as
+    they were: each edit without its own box only.
+    """
+    if sizes is None:
+        rows = boxes.alias("b").join(edits.select("id", F.col("box").alias("_new")).alias("e"), "id", "left")
+        new = F.when(~F.col("status").isin("merged", "split"), F.col("_new"))
+        return rows.withColumn("box", F.coalesce(new, F.col("box"))).select(*boxes.columns)
+    open_ = boxes.where(~F.col("status").isin("merged", "split")).select("id", "photo_id")
+    asked = edits.select("id", "box").join(open_, "id").join(sizes, "photo_id")
+    asked = checked_boxes(asked, F.col("width"), F.col("height")).where("error is null").select("id", "photo_id", "box")
+    keyed = asked.select(F.col("id").alias("key"), "photo_id", F.array("id").alias("without"), F.col("id").alias("event"), F.lit(0).alias("part"), "box")
+    done = marked(keyed, boxes, sizes).select(F.col("key").alias("id"), F.col("box").alias("_box"), F.col("flags").alias("_flags"), F.lit(True).alias("_edited"))
+    rows = boxes.join(done, "id", "left").withColumn("box", F.coalesce("_box", "box"))
+    if "flags" in boxes.columns:
+        rows = rows.withColumn("flags", F.when(F.col("_edited"), F.col("_flags")).otherwise(F.col("flags")))
+    return rows.select(*boxes.columns)
+
+
+def with_manual(boxes: DataFrame, drawn: DataFrame, first_id: int, sizes: DataFrame) -> DataFrame:
+    """boxes and those that were drawn by hand (photo_id, box): clipped to their photo (sizes: photo_id, width, height), pending, with full confidence and flags, ids from first_id in order of photo and box.
+
+    What is no usable box of a known photo is left out; checked_boxes gives the reason.
+    """
     order = ["photo_id", "box.x", "box.y", "box.width", "box.height"]
-    fresh = numbered(drawn, order, F.floor(F.col("photo_id") / 1000), "id", first_id)
-    fresh = fresh.withColumns({"status": F.lit("pending"), "origin": F.lit("manual"), "confidence": F.lit(1.0)})
-    return boxes.unionByName(fresh.select(*boxes.columns))
+    fine = checked_boxes(drawn.select("photo_id", "box").join(sizes, "photo_id"), F.col("width"), F.col("height")).where("error is null").select("photo_id", "box")
+    fresh = numbered(fine, order, "id", first_id)
+    fresh = fresh.withColumns({"key": F.col("id"), "without": F.array().cast("array<bigint>"), "event": F.col("id"), "part": F.lit(0)})
+    fresh = marked(fresh, boxes, sizes).withColumns({"status": F.lit("pending"), "origin": F.lit("manual"), "confidence": F.lit(1.0)})
+    return _with(boxes, fresh)
 
 
-def upsert_names(known: DataFrame, names: DataFrame, first_id: int, bucket: int = 256) -> DataFrame:
+def upsert_names(known: DataFrame, names: DataFrame, first_id: int) -> DataFrame:
     """id, name: a dimension (categories or tags) with new names added, once each in any case of A-Z, numbered from first_id in that order."""
     key = t.nocase(F.col("name"))
     new = names.where("name is not null").groupBy(key.alias("key")).agg(F.min("name").alias("name"))
     new = new.join(known.select(key.alias("key")), "key", "left_anti")
-    new = numbered(new, ["key"], F.coalesce(F.ascii("key"), F.lit(0)), "id", first_id)
+    new = numbered(new, ["key"], "id", first_id)
     return known.select("id", "name").unionByName(new.select("id", "name"))
 
 
@@ -210,6 +264,14 @@ def merge_boxes(chosen: DataFrame) -> DataFrame:
     return by.select("merge_id", g.box(F.col("x"), F.col("y"), F.col("x2") - F.col("x"), F.col("y2") - F.col("y")).alias("box"), "confidence", "parent_ids")
 
 
+def split_in_halves(boxes: DataFrame, direction: str | None = None) -> DataFrame:
+    """What with_new_boxes makes of splits: photo_id, box, confidence, parent_ids, part of both halves of each box that may be split (pending or rejected); boxes with a half without width or height stay whole."""
+    rows = split_boxes(boxes.where(F.col("status").isin("pending", "rejected")), direction)
+    whole = rows.groupBy("id").agg(F.every("valid").alias("_valid")).where("_valid").select("id")
+    rows = rows.join(whole, "id").join(boxes.select("id", "photo_id", "confidence"), "id")
+    return rows.select("photo_id", "box", "confidence", F.array("id").alias("parent_ids"), "part")
+
+
 def split_boxes(boxes: DataFrame, direction: str | None = None) -> DataFrame:
     """id, part (0 or 1), box, valid: both halves of each box; a half without width or height isn't valid."""
     rows = boxes.select("id", F.posexplode(g.halves(F.col("box"), direction)).alias("part", "box"))
@@ -221,7 +283,7 @@ def apply_changes(items: DataFrame, changes: DataFrame) -> DataFrame:
     names = [c for c in ("title", "description", "notes", "subcategory") if c in changes.columns]
     c = lambda n: F.col(f"c.{n}")
     i = lambda n: F.col(f"i.{n}")
-    new: dict[str, Column] = {n: F.coalesce(F.trim(c(n)), i(n)) for n in names}
+    new: dict[str, Column] = {n: F.coalesce(t.stripped(c(n)), i(n)) for n in names}
     if "category" in changes.columns:
         new["category"] = F.when(c("category").isNull(), i("category")).otherwise(t.blank_to_null(c("category")))
     if "tags" in changes.columns:
@@ -230,7 +292,7 @@ def apply_changes(items: DataFrame, changes: DataFrame) -> DataFrame:
         new["quantity"] = F.coalesce(c("quantity"), i("quantity"))
     for n in ("selling_price", "purchase_price"):
         if n in changes.columns:
-            cents = F.coalesce(F.bround(c(n), 2), i(n))
+            cents = F.coalesce(half_even(c(n), 2), i(n))
             new[n] = F.when(F.coalesce(c(f"clear_{n}"), F.lit(False)), None).otherwise(cents) if f"clear_{n}" in changes.columns else cents
     rows = items.alias("i").join(changes.alias("c"), F.col("i.id") == F.col("c.id"), "left")
     return rows.select(*(new[n].alias(n) if n in new else i(n) for n in items.columns))

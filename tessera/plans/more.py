@@ -60,7 +60,7 @@ def tag_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     items = v.items(spark, sf_dir)
     old = items.where("id % 50 = 0").select(F.explode("tags").alias("name")).distinct()
-    old = numbered(old, ["name"], F.ascii("name"), "id").select("id", "name")
+    old = numbered(old, ["name"], "id").select("id", "name")
     words = items.select(F.col("id").alias("item_id"), F.explode("tags").alias("word")).select("item_id", F.upper("word").alias("name")).distinct()
     tags = review.upsert_names(old, words.select("name"), 1000)
     bridge = words.join(tags.select(F.col("id").alias("tag_id"), t.nocase(F.col("name")).alias("key")), t.nocase(words["name"]) == F.col("key")).select("item_id", "tag_id")
@@ -133,7 +133,7 @@ def approve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = v.boxes(spark, sf_dir)
     marked = b.join(catalog.typical_area(b), "photo_id", "left").withColumn("flags", scoring.flags(F.col("box"), 1020, 840, F.col("typical"), sure=F.col("confidence")))
     ready = review.to_approve(marked).select("photo_id", "id").join(detect.reading_order(b), ["photo_id", "id"])
-    return numbered(ready, ["photo_id", "position"], F.floor(F.col("photo_id") / 1000), start=101).select("id", t.item_code(F.col("number"), strict=True).alias("item_code"))
+    return numbered(ready, ["photo_id", "position"], start=101).select("id", t.item_code(F.col("number"), strict=True).alias("item_code"))
 
 
 @query(
@@ -182,7 +182,7 @@ def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = v.boxes(spark, sf_dir)
     chosen = b.where(F.col("status").isin("pending", "rejected") & (F.col("photo_id") % 5 == 0))
     merged = review.merge_boxes(chosen.withColumnRenamed("photo_id", "merge_id")).withColumnRenamed("merge_id", "photo_id")
-    after = review.with_new_boxes(b, merged.select("photo_id", "box", "confidence"), merged.select(F.explode("parent_ids").alias("id")), "merged", 1_000_000_000)
+    after = review.with_new_boxes(b, merged, "merged", 1_000_000_000)
     return after.select("id", "photo_id", "box.*", "status", "origin", "confidence")
 
 

@@ -143,7 +143,7 @@ def card_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, row_number() OVER (ORDER BY id) + 41 AS number, printf('PIN-%06d', row_number() OVER (ORDER BY id) + 41) AS item_code FROM boxes", "boxes")
 def item_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = numbered(v.boxes(spark, sf_dir).select("id"), ["id"], F.floor(F.col("id") / 100_000), start=42)
+    rows = numbered(v.boxes(spark, sf_dir).select("id"), ["id"], start=42)
     return rows.select("id", "number", t.item_code(F.col("number")).alias("item_code"))
 
 

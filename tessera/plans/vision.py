@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import background, clusters, detect, regions
+from ..operators import background, clusters, detect, filters, fingerprints, pixels, regions
 from . import views as v
-from .more import _BENT, _LINEAR, _NAME, _PLAIN, _POLAR, _ROW, ORACLES, QUERIES
+from .edits import ORACLES, QUERIES
+from .more import _BENT, _LINEAR, _NAME, _PLAIN, _POLAR, _ROW
 from .queries import query
 
 __all__ = ["ORACLES", "QUERIES"]  # with the queries of this module added
 
 #: A painted photo is 8 x 8 pixels: small values are felt, others an object, red if positive and dark if negative.
 SIDE = 8
-_LAB = f"""li AS (SELECT *, {_LINEAR.format(c="r")} AS lr, {_LINEAR.format(c="g")} AS lg, {_LINEAR.format(c="b")} AS lb FROM px),
-    bent AS (SELECT *, {_BENT.format(v=_ROW[0])} AS fx, {_BENT.format(v=_ROW[1])} AS fy, {_BENT.format(v=_ROW[2])} AS fz FROM li),
-    lab AS (SELECT photo_id, x, y, r, g, b AS blue, (r * 4899 + g * 9617 + b * 1868 + 8192) >> 14 AS gray, least(255, greatest(0, round_even((fy * 116 - 16) * 2.55, 0)))::INTEGER AS l, least(255, greatest(0, round_even((fx - fy) * 500 + 128, 0)))::INTEGER AS a, least(255, greatest(0, round_even((fy - fz) * 200 + 128, 0)))::INTEGER AS b FROM bent)"""
+
+
+def _lab(name: str, source: str) -> str:
+    """SQL of pixels in LAB, and grey."""
+    return f"""{name}_li AS (SELECT *, {_LINEAR.format(c="r")} AS lr, {_LINEAR.format(c="g")} AS lg, {_LINEAR.format(c="b")} AS lb FROM {source}), {name}_bent AS (SELECT *, {_BENT.format(v=_ROW[0])} AS fx, {_BENT.format(v=_ROW[1])} AS fy, {_BENT.format(v=_ROW[2])} AS fz FROM {name}_li),
+    {name} AS (SELECT photo_id, x, y, r, g, b AS blue, (r * 4899 + g * 9617 + b * 1868 + 8192) >> 14 AS gray, least(255, greatest(0, round_even((fy * 116 - 16) * 2.55, 0)))::INTEGER AS l, least(255, greatest(0, round_even((fx - fy) * 500 + 128, 0)))::INTEGER AS a, least(255, greatest(0, round_even((fy - fz) * 200 + 128, 0)))::INTEGER AS b FROM {name}_bent)"""
+
+
 _PAINTED = f"""WITH RECURSIVE raw AS (SELECT vec_id AS photo_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, embedding[i]::DOUBLE AS v, CAST(floor(abs(embedding[i % 64 + 1]::DOUBLE) * 1000) AS INTEGER) % 40 AS w FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
     px AS (SELECT photo_id, x, y, CASE WHEN abs(v) < 0.1 THEN 150 + w % 7 WHEN v > 0 THEN 200 + w ELSE 40 + w END AS r, CASE WHEN abs(v) < 0.1 THEN 150 WHEN v > 0 THEN 40 + w ELSE 45 END AS g, CASE WHEN abs(v) < 0.1 THEN 155 WHEN v > 0 THEN 60 ELSE 40 + w // 2 END AS b FROM raw),
-    {_LAB}"""
+    {_lab("lab", "px")}"""
 
 
 def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +50,18 @@ def sizes_of(px: DataFrame) -> DataFrame:
     return px.groupBy("photo_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
-_RING = "ring AS (SELECT *, (x < 2)::INT + (x >= 6)::INT + (y < 2)::INT + (y >= 6)::INT AS n FROM lab), spread AS (SELECT r.* FROM ring r, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k <= n), edge AS (SELECT photo_id, median(l::DOUBLE) AS el, median(a::DOUBLE) AS ea, median(b::DOUBLE) AS eb FROM spread GROUP BY photo_id)"
-_FLOOD = _PAINTED + f""", {_RING},
-    cand AS (SELECT photo_id, x, y FROM lab JOIN edge USING (photo_id) WHERE sqrt(pow((l - el) * 0.4, 2) + pow(a - ea, 2) + pow(b - eb, 2)) < 14),
-    flood AS (SELECT photo_id, x, y FROM cand WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT c.photo_id, c.x, c.y FROM flood f JOIN cand c ON c.photo_id = f.photo_id AND abs(c.x - f.x) + abs(c.y - f.y) = 1)"""
+def _flood(name: str, lab: str) -> str:
+    """SQL of what is like the border's median colour and connected with the border; <name>_edge has that colour."""
+    return f"""{name}_ring AS (SELECT *, (x < 2)::INT + (x >= 6)::INT + (y < 2)::INT + (y >= 6)::INT AS n FROM {lab}), {name}_spread AS (SELECT r.* FROM {name}_ring r, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k <= n), {name}_edge AS (SELECT photo_id, median(l::DOUBLE) AS el, median(a::DOUBLE) AS ea, median(b::DOUBLE) AS eb FROM {name}_spread GROUP BY photo_id),
+    {name}_cand AS (SELECT photo_id, x, y FROM {lab} JOIN {name}_edge USING (photo_id) WHERE sqrt(pow((l - el) * 0.4, 2) + pow(a - ea, 2) + pow(b - eb, 2)) < 14),
+    {name} AS (SELECT photo_id, x, y FROM {name}_cand WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT c.photo_id, c.x, c.y FROM {name} f JOIN {name}_cand c ON c.photo_id = f.photo_id AND abs(c.x - f.x) + abs(c.y - f.y) = 1)"""
+
+
+_FLOOD = _PAINTED + ", " + _flood("flood", "lab")
+_MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+_SMOOTH = f"""off AS (SELECT i, j FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(-3, 4)) AS j) WHERE i * i + j * j <= 9),
+    met AS (SELECT p.photo_id, p.x, p.y, n.r, n.g, n.b, exp(-pow(abs(n.r - p.r) + abs(n.g - p.g) + abs(n.b - p.b), 2) / 3200.0::DOUBLE - (i * i + j * j) / 98.0::DOUBLE) AS w FROM px p, off, px n WHERE n.photo_id = p.photo_id AND n.x = {_MIRROR.format("p.x + j")} AND n.y = {_MIRROR.format("p.y + i")}),
+    sm AS (SELECT photo_id, x, y, round_even(sum(r * w) / sum(w), 0)::INTEGER AS r, round_even(sum(g * w) / sum(w), 0)::INTEGER AS g, round_even(sum(b * w) / sum(w), 0)::INTEGER AS b FROM met GROUP BY photo_id, x, y)"""
 
 
 @query(_FLOOD + " SELECT photo_id, x, y FROM flood")
@@ -79,7 +93,7 @@ def _fill(name: str, source: str) -> str:
     {name} AS (SELECT photo_id, x, y FROM px ANTI JOIN {name}_sea USING (photo_id, x, y))"""
 
 
-_MASK = _FLOOD + f""", rest AS (SELECT photo_id, x, y FROM px ANTI JOIN flood USING (photo_id, x, y)), {_cross("thin", "rest", False)}, {_cross("wide", "thin", True)}, {_cross("grown", "wide", True)}, {_cross("shut", "grown", False)}, {_parts("part", "shut")},
+_MASK = _FLOOD + f""", {_SMOOTH}, {_lab("soft", "sm")}, {_flood("sea", "soft")}, rest AS (SELECT photo_id, x, y FROM px ANTI JOIN sea USING (photo_id, x, y)), {_cross("thin", "rest", False)}, {_cross("wide", "thin", True)}, {_cross("grown", "wide", True)}, {_cross("shut", "grown", False)}, {_parts("part", "shut")},
     sized AS (SELECT photo_id, label, count(*) AS n, bool_or(x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4) AS central FROM part GROUP BY photo_id, label), fit AS (SELECT *, central AND n >= 0.15 * max(n) OVER (PARTITION BY photo_id) AS good FROM sized),
     picked AS (SELECT photo_id, label FROM fit QUALIFY good OR (NOT bool_or(good) OVER (PARTITION BY photo_id) AND row_number() OVER (PARTITION BY photo_id ORDER BY n DESC, label) = 1)), kept AS (SELECT photo_id, x, y FROM part SEMI JOIN picked USING (photo_id, label)), {_fill("mask", "kept")}"""
 
@@ -87,7 +101,30 @@ _MASK = _FLOOD + f""", rest AS (SELECT photo_id, x, y FROM px ANTI JOIN flood US
 @query(_MASK + " SELECT photo_id, x, y FROM mask")
 def foreground_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = painted(spark, sf_dir)
-    return regions.pixels_of(regions.foreground(in_lab(px), sizes_of(px)))
+    sizes = sizes_of(px)
+    return regions.pixels_of(regions.foreground(in_lab(filters.bilateral(px, sizes)), sizes))
+
+
+@query(_PAINTED + f", {_SMOOTH} SELECT * FROM sm")
+def smoothed_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = painted(spark, sf_dir)
+    return filters.bilateral(px, sizes_of(px))
+
+
+# Two tiles a side, of 16 pixels each: a level holds one at most.
+@query(
+    _PAINTED + """, tile AS (SELECT photo_id, x // 4 AS tx, y // 4 AS ty, gray, count(*) AS n FROM lab GROUP BY ALL), cut AS (SELECT photo_id, tx, ty, sum(greatest(0, n - 1)) AS over FROM tile GROUP BY ALL),
+    dense AS (SELECT c.photo_id, c.tx, c.ty, level, over % 256 AS rest, over // 256 AS batch, sum((t.n IS NOT NULL)::INT) OVER (PARTITION BY c.photo_id, c.tx, c.ty ORDER BY level) AS up FROM cut c CROSS JOIN (SELECT unnest(range(0, 256)) AS level) LEFT JOIN tile t ON t.photo_id = c.photo_id AND t.tx = c.tx AND t.ty = c.ty AND t.gray = level),
+    lut AS (SELECT photo_id, tx, ty, level, least(255, round_even((up + batch * (level + 1) + least(rest, level // greatest(1, 256 // greatest(1, rest)) + 1)) * (255.0::DOUBLE / 16), 0)) AS value FROM dense),
+    side AS (SELECT photo_id, x, y, gray, floor(x / 4.0::DOUBLE - 0.5)::INT AS ix, floor(y / 4.0::DOUBLE - 0.5)::INT AS iy, x / 4.0::DOUBLE - 0.5 AS fx, y / 4.0::DOUBLE - 0.5 AS fy FROM lab)
+    SELECT s.photo_id, s.x, s.y, round_even(round(sum(value * (CASE WHEN a = 1 THEN fx - ix ELSE 1 - (fx - ix) END) * (CASE WHEN b = 1 THEN fy - iy ELSE 1 - (fy - iy) END)), 6), 0)::INTEGER AS gray FROM side s, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), lut
+    WHERE lut.photo_id = s.photo_id AND lut.level = s.gray AND lut.tx = greatest(0, least(1, ix + a)) AND lut.ty = greatest(0, least(1, iy + b)) GROUP BY s.photo_id, s.x, s.y"""
+)
+def local_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey of painted photos with its contrast evened out by tiles."""
+    px = painted(spark, sf_dir)
+    gray = px.select("photo_id", "x", "y", scoring.gray(F.col("r"), F.col("g"), F.col("b")).alias("gray"))
+    return filters.tiled_contrast(gray, sizes_of(px))
 
 
 _DOMINANT = """{0}_h AS (SELECT photo_id, a // 4 AS i, b // 4 AS j, count(*) AS n FROM {1} GROUP BY ALL), {0}_k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d, unnest([1, 4, 6, 4, 1]) AS w),
@@ -99,7 +136,7 @@ _MODEL = _PAINTED + f""", rim AS (SELECT * FROM lab WHERE x < 2 OR y < 2 OR x >=
     model AS (SELECT photo_id, main.a AS a1, main.b AS b1, CASE WHEN sqrt(pow(side.a - main.a, 2) + pow(side.b - main.b, 2)) > 6 THEN side.a END AS a2, side.b AS b2 FROM main JOIN side USING (photo_id)),
     light AS (SELECT photo_id, coalesce(median(l::DOUBLE) FILTER (WHERE sqrt(pow(a - a1, 2) + pow(b - b1, 2)) < 6), median(l::DOUBLE)) AS lightness FROM lab JOIN model USING (photo_id) GROUP BY photo_id),
     judged AS (SELECT photo_id, x, y, gray, r, g, blue, l, lightness, a1, b1, a2, b2, least(sqrt(pow(a - a1, 2) + pow(b - b1, 2)), coalesce(sqrt(pow(a - a2, 2) + pow(b - b2, 2)), 1e9)) AS distance FROM lab JOIN model USING (photo_id) JOIN light USING (photo_id)),
-    raw_px AS (SELECT *, distance > 12 OR (CASE WHEN lightness < 110 THEN l > least(255, lightness + 82) ELSE l < 90 END) AS fore, CASE WHEN lightness < 110 THEN l > lightness + 60 ELSE l < 90 END AS dark FROM judged)"""
+    raw_px AS (SELECT *, distance > 11 OR (CASE WHEN lightness < 110 THEN l > least(255, lightness + 92) ELSE l < 70 END) AS fore, CASE WHEN lightness < 110 THEN l > lightness + 60 ELSE l < 70 END AS dark FROM judged)"""
 
 
 @query(_MODEL + """ SELECT photo_id, 1 + (any_value(a2) IS NOT NULL)::INTEGER AS n_colors, round(any_value(a1), 6) AS a, round(any_value(b1), 6) AS b, any_value(lightness) AS lightness, count_if(fore) AS n_foreground, count_if(dark) AS n_dark, round(sum(distance), 6) AS total FROM raw_px GROUP BY photo_id""")
@@ -169,7 +206,7 @@ _CUBE = "CASE WHEN {f} > 6.0::DOUBLE / 29 THEN {f} * {f} * {f} ELSE ({f} - 16.0:
 _BACK = "lpad(lower(hex(least(255, greatest(0, round_even((CASE WHEN {v} <= 0.0031308 THEN {v} * 12.92::DOUBLE ELSE pow(greatest({v}, 0), 1.0::DOUBLE / 2.4::DOUBLE) * 1.055::DOUBLE - 0.055::DOUBLE END) * 255, 0)))::INTEGER)), 2, '0')"
 _RGB = [f"(cx * {row[0] * scoring.WHITE[0]!r}::DOUBLE + cy * {row[1]!r}::DOUBLE + cz * {row[2] * scoring.WHITE[2]!r}::DOUBLE)" for row in scoring.RGB]
 # k-means++ and Lloyd's iterations on lists: three attempts for each photo, each until it rests.
-_CLUSTERED = _MASK + f""", seen AS (SELECT photo_id, x, y, l, a, b, m.photo_id IS NOT NULL AS object, sqrt(pow((l - el) * 0.25, 2) + pow(a - ea, 2) + pow(b - eb, 2)) < 12 AS felt FROM lab JOIN edge USING (photo_id) LEFT JOIN mask m USING (photo_id, x, y)),
+_CLUSTERED = _MASK + f""", seen AS (SELECT photo_id, x, y, l, a, b, m.photo_id IS NOT NULL AS object, sqrt(pow((l - el) * 0.25, 2) + pow(a - ea, 2) + pow(b - eb, 2)) < 12 AS felt FROM lab JOIN flood_edge USING (photo_id) LEFT JOIN mask m USING (photo_id, x, y)),
     enough AS (SELECT photo_id, count_if(object AND NOT felt) AS n, count_if(object) AS whole FROM seen GROUP BY photo_id), taken AS (SELECT photo_id, l::DOUBLE AS l, a::DOUBLE AS a, b::DOUBLE AS b FROM seen JOIN enough USING (photo_id) WHERE CASE WHEN n >= 50 THEN object AND NOT felt WHEN whole >= 50 THEN object ELSE true END),
     points AS (SELECT photo_id, l, a, b, count(*) AS n FROM taken GROUP BY ALL),
     keyed AS (SELECT photo_id, list(struct_pack(l := l, a := a, b := b, n := n) ORDER BY l, a, b) AS pts, least(6, greatest(1, sum(n) // 20)) AS k FROM points GROUP BY photo_id), tried AS (SELECT * FROM keyed, (SELECT unnest([0, 1, 2]) AS attempt)),
@@ -198,5 +235,40 @@ def object_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main colours of each painted photo's object."""
     px = painted(spark, sf_dir)
     lab, sizes = in_lab(px), sizes_of(px)
-    found = clusters.dominant_colors(regions.object_pixels(lab, sizes, regions.foreground(lab, sizes)))
+    found = clusters.dominant_colors(regions.object_pixels(lab, sizes, regions.foreground(in_lab(filters.bilateral(px, sizes)), sizes)))
     return found.select("id", F.posexplode("colors").alias("position", "c")).select("id", "position", "c.name", "c.hex", "c.share")
+
+
+@query(_PAINTED + """, cells AS (SELECT photo_id, i, j, r, g, b, (least(x + 1, (i + 1) * 1.6::DOUBLE) - greatest(x, i * 1.6::DOUBLE)) / 1.6::DOUBLE * ((least(y + 1, (j + 1) * 1.6::DOUBLE) - greatest(y, j * 1.6::DOUBLE)) / 1.6::DOUBLE) AS share
+        FROM px, (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j) WHERE least(x + 1, (i + 1) * 1.6::DOUBLE) - greatest(x, i * 1.6::DOUBLE) > 1e-9 AND least(y + 1, (j + 1) * 1.6::DOUBLE) - greatest(y, j * 1.6::DOUBLE) > 1e-9)
+    SELECT photo_id, i AS x, j AS y, round_even(round(sum(r * share), 9), 0)::INTEGER AS r, round_even(round(sum(g * share), 9), 0)::INTEGER AS g, round_even(round(sum(b * share), 9), 0)::INTEGER AS b FROM cells GROUP BY photo_id, i, j""")
+def resized_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Painted photos with a longest side of five pixels."""
+    px = painted(spark, sf_dir)
+    return pixels.resized(px, pixels.shrunk_sizes(sizes_of(px), 5))
+
+
+_FACTOR = "(CASE WHEN {f} = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END * cos((2 * {p} + 1) * {f} * pi() / 64))"
+
+
+@query(
+    _MASK + f""", area AS (SELECT photo_id, count(*) AS n FROM mask GROUP BY photo_id), shown AS (SELECT p.photo_id, p.x, p.y, p.r, p.g, p.b, l.gray, coalesce(n, 0) < 3.2 OR m.photo_id IS NOT NULL AS inside FROM px p JOIN lab l USING (photo_id, x, y) LEFT JOIN area USING (photo_id) LEFT JOIN mask m USING (photo_id, x, y)),
+    levels AS (SELECT photo_id, gray, count(*) AS n FROM shown GROUP BY ALL), spread2 AS (SELECT photo_id, gray, sum(n) OVER (PARTITION BY photo_id ORDER BY gray) AS up, first_value(n) OVER (PARTITION BY photo_id ORDER BY gray) AS low FROM levels),
+    even AS (SELECT photo_id, gray, CASE WHEN low = 64 THEN gray ELSE round_even((up - low) * (255.0::DOUBLE / (64 - low)), 0)::INTEGER END AS level FROM spread2), own AS (SELECT * FROM shown JOIN even USING (photo_id, gray) WHERE inside),
+    square AS (SELECT photo_id, min(x) AS x1, min(y) AS y1, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, greatest(max(x) - min(x), max(y) - min(y)) + 1 AS side FROM own GROUP BY photo_id),
+    put AS (SELECT photo_id, x - x1 + (side - w) // 2 AS x, y - y1 + (side - h) // 2 AS y, level - 128 AS v, side / 32.0::DOUBLE AS cell FROM own JOIN square USING (photo_id)),
+    cells AS (SELECT photo_id, i, j, round_even(round(sum(v * ((least(x + 1, (i + 1) * cell) - greatest(x, i * cell)) / cell) * ((least(y + 1, (j + 1) * cell) - greatest(y, j * cell)) / cell)), 9), 0) AS v FROM put, (SELECT unnest(range(0, 32)) AS i), (SELECT unnest(range(0, 32)) AS j)
+        WHERE least(x + 1, (i + 1) * cell) - greatest(x, i * cell) > 1e-9 AND least(y + 1, (j + 1) * cell) - greatest(y, j * cell) > 1e-9 GROUP BY photo_id, i, j),
+    across AS (SELECT photo_id, j, u, sum(v * {_FACTOR.format(f="u", p="i")}) AS s FROM cells, (SELECT unnest(range(0, 8)) AS u) GROUP BY photo_id, j, u),
+    waves AS (SELECT photo_id, u, w, round(sum(s * {_FACTOR.format(f="w", p="j")}) + CASE WHEN u = 0 AND w = 0 THEN 4096 ELSE 0 END, 6) AS c FROM across, (SELECT unnest(range(0, 8)) AS w) GROUP BY photo_id, u, w),
+    middle AS (SELECT photo_id, list_sort(list(c))[32] AS m FROM waves WHERE u + w > 0 GROUP BY photo_id), bits AS (SELECT photo_id, string_agg(CASE WHEN c > m THEN '1' ELSE '0' END, '' ORDER BY w, u) AS bits FROM waves JOIN middle USING (photo_id) GROUP BY photo_id),
+    tint AS (SELECT photo_id, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS c, r, g, b FROM own), tone AS (SELECT photo_id, CASE WHEN c = 0 THEN 0 WHEN v = r THEN ((60.0::DOUBLE * (g - b) / c) + 360) % 360 WHEN v = g THEN 60.0::DOUBLE * (b - r) / c + 120 ELSE 60.0::DOUBLE * (r - g) / c + 240 END / 2 AS hue, CASE WHEN v = 0 THEN 0 ELSE 255.0::DOUBLE * c / v END AS s, v FROM tint),
+    bins AS (SELECT photo_id, least(7, floor(hue / 22.5))::INTEGER * 16 + least(3, floor(s / 64))::INTEGER * 4 + floor(v / 64)::INTEGER AS place, count(*) AS n, sum(count(*)) OVER (PARTITION BY photo_id) AS total FROM tone GROUP BY photo_id, place)
+    SELECT photo_id AS id, any_value(bits) AS bits, string_agg(place || ':' || round_even(n / total * 100000, 0)::BIGINT, ',' ORDER BY place) AS colors FROM bins JOIN bits USING (photo_id) GROUP BY photo_id"""
+)
+def object_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each painted photo's object: the hash bit by bit, and the bins that have some of its colours in 100,000ths."""
+    rows = fingerprints.fingerprints(painted(spark, sf_dir))
+    bits = F.concat(*(F.lpad(F.conv(F.col(half).cast("string"), 10, 2), 32, "0") for half in ("hi", "lo")))
+    each = F.transform("histogram", lambda v, i: F.when(v > 0, F.concat(i.cast("string"), F.lit(":"), F.rint(v * 100000).cast("long").cast("string"))))
+    return rows.select("id", bits.alias("bits"), F.array_join(F.array_compact(each), ",").alias("colors"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..functions.numbering import numbered
 from ..operators import catalog
 from ..session import cut_lineage
@@ -42,7 +43,7 @@ def full_record(rows: DataFrame) -> DataFrame:
 def json_document(records: DataFrame, exported_at: str) -> DataFrame:
     """line, text: the lines of one document {exported_at, count, pins} around one record a line, so that no task holds the document."""
     n = records.agg(F.count("*").alias("count"))
-    rows = numbered(records, ["pin_code"], F.coalesce(F.floor(F.regexp_extract("pin_code", r"(\d+)$", 1).try_cast("long") / 10_000), F.lit(0)), "line")
+    rows = numbered(records, ["pin_code"], "line")
     body = rows.crossJoin(F.broadcast(n)).select("line", F.concat(F.lit("  "), "record", F.when(F.col("line") < F.col("count"), ",").otherwise("")).alias("text"))
     head = n.select(F.lit(0).cast("long").alias("line"), F.concat(F.lit("{"), F.lit('"exported_at": '), F.to_json(F.array(F.lit(exported_at))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(exported_at)))) - 2), F.lit(', "count": '), F.col("count").cast("string"), F.lit(', "pins": [')).alias("text"))
     return head.unionByName(body).unionByName(n.select((F.col("count") + 1).alias("line"), F.lit("]}").alias("text")))
@@ -55,18 +56,26 @@ def write_json(rows: DataFrame, path: str, exported_at: str) -> None:
 
 
 def gallery_script(records: DataFrame, title: str) -> DataFrame:
-    """text, version: `window.CATALOG = ...;` for a gallery that loads all its records at once, and 12 hex digits of its JSON's SHA-256.
+    """line, text: the lines of the script `window.CATALOG = {title, pins};` around one public record a line in order of code, so that no task holds the script. records: item_code, record."""
+    n = records.agg(F.count("*").alias("count"))
+    rows = numbered(records.select("item_code", "record"), ["item_code"], "line")
+    body = rows.crossJoin(F.broadcast(n)).select("line", F.concat("record", F.when(F.col("line") < F.col("count"), ",").otherwise("")).alias("text"))
+    quoted = F.to_json(F.array(F.lit(title)))
+    head = n.select(F.lit(0).cast("long").alias("line"), F.concat(F.lit('window.CATALOG = {"title":'), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(',"pins":[')).alias("text"))
+    return head.unionByName(body).unionByName(n.select((F.col("count") + 1).alias("line"), F.lit("]};").alias("text")))
+
 
-    The script is one string by its nature, so this suits a published selection, not a whole large catalogue.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("item_code", "record")))
-    body = records.agg(F.array_join(F.transform(ordered, lambda r: r["record"]), ",").alias("pins"), F.count("*").alias("n"))
-    body = body.select(F.concat(F.lit('{"title":'), F.to_json(F.array(F.lit(title))), F.lit(',"pins":['), "pins", F.lit("]}")).alias("json"))
-    return body.select(F.concat(F.lit("window.CATALOG = "), "json", F.lit(";")).alias("text"), version(F.col("json")).alias("version"))
+def version(lines: DataFrame) -> DataFrame:
+    """One row, version: 12 hex digits that change with any line (line, text) of a document or its place. Lines are digested along with their numbers, and the digests added up bit by bit."""
+    digest = F.sha2(F.concat(F.col("line").cast("string"), F.lit(":"), "text"), 256)
+    parts = [F.bit_xor(F.conv(F.substring(digest, at, 15), 16, 10).cast("long")).alias(f"p{at}") for at in (1, 16, 31)]
+    sums = lines.agg(F.count("*").alias("n"), *parts)
+    return sums.select(F.substring(F.sha2(F.concat_ws(":", "n", "p1", "p16", "p31"), 256), 1, 12).alias("version"))
 
 
-def version(json: Column) -> Column:
-    return F.substring(F.sha2(json, 256), 1, 12)
+def gallery_page(lines: DataFrame, template: str, title: str, subtitle: str = "") -> DataFrame:
+    """One row, text: the gallery's page from its template, whose {{TITLE}}, {{SUBTITLE}} and {{VERSION}} are filled in; the version makes browsers load the script of these lines."""
+    return version(lines).select(t.filled(F.lit(template), {"TITLE": F.lit(title), "SUBTITLE": F.lit(subtitle), "VERSION": F.col("version")}).alias("text"))
 
 
 def to_copy(wanted: DataFrame, existing: DataFrame) -> DataFrame:
@@ -135,7 +144,7 @@ def export_all(rows: DataFrame, folder: str, exported_at: str, formats: Sequence
     if "json" in paths:
         write_json(approved, paths["json"], exported_at)
     if "html" in paths:
-        gallery_script(catalog.public_record(approved), title).select("text").write.text(paths["html"])
+        gallery_script(catalog.public_record(approved), title).orderBy("line").select("text").write.text(paths["html"])
         if publish_to:
             try:
                 publish(rows.sparkSession, paths["html"], publish_to)

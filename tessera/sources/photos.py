@@ -42,15 +42,47 @@ def readable(content: F.Column) -> F.Column:
     return plain | (F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250"))) | (F.substring(head, 9, 8) == "66747970")
 
 
+def examined(files: DataFrame) -> DataFrame:
+    """name, sha256, fine (it begins like an image) of files (name, content): all that an import needs of contents, read once."""
+    return hashed(files).select("name", "sha256", readable(F.col("content")).alias("fine"))
+
+
 def ingested(files: DataFrame, known: DataFrame) -> DataFrame:
     """name, sha256, outcome of a batch: `duplicate` of a known or earlier file, `error` if it is no image (it isn't recorded, so its copies are errors too), else `imported`."""
-    fine = files.select("name", readable(F.col("content")).alias("fine"))
-    rows = classified(files, known).join(fine, "name")
+    rows = files if "fine" in files.columns else examined(files)
+    rows = classified(rows, known).join(rows.select("name", "fine"), "name")
     rows = rows.join(known.select("sha256").distinct().withColumn("known", F.lit(True)), "sha256", "left")
     outcome = F.when(F.coalesce("known", F.lit(False)), "duplicate").when(~F.col("fine"), "error").when(F.col("outcome") == "new", "imported").otherwise("duplicate")
     return rows.select("name", "sha256", outcome.alias("outcome"))
 
 
+def reported(files: DataFrame, known: DataFrame) -> DataFrame:
+    """name, sha256, outcome, message of a batch: ingested() with what a duplicate is a copy of (known: sha256, name; else the first file of the batch), and why a file is an error."""
+    rows = ingested(files, known)
+    first = known.groupBy("sha256").agg(F.min("name").alias("original"))
+    own = rows.where("outcome = 'imported'").select("sha256", F.col("name").alias("own"))
+    rows = rows.join(first, "sha256", "left").join(own, "sha256", "left")
+    copied = F.concat(F.lit("Already imported as '"), F.coalesce("original", "own"), F.lit("'."))
+    message = F.when(F.col("outcome") == "duplicate", copied).when(F.col("outcome") == "error", "Not a readable image.").otherwise("")
+    return rows.select("name", "sha256", "outcome", message.alias("message"))
+
+
+def with_detections(reports: DataFrame, runs: DataFrame) -> DataFrame:
+    """reports with detections, and status and error_message of the photo: imported ones are `processed`, or `error` if their detection failed (they stay recorded, so their copies are duplicates); others have no status.
+
+    runs: name, detections, error (null: it went well). The outcome of a photo whose detection failed is an error too, with a message; those without a run yet are `pending`.
+    """
+    rows = reports.join(runs.select("name", "detections", F.col("error").alias("_error"), F.lit(True).alias("_ran")), "name", "left")
+    imported, failed = F.col("outcome") == "imported", F.col("_error").isNotNull()
+    said = F.concat(F.lit("Imported, but detection failed: "), F.col("_error"))
+    found = F.concat(F.coalesce("detections", F.lit(0)).cast("string"), F.lit(" candidate pins"))
+    status = F.when(imported, F.when(failed, "error").when(F.col("_ran"), "processed").otherwise("pending"))
+    return rows.select(
+        "name", "sha256", F.when(imported & failed, "error").otherwise(F.col("outcome")).alias("outcome"), F.when(imported & failed, said).when(imported & F.col("_ran"), found).otherwise(F.col("message")).alias("message"),
+        F.when(imported & ~failed, F.coalesce("detections", F.lit(0))).otherwise(0).cast("long").alias("detections"), status.alias("status"), F.when(imported, F.col("_error")).alias("error_message"),
+    )
+
+
 def batch_report(outcomes: DataFrame, detections: DataFrame | None = None) -> DataFrame:
     """One row: imported, duplicates, errors, detections of a batch. detections: name, detections."""
     counts = {"imported": "imported", "duplicates": "duplicate", "errors": "error"}
@@ -61,7 +93,7 @@ def batch_report(outcomes: DataFrame, detections: DataFrame | None = None) -> Da
 
 def classified(files: DataFrame, known: DataFrame) -> DataFrame:
     """name, sha256, outcome of a batch: `duplicate` if the hash is known or an earlier file of the batch (by lower-case name) has it, else `new`."""
-    rows = hashed(files).select("name", "sha256")
+    rows = (files if "sha256" in files.columns else hashed(files)).select("name", "sha256")
     first = rows.groupBy("sha256").agg(F.min_by("name", F.struct(F.lower("name"), F.col("name"))).alias("first"))
     seen = known.select("sha256").distinct().withColumn("known", F.lit(True))
     rows = rows.join(first, "sha256").join(seen, "sha256", "left")

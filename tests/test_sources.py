@@ -2,7 +2,6 @@
 
 import csv
 import glob
-import hashlib
 import io
 import json
 import os
@@ -102,10 +101,16 @@ def test_exports(spark, tmp_path):
     assert document["pins"][1]["tags"] == ["owl", "red gem"] and document["pins"][1]["source_image_id"] == 6 and len(document["pins"][1]["colors"]) == 3
     script = text_of(paths["html"]).strip()
     gallery = json.loads(script.removeprefix("window.CATALOG = ").removesuffix(";"))
+    assert gallery["title"] == "Owls" and len(script.splitlines()) == 5
     assert [p["code"] for p in gallery["pins"]] == ["PIN-000011", "PIN-000012", "PIN-000013"] and "private" not in script and "purchase_price" not in script
     assert [p["page"] for p in gallery["pins"]] == ["Page 5", "scan.png", "scan.png"]
-    version = exports.gallery_script(catalog.public_record(rows.where("status = 'approved'")), "Owls").first()["version"]
-    assert version == hashlib.sha256(script.removeprefix("window.CATALOG = ").removesuffix(";").encode()).hexdigest()[:12]
+    lines = exports.gallery_script(catalog.public_record(rows.where("status = 'approved'")), "Owls")
+    version = exports.version(lines).first()["version"]
+    assert version == exports.version(lines.repartition(5)).first()["version"] and len(version) == 12
+    changed = [lines.withColumn("text", F.regexp_replace("text", "Owl", "owl")), lines.withColumn("line", F.lit(5) - F.col("line")), lines.where("line <> 1")]
+    assert len({version, *(exports.version(c).first()["version"] for c in changed)}) == 4
+    page = exports.gallery_page(lines, '<title>{{TITLE}}</title><p>{{SUBTITLE}}{{OTHER}}<script src="c.js?v={{VERSION}}">', "Owls & 'Co'", "<b>").first()["text"]
+    assert page == f'<title>Owls &amp; &#x27;Co&#x27;</title><p>&lt;b&gt;{{{{OTHER}}}}<script src="c.js?v={version}">'
     exports.publish(spark, paths["html"], str(tmp_path / "public"))  # its own earlier export may be replaced
     other = tmp_path / "other"
     other.mkdir()
