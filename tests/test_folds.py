@@ -101,7 +101,7 @@ def test_quantity_floor_is_a_fold(spark):
 def test_codes_are_never_given_twice(spark):
     log = [(1, 7, "approve"), (2, 5, "reject"), (3, 5, "approve"), (4, 7, "reset"), (5, 7, "approve"), (6, 9, "approve")]
     actions = spark.createDataFrame(log, "seq long, box_id long, action string")
-    got = {r.box_id: r.item_code for r in review.permanent_codes(actions, last_code=41, bucket=2).collect()}
+    got = {r.box_id: r.item_code for r in review.permanent_codes(actions, last_code=41).collect()}
     assert got == {7: "PIN-000042", 5: "PIN-000043", 9: "PIN-000044"}
     settled = review.settle(actions.withColumn("target_id", F.lit(None).cast("long")), spark.createDataFrame([(i, 1) for i in (5, 7, 9)], "id long, photo_id long"))
     assert {r.box_id: r.status for r in review.box_state(settled).collect()} == {7: "approved", 5: "approved", 9: "approved"}
