@@ -22,6 +22,7 @@ width is the smallest at which at least the PERCENTILE of the block's ids need n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +39,21 @@ _HEAD = np.dtype([("minimum", "<u4"), ("count", "<u2"), ("width", "u1"), ("zero"
 FILE_SCHEMA = "shard long, run long, doc_ids array<long>, lengths array<int>, starts array<int>, payload binary"
 
 
+@lru_cache(maxsize=64)
+def _bit_places(count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The byte in which each of count packed ids begins, and the bit within it."""
+    at = np.arange(count) * width
+    return at >> 3, (at & 7).astype(np.uint64)
+
+
 def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One block of 1 to 65535 ids below 2**32; width 0 (all but exceptions equal) stores no packed bits."""
     ids = np.asarray(ids, dtype=np.uint32)
     low = ids.min()
     rest = ids - low
-    bits = np.zeros(len(rest), dtype=np.int64)
-    some = rest > 0
-    bits[some] = np.frexp(rest[some].astype(np.float64))[1]
-    width = int(np.sort(bits)[max(0, -(-len(bits) * percentile // 100) - 1)])
-    out = np.flatnonzero(bits > width)
+    nth = max(0, -(-len(rest) * percentile // 100) - 1)
+    width = int(np.partition(rest, nth)[nth]).bit_length()
+    out = np.flatnonzero(rest > (1 << width) - 1)
     head = np.zeros(1, dtype=_HEAD)
     head["minimum"], head["count"], head["width"], head["exceptions"] = low, len(ids), width, len(out)
     if width:
@@ -68,11 +74,12 @@ def decode_block(data: bytes, at: int = 0) -> np.ndarray:
     ids = np.zeros(count, dtype=np.uint64)
     if width:
         size = -(-count * width // 8)
-        planes = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=size, offset=at), bitorder="little", count=count * width)
-        few = np.packbits(planes.reshape(count, width), axis=1, bitorder="little")
-        full = np.zeros((count, 4), dtype=np.uint8)
-        full[:, : few.shape[1]] = few
-        ids = full.view("<u4").ravel().astype(np.uint64)
+        packed = np.zeros(size + 4, dtype=np.uint64)  # an id's bits begin in one byte and end at most four bytes later
+        packed[:size] = np.frombuffer(data, dtype=np.uint8, count=size, offset=at)
+        first, shift = _bit_places(count, width)
+        for i in range(-(-(width + 7) // 8)):
+            ids |= packed[first + i] << np.uint64(8 * i)
+        ids = (ids >> shift) & np.uint64((1 << width) - 1)
         at += size
     positions = np.frombuffer(data, dtype="<u2", count=outliers, offset=at)
     high = np.frombuffer(data, dtype="<u4", count=outliers, offset=at + 2 * outliers)
@@ -115,8 +122,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = tokens.END_
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             if len(doc_ids):
                 shard = batch.column(2)[0].as_py()
-            for a, b in common.text_chunks(common.byte_lengths(texts)):
-                for name, ids in zip(doc_ids[a:b], encoder.many(texts[a:b].to_pylist()), strict=True):
+            for a, b in common.text_chunks(common.byte_lengths(texts), tokens.CHUNK):
+                for name, ids in zip(doc_ids[a:b], encoder.many(texts[a:b]), strict=True):
                     names.append(name)
                     parts.append(ids + end)
                     lengths.append(len(parts[-1]) // 4)

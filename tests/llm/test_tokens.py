@@ -1,10 +1,12 @@
 """Encoder, id blocks, token files and packing against direct encoding and exact round trips."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import common, packing, token_files, tokens
@@ -43,6 +45,41 @@ def test_encoder_equals_the_library(direct):
             assert np.frombuffer(ids, "<u4").tolist() == direct(text), text
 
 
+@pytest.mark.parametrize("max_pieces", [50, 400_000])
+def test_encoder_cuts_where_the_library_does(direct, max_pieces):
+    rng = random.Random(3)
+    parts = [*[" "] * 12, "\n", "\n", "\n\n", "\r\n", "\r", "\x1c", "\x85", "\xa0", "à", "ª", "Word", "don't", "s", "'s", ".", ",", "…", "%%%", '."', "ʰ", "\u0301", "ɏ", "1", "<|endoftext|>"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000))]
+    encoder = tokens.Encoder(tokens.default_vocabulary(), max_pieces=max_pieces)
+    for size in (1, 7, 4000):
+        for i in range(0, 200 if size == 1 else len(texts), size):
+            some = pa.array(texts, pa.string())[i : i + size]
+            for text, ids in zip(some.to_pylist(), encoder.many(some), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == direct(text), text
+
+
+def test_words_are_not_pre_tokenized_one_by_one(direct, monkeypatch):
+    """Distinct words are the bulk of a corpus' cost: the library's model gets many at once, its pre-tokenizer none."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghinorstué") for _ in range(rng.randint(3, 12))) for _ in range(5000)]
+    texts = [" ".join(words[i : i + 50]) + ".\n" + words[i] + ", end" for i in range(0, len(words), 50)]
+    encoder, given = tokens.Encoder(tokens.default_vocabulary()), []
+    library = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda x: given.extend(x) or library(x))
+    for text, ids in zip(texts, encoder.many(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == direct(text)
+    assert set(given) <= {" ", ".", ",", "\n"}
+
+
+def test_words_whose_ends_a_token_could_cross(direct, monkeypatch):
+    encoder = tokens.Encoder(tokens.default_vocabulary())
+    monkeypatch.setattr(encoder, "_crossing", re.compile("b" + encoder._characters[0x20]))
+    text = "ab cd eb fg"
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == direct(text)
+    monkeypatch.setattr(encoder, "_plain", False)
+    assert np.frombuffer(encoder.ids(text + " hij"), "<u4").tolist() == direct(text + " hij")
+
+
 @pytest.mark.parametrize("high", [1, 2, 3, 200, 50257, 2**32 - 1])
 @pytest.mark.parametrize("n", [1, 7, 777, 4096])
 def test_blocks_round_trip(high, n):
