@@ -175,9 +175,9 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         encoder, seen, part = tokens.encoder(vocabulary), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in common.text_chunks(common.byte_lengths(texts)):
+            for a, b in common.text_chunks(common.byte_lengths(texts), tokens.CHUNK):
                 rows = []
-                for doc_id, ids in zip(doc_ids[a:b], encoder.many(texts[a:b].to_pylist()), strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], encoder.many(texts[a:b]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     ends = [*range(n % capacity or capacity, n, capacity), n]

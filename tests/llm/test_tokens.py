@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,33 @@ def test_pack(spark, direct):
     assert len(bins) <= -(-total // 64) + 2
 
 
+def test_cut_encodes_a_batch_at_once(spark, direct, monkeypatch):
+    """Texts go to the encoder as Arrow data and some MB at once, so that words are looked up once for all of them."""
+    encoder, calls, task = tokens.Encoder(tokens.default_vocabulary()), [], []
+
+    class Recorder:
+        def many(self, texts):
+            calls.append(texts)
+            return encoder.many(texts)
+
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            task.append(function)
+
+    monkeypatch.setattr(tokens, "encoder", lambda _: Recorder())
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 5)))
+    packing.cut(Documents(), tokens.default_vocabulary())
+    texts = ["alpha beta, gamma.\n" * 35_000, None, "delta " * 120_000, "x\n\ny"]
+    batch = pa.record_batch([pa.array([4, 5, 6, 7], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    rows = [r for b in task[0](iter([batch])) for r in b.to_pylist()]
+    assert len(calls) == 1 and isinstance(calls[0], pa.Array)
+    for doc_id, text in zip([4, 5, 6, 7], texts, strict=True):
+        assert b"".join(r["ids"] for r in rows if r["doc_id"] == doc_id) == np.asarray([*direct(text), 2], "<u4").tobytes()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_everything_once(seed):
     rng = np.random.default_rng(seed)
