@@ -1,21 +1,26 @@
 """Likely duplicates: all pairs above a threshold, and the best matches of given targets.
 
-Both compare every fingerprint with every other (or with the targets) by definition. Rows are dealt to blocks and each pair of blocks is
-one key of an equi-join, so that work spreads evenly and no side is broadcast; bounds on the score filter before histograms are compared.
+Both compare every fingerprint with every other (or with the targets) by definition. Rows are dealt to blocks of bounded size, a row each, which are stored once; tasks read the
+blocks that meet in them, so no side is copied to a shuffle or broadcast. Within two blocks numpy bounds all scores at once and compares what may reach the threshold.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import likeness
+from ..functions import nearness
 from ..functions.numbering import numbered
 from ..functions.rounding import half_even
 from ..session import cut_lineage
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 THRESHOLD = 0.55
 
 
@@ -26,64 +31,131 @@ def most_differing_bits(threshold: float = THRESHOLD) -> int:
     return math.floor(32 * (1 - max(0.0, (threshold - 0.45) / 0.55)) + 1e-9)
 
 
-#: Groups of histogram bins whose sums bound how much two histograms can share.
-GROUPS = 16
+#: Most fingerprints in a block, and fewest where there are enough for FEW blocks.
+ROWS, LEAST_ROWS, FEW = 4096, 256, 16
 
 
-def _entries(prints: DataFrame) -> DataFrame:
-    """One struct `e` a row, stored, so that nothing of it is worked out again for each pair: id and hash, the histogram, its total, and the sums of its groups of bins."""
-    size = F.ceil(F.size("histogram") / GROUPS).cast("int")
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    sums = (total(F.slice("histogram", i * size + 1, F.greatest(F.lit(1), size))).alias(f"s{i}") for i in range(GROUPS))
-    return cut_lineage(prints.select(F.struct("id", "hi", "lo", total("histogram").alias("total"), *sums, "histogram").alias("e")))
+def blocks_for(prints: DataFrame) -> int:
+    """Blocks for a count of fingerprints."""
+    n = prints.count()
+    return max(1, math.ceil(n / ROWS), min(FEW, math.ceil(n / LEAST_ROWS)))
 
 
-def _compared(joined: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that reach the threshold, with their score.
+def _blocks(prints: DataFrame, blocks: int | None = None) -> DataFrame:
+    """prints (id, hi, lo, histogram) dealt to blocks and stored, a row a block: its number, ids in order, and the columns of numbers as bytes.
 
-    What is cheap goes first: the hash distance, then a bound on the score by the groups' sums (histograms differ by no less than these do, and share half of their totals less half of that).
-    Both are plain arithmetic; only what passes has its histograms compared bin by bin.
+    All histograms of a block are of one length. Fingerprints that lack a part are like nothing and left out.
     """
-    bits = likeness.hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo"))
-    apart = sum((F.abs(F.col(f"a.s{i}") - F.col(f"b.s{i}")) for i in range(GROUPS)), F.lit(0.0))
-    most = likeness.overall(F.col("bits"), (F.col("a.total") + F.col("b.total") - apart) / 2)
-    rows = joined.select("a", "b", bits.alias("bits")).where((F.col("bits") <= most_differing_bits(threshold)) & (most >= threshold - 1e-9))
-    return rows.withColumn("score", likeness.overall(F.col("bits"), likeness.color(F.col("a.histogram"), F.col("b.histogram")))).where(F.col("score") >= threshold)
-
-
-def blocks_for(prints: DataFrame, rows: int = 2000, least: int = 16) -> int:
-    """Blocks for a count of fingerprints: each row is copied to as many, so they grow with the count's square root (a million rows: 358), and a task compares one pair of blocks."""
-    n = prints.count()
-    return max(least, math.ceil(least * math.sqrt(n / rows)))
+    blocks = blocks or blocks_for(prints)
+    whole = prints.select("id", F.col("hi").cast("long").alias("hi"), F.col("lo").cast("long").alias("lo"), F.col("histogram").cast("array<double>").alias("histogram"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        batches = list(batches)  # of one part of the table: some ROWS rows
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).drop_null().combine_chunks()
+        values = rows["histogram"].combine_chunks()
+        lacking = pc.unique(values.value_parent_indices().filter(values.flatten().is_null()))
+        rows = rows.filter(pc.invert(pc.is_in(pa.array(range(len(rows))), lacking)))
+        rows = rows.take(pc.sort_indices(rows["id"]))
+        lengths = pc.list_value_length(rows["histogram"])
+        block = TaskContext.get().partitionId()
+        for length in pc.unique(lengths).to_pylist():
+            alike = rows.filter(pc.equal(lengths, length))
+            for at in range(0, len(alike), 2 * ROWS):
+                some = alike.slice(at, 2 * ROWS).combine_chunks()
+                ids, values = some["id"].combine_chunks(), some["histogram"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                numbers = {"hi": some["hi"].to_numpy(), "lo": some["lo"].to_numpy(), "bins": values}
+                columns = {"block": pa.array([block], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), ids)}
+                yield pa.RecordBatch.from_pydict(columns | {k: pa.array([v.tobytes()], pa.binary()) for k, v in numbers.items()})
+                block += blocks
+
+    kind = whole.schema["id"].dataType.simpleString()
+    return cut_lineage(whole.repartition(blocks).mapInArrow(pack, f"block long, ids array<{kind}>, hi binary, lo binary, bins binary"))
+
+
+def _mean(blocks: DataFrame) -> float:
+    """A usual bin of a table of blocks: one over the bins of a histogram (bounds hold for any value)."""
+    bins, n = blocks.agg(F.sum(F.octet_length("bins")), F.sum(F.octet_length("hi"))).first()
+    return n / bins if bins else 1.0
+
+
+def _met(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Pairs of blocks a, b. A Cartesian product: each task reads its two parts of the stored blocks, and nothing is copied to a shuffle or to all executors."""
+    parts = ("block", "ids", "hi", "lo", "bins")
+    sides = [df.select(*(F.col(c).alias(f"{side}_{c}") for c in parts)) for df, side in ((left, "a"), (right, "b"))]
+    return sides[0].hint("shuffle_replicate_nl").join(sides[1], on)
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[tuple[int, int, pa.Array, pa.Array, nearness.Block, nearness.Block]]:
+    """Numbers, ids and blocks of the rows of _met; a block that comes again at once is set up once."""
+    import numpy as np
+
+    kept: dict[str, tuple] = {}
+
+    def side(row: pa.RecordBatch, name: str) -> tuple:
+        number = row[f"{name}_block"][0].as_py()
+        if kept.get(name, (None,))[0] != number:
+            ids = row[f"{name}_ids"].flatten()
+            hi, lo, bins = (np.frombuffer(row[f"{name}_{c}"][0].as_buffer(), t) for c, t in (("hi", np.int64), ("lo", np.int64), ("bins", np.float64)))
+            kept[name] = number, ids, nearness.Block(ids.to_numpy(zero_copy_only=False), hi, lo, bins.reshape(len(hi), -1), mean)
+        return kept[name]
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            (i, ids_a, a), (j, ids_b, b) = side(row, "a"), side(row, "b")
+            yield i, j, ids_a, ids_b, a, b
 
 
 def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD, blocks: int | None = None) -> DataFrame:
     """id_a < id_b, score (3 digits) of all pairs whose unrounded score reaches the threshold. prints: id, hi, lo, histogram.
 
-    Every unordered pair of blocks is one key of an equi-join, so a row is copied to each block once.
+    Every unordered pair of blocks meets once, as (a, b) or as (b, a) by turns, so that tasks have even shares.
     """
-    entries = _entries(prints)
-    blocks = blocks or blocks_for(entries)
-    rows = entries.select("e", F.pmod(F.xxhash64("e.id"), F.lit(blocks)).alias("block"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
-    rows = rows.select("e", "block", every).select("e", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    left = rows.where("block = i").select(F.col("e").alias("a"), "i", "j")
-    right = rows.where("block = j").select(F.col("e").alias("b"), "i", "j")
-    # Within a block each pair meets both ways and counts once.
-    found = _compared(left.join(right, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a.id") < F.col("b.id"))), threshold)
-    return found.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), half_even(F.col("score"), 3).alias("score"))
+    stored = _blocks(prints, blocks)
+    mean = _mean(stored)
+    kind = prints.schema["id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for i, j, ids_a, ids_b, a, b in _pairs_of_blocks(batches, mean):
+            for p, q, score in nearness.near(a, b, threshold, i == j):
+                yield pa.RecordBatch.from_pydict({"a": ids_a.take(pa.array(p)), "b": ids_b.take(pa.array(q)), "score": pa.array(score)})
+
+    once = "a_block = b_block or (a_block < b_block) = ((a_block + b_block) % 2 = 0)"
+    found = _met(stored, stored, F.expr(once)).mapInArrow(compare, f"a {kind}, b {kind}, score double").where("a <> b")
+    return found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), half_even(F.col("score"), 3).alias("score"))
 
 
 def best_matches(targets: DataFrame, prints: DataFrame, k: int = 3, threshold: float = THRESHOLD, blocks: int | None = None) -> DataFrame:
-    """id, match_id, rank, score: the k best others of each target; only scores that reach the threshold."""
-    entries = _entries(prints)
-    blocks = blocks or blocks_for(entries)
-    left = _entries(targets).select(F.col("e").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = entries.select(F.col("e").alias("b"), F.pmod(F.xxhash64("e.id"), F.lit(blocks)).alias("block"))
-    found = _compared(left.join(right, "block").where("a.id <> b.id"), threshold)
-    best = Window.partitionBy("a.id").orderBy(F.desc("score"), F.col("b.id"))
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), "rank", half_even(F.col("score"), 3).alias("score"))
+    """id, match_id, rank, score: the k best others of each target; only scores that reach the threshold.
+
+    A task carries the k best scores of a block of targets from one block to the next and gives out what was among the best when it was met; the best of that are ranked.
+    """
+    asked, stored = _blocks(targets, blocks), _blocks(prints, blocks)
+    mean = _mean(stored)
+    kinds = [df.schema["id"].dataType.simpleString() for df in (targets, prints)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        at, best = None, None
+        for i, _, ids_a, ids_b, a, b in _pairs_of_blocks(batches, mean):
+            if i != at:
+                at, best = i, nearness.no_scores(a, k, threshold)
+            p, q, score = nearness.nearest(a, b, best)
+            yield pa.RecordBatch.from_pydict({"id": ids_a.take(pa.array(p)), "match_id": ids_b.take(pa.array(q)), "score": pa.array(score)})
+
+    found = _met(asked, stored, F.lit(True)).mapInArrow(compare, f"id {kinds[0]}, match_id {kinds[1]}, score double")
+    order = Window.partitionBy("id").orderBy(F.desc("score"), F.col("match_id"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("id", "match_id", "rank", half_even(F.col("score"), 3).alias("score"))
 
 
 def ranked_pairs(pairs: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:

@@ -55,12 +55,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 values as an 8x8 block of frequencies: bits above the median of all but the first, histogram of magnitudes."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    ordered = F.array_sort(F.slice("v", 2, 63))
-    e = e.withColumn("middle", F.element_at(ordered, 32)).withColumn("total", F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)))
-    bits = F.transform("v", lambda x: F.when(x > F.col("middle"), 1).otherwise(0))
-    e = e.withColumn("bits", bits)
-    return e.select("id", likeness.hash_bits(F.col("bits"), 0).alias("hi"), likeness.hash_bits(F.col("bits"), 32).alias("lo"), F.transform("v", lambda x: F.abs(x) / F.col("total")).alias("histogram"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    # What all values of a row need is bound to a lambda's variable: a column would be worked out again for each of them.
+    middle = F.get(F.sort_array(F.array_compact(F.slice("v", 2, 63))), 31)
+    half = lambda first, m: likeness.hash_bits(F.transform("v", lambda x: F.when(x > m, 1).otherwise(0)), first)
+    bits = F.transform(F.array(middle), lambda m: F.struct(half(0, m).alias("hi"), half(32, m).alias("lo")))[0]
+    histogram = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x), lambda total: F.transform("v", lambda x: F.abs(x) / total))
+    return e.select("id", bits.alias("bits"), histogram.alias("histogram")).select("id", "bits.hi", "bits.lo", "histogram")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
