@@ -159,9 +159,13 @@ def best_matches(targets: DataFrame, prints: DataFrame, k: int = 3, threshold: f
 
 
 def ranked_pairs(pairs: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
-    """rank (from 1, by score, then ids) and score of pairs, with the given fields of both records (id, ...) as <field>_a and <field>_b: one join a side."""
+    """rank (from 1, by score, then ids) and score of pairs, with the given fields of both records (id, ...) as <field>_a and <field>_b: one join a side.
+
+    Pairs are stored before they are numbered, which reads them twice; so are the few columns of the records, whose size then is known where the joins are planned.
+    """
     order = [F.col("_neg").asc(), F.col("id_a").asc(), F.col("id_b").asc()]
-    rows = numbered(pairs.withColumn("_neg", -F.col("score")), order, "rank")
+    rows = numbered(cut_lineage(pairs).withColumn("_neg", -F.col("score")), order, "rank").drop("_neg")
+    records = cut_lineage(records.select("id", *fields))
     for side in ("a", "b"):
         rows = rows.join(records.select(F.col("id").alias(f"id_{side}"), *(F.col(f).alias(f"{f}_{side}") for f in fields)), f"id_{side}")
     return rows.select("rank", "id_a", "id_b", *(f"{f}_{s}" for f in fields for s in ("a", "b")), "score")

@@ -85,3 +85,19 @@ def test_targets_and_fingerprints_arent_copied(spark):
     rows = spark.createDataFrame(drawn(40, 5), PRINT)
     text = plan(lookalikes.best_matches(rows.where("id % 3 = 0"), rows, k=1))
     assert "CartesianProduct" in text and "Generate" not in text and "Join" not in text
+
+
+def test_pairs_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.range(300, numPartitions=3).select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"), ((F.col("id") * 7) % 11 / 10.0).alias("score"))
+    records = spark.range(301).select("id", (F.col("id") * 2).alias("label"))
+    got = lookalikes.ranked_pairs(pairs.mapInArrow(counted, pairs.schema), records, ["label"]).orderBy("rank").collect()
+    want = sorted(((i * 7) % 11 / -10.0, i) for i in range(300))
+    assert [tuple(r) for r in got] == [(n, i, i + 1, 2 * i, 2 * i + 2, -s) for n, (s, i) in enumerate(want, 1)]
+    assert seen.value == 300
