@@ -101,3 +101,10 @@ def test_pairs_are_worked_out_once(spark):
     want = sorted(((i * 7) % 11 / -10.0, i) for i in range(300))
     assert [tuple(r) for r in got] == [(n, i, i + 1, 2 * i, 2 * i + 2, -s) for n, (s, i) in enumerate(want, 1)]
     assert seen.value == 300
+
+
+def test_ranking_holds_no_histograms(spark):
+    """What is sorted for the best of each target is ids and scores."""
+    rows = spark.createDataFrame(drawn(40, 5), PRINT)
+    text = plan(lookalikes.best_matches(rows.where("id % 20 = 0"), rows, threshold=0.4)).split("MapInArrow")[0]
+    assert "Window" in text and "histogram" not in text
