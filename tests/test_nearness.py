@@ -108,3 +108,9 @@ def test_ranking_holds_no_histograms(spark):
     rows = spark.createDataFrame(drawn(40, 5), PRINT)
     text = plan(lookalikes.best_matches(rows.where("id % 20 = 0"), rows, threshold=0.4)).split("MapInArrow")[0]
     assert "Window" in text and "histogram" not in text
+
+
+def test_pairs_copy_no_rows(spark):
+    """Nothing is shuffled, broadcast or repeated between the stored blocks and the pairs that are found."""
+    text = plan(lookalikes.similar_pairs(spark.createDataFrame(drawn(40, 5), PRINT)))
+    assert "CartesianProduct" in text and not any(x in text for x in ("Exchange", "Generate", "Broadcast"))
